@@ -64,12 +64,12 @@ def rank_within(
     carried = heads.select(
         *keys, "_p",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_base"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_in_group"),
     )
     ranked = _attach(laid, carried, keys).withColumn(out, F.col("_base") + F.col("_i"))
     if total:
-        ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop("_p", "_i", "_base", "_total")
+        ranked = ranked.withColumn(total, F.col("_in_group"))
+    return ranked.drop("_p", "_i", "_base", "_in_group")
 
 
 def running_min(
