@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import log_count
 from ..schemas import KNOWN_CLASSES, class_name_of
+from ..storage import settle
 from .ranking import join_on
 
 
@@ -23,11 +24,12 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 def density_grid(df: DataFrame, bins: int = 120, group: str = "classification", x: str = "x", y: str = "y") -> DataFrame:
     """Points per (group, x bin, y bin) over each group's own extent; empty bins are absent.
 
-    Two map-side combined aggregates; the extents are one row per group and the
-    result at most ``bins**2`` rows per group.
+    Two map-side combined aggregates. The extents (one row per group) are written
+    first, so that Spark sees how small they are and does not shuffle the points
+    to join them; the result has at most ``bins**2`` rows per group.
     """
     box = df.groupBy(group).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    binned = join_on(df.select(group, x, y), box, [group]).select(
+    binned = join_on(df.select(group, x, y), settle(box), [group]).select(
         group,
         bin_index(F.col(x), F.col("_x0"), F.col("_x1"), bins).alias("bin_x"),
         bin_index(F.col(y), F.col("_y0"), F.col("_y1"), bins).alias("bin_y"))

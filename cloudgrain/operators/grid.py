@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cell_index
 from ..schemas import CELL_SIZE, COORD_SCALE
+from ..storage import broadcast_checked, settle
 
 CELL_KEYS = ["tile_name", "cell_x", "cell_y"]
 
@@ -62,15 +63,17 @@ def cell_features(
 ) -> DataFrame:
     """Points with the statistics of their cell and their height above its mean.
 
-    Aggregate and join back: the aggregate combines on the map side, so a cell
-    that holds a third of all points still arrives as one row per task, and the
-    join's point side is what AQE splits when that cell is hot.
+    Aggregate and join back. The aggregate combines on the map side, so a cell
+    that holds a third of all points is one row per task. The statistics are
+    written before the join: Spark then knows their size and joins by broadcast
+    (no shuffle of points) while they fit, and beyond that both join inputs are
+    plain shuffles, the form in which AQE splits a hot cell's points.
     """
     keys = keys or CELL_KEYS
     located = with_cell(df, size, mode)
     stats = cell_stats(located, z, unit, keys).select(*keys, "z_cell_mean", "z_cell_std", "z_cell_range")
     height = F.col(z) if unit is None else F.col(z) / float(unit)
-    return located.join(stats, keys, "left").withColumn("z_above_cell_mean", height - F.col("z_cell_mean"))
+    return located.join(settle(stats), keys, "left").withColumn("z_above_cell_mean", height - F.col("z_cell_mean"))
 
 
 def prepare_features(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -87,8 +90,11 @@ def tile_offsets(df: DataFrame, x: str = "x", y: str = "y", unit: float = 1.0) -
 
 
 def encode_coords(df: DataFrame, offsets: DataFrame | None = None, scale: float = COORD_SCALE) -> DataFrame:
-    """Stored integer coordinates ``xi, yi, zi``; ties round to even."""
-    offs = offsets if offsets is not None else tile_offsets(df)
+    """Stored integer coordinates ``xi, yi, zi``; ties round to even.
+
+    One offset row per tile; broadcast after a count, so points do not move.
+    """
+    offs = broadcast_checked(settle(offsets if offsets is not None else tile_offsets(df)), 1_000_000)
 
     def enc(c):
         return F.rint((F.col(c) - F.col(f"off_{c}")) / F.lit(scale)).cast("int").alias(f"{c}i")

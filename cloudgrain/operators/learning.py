@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import normalize_intensity
 from ..schemas import FEATURES, NEIGHBOURS, SEED, class_name_of
+from ..storage import settle
 from .chunks import CHUNK, downsample_pyramid, pyramid_members
 from .metrics import class_weights
 from .neighbors import MM, knn, nearest_upsample, relative_encoding, softmax_pool
@@ -221,7 +222,7 @@ def multiscale_features(
     members = pyramid_members(pyramid).select(*by, "point_id", *MM, "intensity")
     edges = knn(members, k, by, bounded=True, carry=[*MM, "intensity"])
     encoded = relative_encoding(edges, None, by, MM, unit, keep=["n_intensity"]).withColumn("intensity", normalize_intensity("n_intensity"))
-    pooled = softmax_pool(encoded, -F.col("distance"), POOLED, by)
+    pooled = settle(softmax_pool(encoded, -F.col("distance"), POOLED, by))  # read once per stage below
     fine = chunked.select(*CHUNK, "point_id", *MM)
     out = pooled.where(F.col("stage") == 0).select(*CHUNK, "point_id", *[F.col(f"pooled_{c}").alias(f"s0_{c}") for c in POOLED])
     for s in range(1, stages):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import run_cost
+from ..storage import settle
 from .density import bin_index
 from .ranking import join_on, running_min
 
@@ -48,8 +49,12 @@ def search_runs(runs: DataFrame, run_name: str, limit: int = 1, name: str = "run
 
 
 def attach_metrics(trials: DataFrame, runs: DataFrame, metrics: list[str], name: str = "run_name") -> DataFrame:
-    """Trials with their run's metrics by name; 0.0 where there is no run."""
-    joined = join_on(trials, runs.select(name, *metrics), [name], "left")
+    """Trials with their run's metrics by name; 0.0 where there is no run.
+
+    ``runs`` has one row per name. It is written first: small, it is broadcast;
+    large, AQE can split the trials of a name that has very many.
+    """
+    joined = join_on(trials, settle(runs.select(name, *metrics)), [name], "left")
     return joined.withColumns({m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in metrics})
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import density, grid, labels, metrics, sampling
-from ..operators.learning import assemble
+from ..operators.learning import assemble, scoring_udf
 from ..operators.runs import union_all
-from ..schemas import FEATURES, class_dictionary
+from ..schemas import FEATURES, KNOWN_CLASSES, class_dictionary
 from ..storage import broadcast_checked
 from .registry import query
 from .tables import points, predictions, scored
@@ -360,7 +360,20 @@ def random_split(spark, sf):
     return sampling.random_split(points(spark, sf)).select("point_id", "split")
 
 
-@query("union_tiles", "SELECT point_id, tile_name FROM points WHERE tile_name IN ('tile_000.las', 'tile_001.las', 'tile_002.las')")
+@query("union_tiles", "SELECT point_id, tile_name, classification FROM points")
 def union_tiles(spark, sf):
-    p = points(spark, sf).select("point_id", "tile_name")
-    return union_all([p.where(F.col("tile_name") == f"tile_00{i}.las") for i in range(3)])
+    """Parts of a scene put together again: one part per known class, and the rest."""
+    p = points(spark, sf).select("point_id", "tile_name", "classification")
+    parts = [p.where(F.col("classification") == c) for c in KNOWN_CLASSES]
+    return union_all([*parts, p.where(~F.col("classification").isin(*KNOWN_CLASSES))])
+
+
+@query("external_scoring", """SELECT point_id, CASE WHEN z < 4 THEN 3 WHEN z < 10 THEN 4 ELSE 5 END AS predicted, classification FROM points""")
+def external_scoring(spark, sf):
+    """A model from outside Spark, here height limits, loaded once per Python worker."""
+    def load():
+        import numpy as np
+
+        return lambda batch: np.select([batch["z"] < 4, batch["z"] < 10], [3, 4], 5)
+
+    return points(spark, sf).select("point_id", scoring_udf(load)("z").alias("predicted"), "classification")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, labels, learning, sampling
+from .. import schemas, storage
+from ..operators import chunks, grid, labels, learning, sampling
+from . import tables
 from .registry import query
 from .tables import points
 
@@ -44,3 +46,19 @@ def search_trials(spark, sf):
     data = _featured(spark, sf)
     space = {**learning.SEARCH_SPACE, "n_estimators": ("choice", [5, 10]), "max_depth": ("choice", [4, 6])}
     return learning.search(data.where(F.col("split") == "train"), data.where(F.col("split") == "test"), space, n_trials=3)
+
+
+@query("chunk_classifier")
+def chunk_classifier(spark, sf):
+    """Chunks, neighbour graphs at two resolutions, pooled features, classifier, held-out accuracy."""
+    known = labels.encode_known_classes(points(spark, sf))
+    cut = chunks.assign_chunks(known, schemas.CHUNK_POINTS, schemas.CHUNK_MIN_POINTS, order="morton")
+    if cut.limit(1).count() == 0:  # tiles below the full chunk size
+        cut = chunks.assign_chunks(known, tables.N_PTS, tables.MIN_PTS, order="morton")
+    feats = learning.multiscale_features(cut, stages=2, k=schemas.NEIGHBOURS)
+    names = [c for c in feats.columns if c[:3] in ("s0_", "s1_")] + ["z", "intensity"]
+    data = cut.select("tile_name", "chunk_idx", "point_id", "z", "intensity", "classification").join(feats, ["tile_name", "chunk_idx", "point_id"])
+    data = storage.settle(sampling.stratified_split(data))
+    model = learning.fit_trees(data.where(F.col("split") == "train"), names, **_TREES)
+    return learning.score(model, data).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_points"), F.avg(F.col("correct").cast("int")).alias("accuracy"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import density, metrics, runs
 from ..operators.labels import with_class_name
+from ..storage import work_dir
 from .registry import query
-from .tables import points, predictions, run_metrics, trials  # noqa: F401
+from .tables import predictions, run_metrics, trials
 
 _RUNS = """SELECT run_id, run_name, min(ts) AS start, max(CASE WHEN step = 9 THEN n_correct/CAST(n_total AS DOUBLE) END) AS final_acc,
   sum(loss_c) AS loss_sum FROM run_metrics GROUP BY run_id, run_name"""
@@ -43,11 +46,18 @@ def trial_metrics(spark, sf):
 @query("epoch_metrics", """SELECT run_name, step, CAST(sum(loss_c) AS BIGINT) AS loss_sum, CAST(sum(n_correct) AS BIGINT) AS n_correct, CAST(sum(n_total) AS BIGINT) AS n_total,
   sum(n_correct)/CAST(greatest(sum(n_total), 1) AS DOUBLE) AS accuracy FROM run_metrics GROUP BY run_name, step""", "run_metrics")
 def epoch_metrics(spark, sf):
-    return runs_epoch(run_metrics(spark, sf))
-
-
-def runs_epoch(steps):
-    return metrics.epoch_metrics(steps, ["run_name", "step"], loss="loss_c")
+    return metrics.epoch_metrics(run_metrics(spark, sf), ["run_name", "step"], loss="loss_c")
+
+
+@query("log_metrics", """SELECT run_id, run_name, 'loss' AS key, step, CAST(loss_c AS DOUBLE) AS value FROM run_metrics UNION ALL
+  SELECT run_id, run_name, 'n_correct', step, CAST(n_correct AS DOUBLE) FROM run_metrics""", "run_metrics")
+def log_metrics(spark, sf):
+    """Two appends to one run log, read back."""
+    steps = run_metrics(spark, sf)
+    path = f"{work_dir(spark)}/runlog/{uuid.uuid4().hex}"
+    for key, col in (("loss", "loss_c"), ("n_correct", "n_correct")):
+        runs.log_metrics(steps.select("run_id", "run_name", F.lit(key).alias("key"), "step", F.col(col).cast("double").alias("value")), path)
+    return spark.read.parquet(path)
 
 
 @query("running_best", "SELECT trial, loss_c, min(loss_c) OVER (ORDER BY trial ROWS UNBOUNDED PRECEDING) AS best_so_far FROM trials", "trials")

@@ -67,3 +67,25 @@ def running_accuracy(predictions: DataFrame, keys: list[str]) -> DataFrame:
     hits = F.sum(F.col("correct").cast("long"))
     return predictions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_points"), hits.alias("n_correct"), (hits / F.count(F.lit(1))).alias("accuracy"))
+
+
+def keep_latest(result: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the whole (small) result of a running aggregate after every batch, one folder per batch.
+
+    A batch that is replayed after a failure overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        result.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """Result after the newest batch."""
+    every = spark.read.parquet(out)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
