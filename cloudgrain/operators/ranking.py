@@ -89,7 +89,7 @@ def running_min(
 
 
 def digest_threshold(
-    df: DataFrame, keys: list[str], quota: Column, id_cols: list[str], seed, digits: int = 4,
+    df: DataFrame, keys: list[str], quota: Column, id_cols: list[str], seed, digits: int = 3, max_bucket: int = 1_000_000,
 ) -> DataFrame:
     """Per group, the digest of its ``quota``-th row in digest order.
 
@@ -97,32 +97,41 @@ def digest_threshold(
     ``(keys, _size, _quota, _thr, _thr_id)``; ``_thr`` is null where the quota
     takes the whole group, and empty text where it takes nothing. No full shuffle:
     a histogram over digest prefixes (map-side combined) finds the bucket in
-    which the quota falls, and only that bucket's rows are ranked.
+    which the quota falls, and only that bucket's rows are ranked. While such a
+    bucket holds more than ``max_bucket`` rows, a longer prefix divides it again.
     """
     dig = digest(seed, *id_cols)
-    rows = df.select(*keys, *[c for c in id_cols if c not in keys], dig.alias("_d"),
-                     F.substring(dig, 1, digits).alias("_b"))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = (
-        hist.withColumn("_cum", F.sum("_c").over(upto))
-        .withColumn("_size", F.sum("_c").over(W.partitionBy(*keys)))
-        .withColumn("_quota", quota.cast("long"))
-    )
-    edge = settle(
-        cum.groupBy(*keys, "_size", "_quota").agg(
-            F.min(F.when(F.col("_cum") >= F.col("_quota"), F.struct("_b", (F.col("_quota") - F.col("_cum") + F.col("_c")).alias("_need")))).alias("_e"))
-        .select(*keys, "_size", "_quota", "_e._b", "_e._need")
-    )
-    open_edge = edge.where((F.col("_quota") > 0) & (F.col("_quota") < F.col("_size")))
-    inside = join_on(rows, open_edge, [*keys, "_b"])
+    rows = df.select(*keys, *[c for c in id_cols if c not in keys], dig.alias("_d"))
+
+    def edge_of(counted: DataFrame, prefix: int, need: Column, held: list[str]) -> DataFrame:
+        """Bucket of ``prefix`` digits in which each group's ``need``-th row lies."""
+        hist = counted.groupBy(*keys, *held, F.substring("_d", 1, prefix).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+        cum = hist.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_in", F.sum("_c").over(W.partitionBy(*keys)))
+        if not held:
+            cum = cum.withColumn("_size", F.col("_in")).withColumn("_quota", quota.cast("long"))
+        rest = need - F.col("_cum") + F.col("_c")
+        first = F.min(F.when(F.col("_cum") >= need, F.struct("_b", rest.alias("_need"), "_c")))
+        return settle(cum.groupBy(*keys, "_size", "_quota").agg(first.alias("_e"))
+                      .select(*keys, "_size", "_quota", "_e._b", "_e._need", "_e._c"))
+
+    def in_edge(prefix: int) -> DataFrame:
+        open_edge = edge.where((F.col("_quota") > 0) & (F.col("_quota") < F.col("_size"))).drop("_c")
+        return join_on(rows.withColumn("_b", F.substring("_d", 1, prefix)), open_edge, [*keys, "_b"])
+
+    edge = edge_of(rows, digits, F.col("_quota"), [])
+    sizes, prefix = edge, digits
+    while prefix + digits <= 32 and (edge.agg(F.max("_c")).first()[0] or 0) > max_bucket:
+        edge = edge_of(in_edge(prefix).drop("_b"), prefix + digits, F.col("_need"), ["_size", "_quota", "_need"])
+        prefix += digits
+    inside = in_edge(prefix)
     w = W.partitionBy(*keys).orderBy("_d", *id_cols)
     hit = (
         inside.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == F.col("_need"))
         .select(*keys, F.col("_d").alias("_thr"), F.struct(*id_cols).alias("_thr_id"))
     )
     return settle(
-        join_on(edge.drop("_b", "_need"), hit, keys, "left")
+        join_on(sizes.drop("_b", "_need", "_c"), hit, keys, "left")
         .withColumn("_thr", F.when(F.col("_quota") <= 0, F.lit("")).otherwise(F.col("_thr")))
     )
 
