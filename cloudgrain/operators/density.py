@@ -62,18 +62,20 @@ def height_histogram(
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """All ``bins`` equal bins between the smallest and largest value, empty ones as 0."""
-    edge = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    v = df.where(F.col(col).isNotNull()).select(col, F.lit(0).alias("_j"))
-    counts = (
-        v.join(F.broadcast(edge.withColumn("_j", F.lit(0))), "_j")  # one row
-        .groupBy(bin_index(F.col(col), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    frame = edge.where(F.col("_lo").isNotNull()).select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    flat = F.col("_lo") == F.col("_hi")
-    lo = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).cast("double")
-    hi = F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).cast("double")
+    """All ``bins`` equal bins between the smallest and largest value, empty ones as 0.
+
+    The two extremes are read first; as literals they need no join.
+    """
+    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
+    index = bin_index(F.col(col), F.lit(lo).cast("double"), F.lit(hi).cast("double"), bins)
+    counts = df.where(F.col(col).isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    if lo is None:
+        lo = hi = 0.0
+        bins = 0
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    a, width = F.lit(lo), F.lit(hi - lo)
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counts, "bin", "left").select(
-        "bin", (lo + (hi - lo) * F.col("bin") / bins).alias("bin_lo"), (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_hi"),
+        "bin", (a + width * F.col("bin") / bins).alias("bin_lo"), (a + width * (F.col("bin") + 1) / bins).alias("bin_hi"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -69,11 +69,8 @@ def with_cost(df: DataFrame, seconds: str = "elapsed_s", units: str = "units_per
 
 def speedup(df: DataFrame, base: str, name: str = "setup", seconds: str = "elapsed_s") -> DataFrame:
     """Time of the ``base`` setup over each row's time; 0 where a time is zero or missing."""
-    ref = df.where(F.col(name) == base).agg(F.min(seconds).alias("_base")).withColumn("_j", F.lit(0))
-    return (
-        df.withColumn("_j", F.lit(0)).join(F.broadcast(ref), "_j", "left")  # one row
-        .withColumn("speedup", F.coalesce(F.try_divide(F.col("_base"), F.col(seconds)), F.lit(0.0))).drop("_base", "_j")
-    )
+    ref = df.where(F.col(name) == base).agg(F.min(seconds).cast("double")).first()[0]  # one number
+    return df.withColumn("speedup", F.coalesce(F.try_divide(F.lit(ref).cast("double"), F.col(seconds)), F.lit(0.0)))
 
 
 def compare_setups(setups: DataFrame, metrics: DataFrame, price: float = UNIT_PRICE) -> DataFrame:
@@ -99,9 +96,8 @@ def param_importance(trials: DataFrame, params: list[str], loss: str = "loss", b
     With ``bins``, each parameter is first cut into that many equal ranges.
     """
     if bins:
-        box = trials.agg(*[F.min(p).alias(f"_lo_{p}") for p in params], *[F.max(p).alias(f"_hi_{p}") for p in params])
-        joined = trials.withColumn("_j", F.lit(0)).join(F.broadcast(box.withColumn("_j", F.lit(0))), "_j")
-        trials = joined.select(loss, *[bin_index(F.col(p), F.col(f"_lo_{p}"), F.col(f"_hi_{p}"), bins).alias(p) for p in params])
+        box = trials.agg(*[F.struct(F.min(p).cast("double"), F.max(p).cast("double")).alias(p) for p in params]).first()
+        trials = trials.select(loss, *[bin_index(F.col(p), *[F.lit(v).cast("double") for v in box[p]], bins).alias(p) for p in params])
     pair = [F.struct(F.lit(p).alias("param"), F.col(p).cast("string").alias("v")) for p in params]
     long = trials.select(F.col(loss).cast("double").alias("_l"), F.explode(F.array(*pair)).alias("_p"))
     groups = long.groupBy(F.col("_p.param").alias("param"), F.col("_p.v").alias("v")).agg(

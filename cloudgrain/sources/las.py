@@ -170,7 +170,8 @@ def read_las(
     """All points of all ``.las`` files below ``path``.
 
     ``mode``: FAILFAST fails on a bad file, DROPMALFORMED skips it, PERMISSIVE
-    gives one row with its ``_corrupt`` text. ``tiles`` drops other files before
+    gives one row with its ``_corrupt`` text. Files of no bytes are passed over, as
+    in every Spark file source. ``tiles`` drops other files before
     they are opened.
     """
     files = list_files(spark, path)
@@ -200,7 +201,8 @@ def save_las(df: DataFrame, path: str, points_per_file: int = 5_000_000, scale:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``format("las")`` known to a session."""
+    """Make ``format("las")`` known to a session and let it see filters on ``tile_name``."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LasDataSource)
 
 
@@ -231,7 +233,7 @@ class _Reader(DataSourceReader):
         fs, root = _filesystem(self.path)
         out = []
         for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
-            if not info.is_file or not info.path.endswith(".las"):
+            if not info.is_file or not info.size or not info.path.endswith(".las"):
                 continue
             parent, name = info.path.split("/")[-2:]
             tile = parent if parent.endswith(".las") else name
