@@ -26,7 +26,8 @@ def _partitions(df: DataFrame, wanted: int | None) -> int:
 def ordered_layout(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Rows in global (keys, order) order with their partition ``_p`` and position ``_i``.
 
-    One shuffle. Written down, because both columns must not change when a lost
+    ``order`` should end in a column that tells rows apart, as rows equal in all of
+    it share a partition. One shuffle. Written down, because both columns must not change when a lost
     partition is computed again.
     """
     cols = [F.col(c) for c in [*keys, *order]]
@@ -59,6 +60,7 @@ def rank_within(
 ) -> DataFrame:
     """``row_number`` (and group size) per group, without one task per group."""
     laid = ordered_layout(df, keys, order, partitions)
+    # Windows below run over this table: for one group, at most one row per partition.
     heads = laid.groupBy(*keys, "_p").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     carried = heads.select(

@@ -35,10 +35,12 @@ def settle(df: DataFrame) -> DataFrame:
     Values that depend on the run (partition numbers, row positions) become
     data, so a lost executor cannot change them on recomputation. Spark also
     knows the written size, so a later join picks broadcast only when it fits.
+    The files lie under the application's id and may be deleted when it ends.
     """
-    path = f"{work_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/settled/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
