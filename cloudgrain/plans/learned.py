@@ -16,7 +16,8 @@ _TREES = dict(n_estimators=20, max_depth=8)
 
 def _featured(spark, sf):
     known = labels.encode_known_classes(points(spark, sf))
-    return sampling.stratified_split(grid.cell_features(known, z="z_mm", unit=1000))
+    # Split before the features: the split's passes then read only keys and classes.
+    return grid.cell_features(sampling.stratified_split(known), z="z_mm", unit=1000)
 
 
 @query("rf_score")
@@ -57,8 +58,8 @@ def chunk_classifier(spark, sf):
         cut = chunks.assign_chunks(known, tables.N_PTS, tables.MIN_PTS, order="morton")
     feats = learning.multiscale_features(cut, stages=2, k=schemas.NEIGHBOURS)
     names = [c for c in feats.columns if c[:3] in ("s0_", "s1_")] + ["z", "intensity"]
-    data = cut.select("tile_name", "chunk_idx", "point_id", "z", "intensity", "classification").join(feats, ["tile_name", "chunk_idx", "point_id"])
-    data = storage.settle(sampling.stratified_split(data))
+    split = sampling.stratified_split(cut.select("tile_name", "chunk_idx", "point_id", "z", "intensity", "classification"))
+    data = storage.settle(split.join(feats, ["tile_name", "chunk_idx", "point_id"]))
     model = learning.fit_trees(data.where(F.col("split") == "train"), names, **_TREES)
     return learning.score(model, data).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_points"), F.avg(F.col("correct").cast("int")).alias("accuracy"))

@@ -68,3 +68,21 @@ def test_training_table_is_released(spark, data):
     with lr.shared(data.select("x")) as kept:
         assert kept.is_cached
     assert not kept.is_cached
+
+
+def test_files_to_report(spark, tmp_path):
+    """The README example: scan files, features, split, forest, report."""
+    from cloudgrain.operators import grid, labels, metrics, sampling
+    from cloudgrain.sources.las import read_las, save_las
+
+    made = spark.range(3000).select(
+        (F.col("id") % 50 / 5.0).alias("x"), (F.col("id") % 47 / 5.0).alias("y"), (F.col("id") % 6 * 2.0).alias("z"),
+        F.lit(7).alias("intensity"), F.element_at(F.array(*[F.lit(c) for c in (2, 3, 4, 5, 6, 1)]), (F.col("id") % 6 + 1).cast("int")).alias("classification"),
+        F.concat(F.lit("tile_"), (F.col("id") % 3).cast("string"), F.lit(".las")).alias("tile_name"))
+    save_las(made, str(tmp_path / "tiles"))
+    points = labels.encode_known_classes(read_las(spark, str(tmp_path / "tiles"), record_no=True))
+    points = points.selectExpr("*", "tile_name || ':' || record_no AS point_id")
+    data = grid.cell_features(sampling.stratified_split(points))
+    model = lr.fit_trees(data.where("split = 'train'"), n_estimators=5, max_depth=5)
+    report = {r.label: r for r in metrics.classification_report(lr.score(model, data.where("split = 'test'"))).collect()}
+    assert report["accuracy"].support == 500 and report["accuracy"].f1 > 0.9
