@@ -67,10 +67,8 @@ def _fit(stages: list, df: DataFrame, features: list[str], label: str, weight: s
     codes = _class_codes(df, label)
     keep = [*features, "label"] + ([weight] if weight else [])
     # Training passes over its rows many times and each pass lasts as long as its
-    # fullest task, so one even spread beforehand pays.
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    indexed = StringIndexerModel.from_labels(codes, label, "label").transform(df).select(*keep).repartition(tasks)
+    # fullest task, so one even spread beforehand pays. AQE picks the number of partitions.
+    indexed = StringIndexerModel.from_labels(codes, label, "label").transform(df).select(*keep).hint("rebalance")
     decode = IndexToString(inputCol="prediction", outputCol=decoded, labels=codes)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), *stages, decode]).fit(indexed)
 

@@ -19,10 +19,6 @@ from ..storage import settle
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
-def _partitions(df: DataFrame, wanted: int | None) -> int:
-    return wanted or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_layout(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Rows in global (keys, order) order with their partition ``_p`` and position ``_i``.
 
@@ -31,7 +27,8 @@ def ordered_layout(df: DataFrame, keys: list[str], order: list[str], partitions:
     partition is computed again.
     """
     cols = [F.col(c) for c in [*keys, *order]]
-    laid = df.repartitionByRange(_partitions(df, partitions), *cols).sortWithinPartitions(*cols)
+    # Without a number, AQE may merge neighbouring small partitions; the order stays.
+    laid = df.repartitionByRange(*([partitions] if partitions else []), *cols).sortWithinPartitions(*cols)
     return settle(laid.select(
         "*",
         F.spark_partition_id().alias("_p"),
