@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_filter
+from . import bpe, decontaminate, fingerprint, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_bpe": bpe.op6_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op5_decontaminate": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+}
