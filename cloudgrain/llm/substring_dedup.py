@@ -23,18 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import settle
 from .fm_index import FMIndex
-from .text import PLAIN, Words, as_bytes, blocks, documents, gram_hashes, inside_text, keyed, mix, read, record
+from .text import PLAIN, Words, blocks, documents, gram_hashes, inside_text, keyed, mix, read, record
 
 WINDOW, GRAM = 13, 5
 FILTER_BITS = 27
 HOT_RUNS = 4096  # super-windows of one minimiser in one shard, at most
 LONGEST_RUN = 64  # windows
 SHARD_WORDS = 1 << 18
+WORD_BYTES = 5  # of a word's hash that travel and are compared
+MAX_HELD = 500_000
 _PART = 16  # bits of a filter part: 65,536 bits
 
 
@@ -59,8 +61,8 @@ def _super_windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[start], np.diff(np.append(start, len(at))), key[start]
 
 
-def _filters(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit maps of the minimisers that several documents have, and of those with many super-windows."""
+def _filters(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bit maps of the minimisers that several documents have and of those with many super-windows; number of super-windows of the former."""
     schema = pa.schema([("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +78,13 @@ def _filters(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             size = np.diff(np.append(start, len(key)))
             yield record({"key": key[start].astype(np.int64), "low": doc[start], "high": doc[start + size - 1], "n": size}, schema)
 
-    seen = rows.where("doc_id IS NOT NULL").mapInArrow(emit, "key long, low long, high long, n long")
+    seen = rows.mapInArrow(emit, "key long, low long, high long, n long")
     several = seen.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
     place = F.shiftrightunsigned("key", 64 - bits)
     marked = several.select(
         F.shiftrightunsigned(place, _PART).cast("int").alias("part"), place.bitwiseAND((1 << _PART) - 1).cast("int").alias("bit"),
-        (F.col("n") > HOT_RUNS).alias("hot"),
-    ).groupBy("part", "bit").agg(F.max("hot").alias("hot"))
+        (F.col("n") > HOT_RUNS).alias("hot"), "n",
+    ).groupBy("part", "bit").agg(F.max("hot").alias("hot"), F.sum("n").alias("n"))
 
     def pack(table: pa.Table) -> pa.Table:
         bit, hot = table.column("bit").to_numpy(), table.column("hot").to_numpy(zero_copy_only=False)
@@ -91,12 +93,14 @@ def _filters(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             flags = np.zeros(1 << _PART, bool)
             flags[some] = True
             maps.append(np.packbits(flags, bitorder="little").tobytes())
-        return pa.table({"part": table.column("part").slice(0, 1), "any": [maps[0]], "hot": [maps[1]]})
+        return pa.table({"part": table.column("part").slice(0, 1), "any": [maps[0]], "hot": [maps[1]], "n": [pc.sum(table.column("n")).as_py()]})
 
+    n_runs = 0
     found = np.zeros((2, 1 << (bits - _PART), 1 << (_PART - 3)), np.uint8)
-    for r in marked.groupBy("part").applyInArrow(pack, "part int, any binary, hot binary").toLocalIterator():
+    for r in marked.groupBy("part").applyInArrow(pack, "part int, any binary, hot binary, n long").toLocalIterator():
         found[0, r["part"]], found[1, r["part"]] = np.frombuffer(r["any"], np.uint8), np.frombuffer(r["hot"], np.uint8)
-    return found[0].ravel(), found[1].ravel()
+        n_runs += r["n"]
+    return found[0].ravel(), found[1].ravel(), n_runs
 
 
 def _has(bit_map: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
@@ -104,45 +108,69 @@ def _has(bit_map: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return (bit_map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-_RUNS = pa.schema([
-    ("_key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("shard_key", pa.int64()),
-    ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.binary()),
-])
-_RUNS_DDL = "_key long, doc_id long, first int, shard_key long, h1 long, h2 long, words binary"
+def _runs(part: pa.RecordBatch, w: Words, filters: tuple[np.ndarray, np.ndarray], bits: int) -> dict[str, np.ndarray]:
+    """Super-windows of a block that may repeat. ``at``: first word in the block, ``n``: windows, (h1, h2): 128 bits that name it."""
+    several, hot = filters
+    at, n, key = _super_windows(w)
+    keep = _has(several, key, bits)
+    at, n, key = at[keep], n[keep], key[keep]
+    single = _has(hot, key, bits)
+    times = np.where(single, n, 1)
+    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    at, n, key, single = np.repeat(at, times) + offset, np.where(single, 1, n).repeat(times), np.repeat(key, times), np.repeat(single, times)
+    text = np.searchsorted(w.offsets, at, side="right") - 1
+    names = []
+    for salt in (1, 2):
+        grown = np.zeros(len(w) + 1, np.uint64)
+        np.cumsum(mix(w.hash ^ np.uint64(salt)) * _odd(len(w), salt), out=grown[1:])
+        names.append(mix((grown[at + n + WINDOW - 1] - grown[at]) * _inverse(at, salt) + n.astype(np.uint64)).astype(np.int64))
+    return {
+        "_key": part.column("_key").to_numpy()[text], "doc_id": part.column("doc_id").to_numpy()[text], "first": (at - w.offsets[text]).astype(np.int32),
+        "h1": names[0], "h2": names[1], "at": at, "n": n, "deal": np.where(single, names[0], key.astype(np.int64)),
+    }
 
 
-def _candidates(rows: DataFrame, bits: int) -> DataFrame:
-    """Super-windows that may repeat, with their word hashes."""
-    shared = rows.sparkSession.sparkContext.broadcast(_filters(rows, bits))  # 2 * 2**bits bits, whatever the corpus
+_DISTINCT = pa.schema([("deal", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())])
+_PLACES = pa.schema([("_key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+
+def _distinct_runs(rows: DataFrame, shared, bits: int) -> DataFrame:
+    """Super-windows with their words and range of doc_id, each once per partition (or per ``MAX_HELD`` of them)."""
+
+    def packed(held: dict) -> pa.RecordBatch:
+        columns = list(zip(*held.values())) if held else [[]] * 4
+        return record({"h1": [k[0] for k in held], "h2": [k[1] for k in held], "deal": columns[0], "low": columns[1], "high": columns[2], "words": columns[3]}, _DISTINCT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several, hot = shared.value
+        held: dict = {}
         for part, texts in blocks(batches):
             w = Words(texts, PLAIN)
-            first, n, key = _super_windows(w)
-            keep = _has(several, key, bits)
-            first, n, key = first[keep], n[keep], key[keep]
-            if not len(first):
-                continue
-            single = _has(hot, key, bits)
-            times = np.where(single, n, 1)
-            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            first, n, key, single = np.repeat(first, times) + offset, np.where(single, 1, n).repeat(times), np.repeat(key, times), np.repeat(single, times)
-            text = np.searchsorted(w.offsets, first, side="right") - 1
-            h = np.ascontiguousarray(w.hash)
-            two = []
-            for salt in (1, 2):  # 128 bits name a super-window
-                grown = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(mix(h ^ np.uint64(salt)) * _odd(len(h), salt), out=grown[1:])
-                two.append(mix((grown[first + n + WINDOW - 1] - grown[first]) * _inverse(first, salt) + n.astype(np.uint64)).astype(np.int64))
-            view = memoryview(h).cast("B")
-            yield record({
-                "_key": part.column("_key").to_numpy()[text], "doc_id": part.column("doc_id").to_numpy()[text],
-                "first": (first - w.offsets[text]).astype(np.int32), "shard_key": np.where(single, two[0], key.astype(np.int64)),
-                "h1": two[0], "h2": two[1], "words": [bytes(view[8 * a:8 * (a + m + WINDOW - 1)]) for a, m in zip(first.tolist(), n.tolist())],
-            }, _RUNS)
-
-    return rows.where("doc_id IS NOT NULL").mapInArrow(emit, _RUNS_DDL)
+            r = _runs(part, w, shared.value, bits)
+            view = memoryview(np.ascontiguousarray(w.hash.view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES:])).cast("B")
+            for h1, h2, deal, doc, at, n in zip(*(r[c].tolist() for c in ("h1", "h2", "deal", "doc_id", "at", "n"))):
+                have = held.get((h1, h2))
+                if have is None:
+                    held[h1, h2] = [deal, doc, doc, bytes(view[WORD_BYTES * at:WORD_BYTES * (at + n + WINDOW - 1)])]
+                elif doc < have[1]:
+                    have[1] = doc
+                elif doc > have[2]:
+                    have[2] = doc
+            if len(held) > MAX_HELD:
+                yield packed(held)
+                held = {}
+        yield packed(held)
+
+    return rows.mapInArrow(emit, "deal long, h1 long, h2 long, low long, high long, words binary")
+
+
+def _places(rows: DataFrame, shared, bits: int) -> DataFrame:
+    """Where each super-window stands."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            yield record(_runs(part, Words(texts, PLAIN), shared.value, bits), _PLACES)
+
+    return rows.mapInArrow(emit, "_key long, doc_id long, first int, n int, h1 long, h2 long")
 
 
 _BASES = {1: (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)), 2: (0xD1B54A32D192ED03, pow(0xD1B54A32D192ED03, -1, 1 << 64))}
@@ -167,44 +195,62 @@ def _inverse(at: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _search_shard(table: pa.Table) -> pa.Table:
-    """Least doc_id of every window of a shard's distinct super-windows."""
-    words = [np.frombuffer(b, np.uint64) for b in table.column("words").to_pylist()]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    values = np.concatenate(words)
-    index = FMIndex(values, sizes, table.column("least").to_numpy(), WINDOW)
+    """Least doc_id of every window of a shard's distinct super-windows.
+
+    Windows of one owner are written once. A super-window of one document that owns all its windows is left out.
+    """
+    h1, h2 = table.column("h1").to_numpy(), table.column("h2").to_numpy()
+    order = np.lexsort((h2, h1))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0))))
+    low = np.minimum.reduceat(table.column("low").to_numpy()[order], start)
+    high = np.maximum.reduceat(table.column("high").to_numpy()[order], start)
+    column = table.column("words").combine_chunks().take(pa.array(order[start]))
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WORD_BYTES)
+    values = np.zeros((len(raw), 8), np.uint8)
+    values[:, :WORD_BYTES] = raw
+    values = values.view(np.uint64).ravel()
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)).astype(np.int64) // WORD_BYTES
+    index = FMIndex(values, sizes, low, WINDOW)
     length, row = index.matching_statistics(values, sizes)
-    least = index.least_owner[row]
+    owner = index.least_owner[row]
     first = np.cumsum(sizes) - sizes
-    out = []
-    for a, n in zip(first.tolist(), (sizes - WINDOW + 1).tolist()):
+    names1, names2, owners = [], [], []
+    for k, (a, n) in enumerate(zip(first.tolist(), (sizes - WINDOW + 1).tolist())):
+        own = owner[a:a + n]
         assert (length[a:a + n] == WINDOW).all()  # every window of the index is found in it
-        out.append(least[a:a + n].tobytes())
-    return pa.table({"h1": table.column("h1"), "h2": table.column("h2"), "owners": pa.array(out, pa.binary())})
+        same = (own == own[0]).all()
+        if same and own[0] == high[k]:
+            continue
+        names1.append(h1[order[start[k]]])
+        names2.append(h2[order[start[k]]])
+        owners.append(own[:1 if same else n].tobytes())
+    return pa.table({"h1": pa.array(names1, pa.int64()), "h2": pa.array(names2, pa.int64()), "owners": pa.array(owners, pa.binary())})
 
 
 def repeated_windows(rows: DataFrame, filter_bits: int = FILTER_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(_key, starts): first words of the windows of each row that an earlier document has, as packed 32-bit numbers."""
-    runs = settle(_candidates(rows, filter_bits))
-    n_words = runs.agg(F.sum(F.length("words")).alias("n")).first().n or 0
-    shards = max(1, -(-n_words // (8 * shard_words)))
-    distinct = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("shard_key").alias("shard_key"), F.first("words").alias("words"))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
+    rows = rows.where("doc_id IS NOT NULL")
+    several, hot, n_runs = _filters(rows, filter_bits)
+    shared = rows.sparkSession.sparkContext.broadcast((several, hot))  # 2 * 2**filter_bits bits, whatever the corpus
+    shards = max(1, -(-n_runs * (WINDOW + 4) // shard_words))
+    dealt = _distinct_runs(rows, shared, filter_bits).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
     owners = dealt.groupBy("shard").applyInArrow(_search_shard, "h1 long, h2 long, owners binary")
     schema = pa.schema([("_key", pa.int64()), ("starts", pa.binary())])
 
     def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, starts = [], []
-            for key, doc, first, packed in zip(*(batch.column(c).to_pylist() for c in ("_key", "doc_id", "first", "owners"))):
-                again = np.flatnonzero(np.frombuffer(packed, np.int64) < doc)
+            for key, doc, first, n, packed in zip(*(batch.column(c).to_pylist() for c in ("_key", "doc_id", "first", "n", "owners"))):
+                own = np.frombuffer(packed, np.int64)
+                again = (np.flatnonzero(own < doc) if len(own) > 1 else np.arange(n if own[0] < doc else 0)) + first
                 if len(again):
                     keys.append(key)
-                    starts.append((again + first).astype(np.int32).tobytes())
+                    starts.append(again.astype(np.int32).tobytes())
             yield record({"_key": keys, "starts": starts}, schema)
 
     # A super-window of many documents is a hot key here; a plain join lets AQE split it.
-    met = runs.select("_key", "doc_id", "first", "h1", "h2").join(owners, ["h1", "h2"])
-    return met.select("_key", "doc_id", "first", "owners").mapInArrow(earlier, "_key long, starts binary")
+    met = _places(rows, shared, filter_bits).join(owners, ["h1", "h2"])
+    return met.select("_key", "doc_id", "first", "n", "owners").mapInArrow(earlier, "_key long, starts binary")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))), ("kept_text", pa.string())])
@@ -216,7 +262,7 @@ def remove_repeats(docs: DataFrame, filter_bits: int = FILTER_BITS, shard_words:
     A word goes if a window of 13 words that covers it also starts in a document of
     smaller doc_id. Null and empty texts have no words. Rows of equal doc_id never
     remove from each other; rows without doc_id lose nothing and remove nothing.
-    Word sequences are compared by 64-bit word hashes. Extra columns are ignored.
+    Word sequences are compared word by word by 40-bit hashes. Extra columns are ignored.
     """
     rows = keyed(documents(docs))
     starts = repeated_windows(rows, filter_bits, shard_words).groupBy("_key").agg(F.collect_list("starts").alias("starts"))

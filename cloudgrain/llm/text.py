@@ -69,10 +69,7 @@ class Words:
         self.folded = self.raw.translate(table)
         a = np.frombuffer(self.folded, np.uint8)
         inside = a != 32
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            edge = np.concatenate(([0], edge))
-        self.start, self.end = edge[0::2], edge[1::2]
+        self.start, self.end = self._borders(a, inside)
         lengths = self.end - self.start
         first = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
         self.hash = run_hashes(_BYTE_VALUES[a[inside]], first, lengths)
@@ -80,6 +77,13 @@ class Words:
         self.text_start = np.concatenate(([0], np.cumsum(sizes)))
         self.offsets = np.searchsorted(self.start, self.text_start)
 
+    @staticmethod
+    def _borders(a: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.concatenate(([0], edge))
+        return edge[0::2], edge[1::2]
+
     def __len__(self) -> int:
         return len(self.hash)
 
@@ -91,6 +95,20 @@ class Words:
         return self.folded[self.start[i]:self.end[i]]
 
 
+_PUNCTUATION = np.array([33 <= b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+class Pieces(Words):
+    """Like ``Words``, with runs of ASCII punctuation split from the words they stand at."""
+
+    @staticmethod
+    def _borders(a: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = inside.astype(np.int8) + _PUNCTUATION[a]
+        edge = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(a)]))
+        some = kind[edge[:-1]] > 0
+        return edge[:-1][some], edge[1:][some]
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n values from each place on; the last n - 1 places have none."""
     if len(h) < n:
