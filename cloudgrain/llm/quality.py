@@ -21,7 +21,7 @@ from .text import Pieces, as_bytes, blocks, crc_mod, documents, gram_hashes, ins
 BITS = 20
 MAX_FIT_ROWS = 20_000
 SHARDS, EPOCHS = 8, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.002
 THRESHOLD = 0.3
 
 

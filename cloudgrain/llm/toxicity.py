@@ -1,16 +1,17 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary documents, discount absolutely
-and back off to their own unigrams, and these to one shared distribution: the number of
-different words that each word follows in either class. A rare expression thus gets
-its probability from counts that both classes share and says little, while one typical of a
-class says much. The score compares the length-normalised log-likelihoods of both models,
-over the whole document and over its most telling windows of eight words.
+Words are spelled in steps of growing prefixes (4, 6, 8 bytes, the whole word), so that
+inflected and compounded forms share evidence with their stems. Two models, one of toxic and
+one of ordinary documents, give every step a probability after its prefix: counts are
+discounted absolutely, and what the discount takes is spread over the steps by one backoff
+distribution that both classes share. A rare expression thus gets nearly the same probability from both and
+says little, while one typical of a class says much. The score compares the length-normalised
+log-likelihoods of both models, over the whole document and over its most telling windows of eight words.
 
 Counts come from every usable labelled document. They are kept in hash tables of fixed
-size (``UNI_BITS``, ``PAIR_BITS``), so the model that is sent to the executors does not
-grow with the corpus. A logistic curve over the comparisons is fitted on a bounded
-sample of labelled rows that the counts leave out.
+size (``NODE_BITS``), so the model that is sent to the executors does not grow with the
+corpus. A logistic curve over the comparisons is fitted on a bounded sample of labelled rows that
+the counts leave out.
 """
 
 from __future__ import annotations
@@ -24,43 +25,74 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked, settle
 from .quality import sample_labelled, scored
-from .text import FOLDED, Words, blocks, crc_mod, documents, inside_text, mix, read, record
+from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record
 
-UNI_BITS, PAIR_BITS = 20, 22
-WORD_BITS = 28  # bits of a word hash that tell words apart when pairs are counted
-DISCOUNT = 0.75
+NODE_BITS = 22
+PREFIXES = (4, 6, 8)  # bytes
+DISCOUNT = 4.0
 SPAN = 8
 MAX_FIT_ROWS = 20_000
 CALIBRATION = 8  # every eighth labelled document fits the curve, not the counts
+MAX_HELD = 1_000_000
 _PART = 14
+_ROOT, _WHOLE = np.uint64(0x6A09E667F3BCC908), np.uint64(0x5851F42D4C957F2D)
 
 
-def _pairs(w: Words) -> np.ndarray:
-    """Number of each pair of neighbouring words: context bucket, then word."""
-    h = w.hash
-    ids = (h[:-1] >> np.uint64(64 - UNI_BITS)) << np.uint64(WORD_BITS) | h[1:] >> np.uint64(64 - WORD_BITS)
-    return ids[inside_text(w, 2)].astype(np.int64)
+def _bucket(node: np.ndarray) -> np.ndarray:
+    return (node >> np.uint64(64 - NODE_BITS)).astype(np.int64)
 
 
-_COUNTS = pa.schema([("pair", pa.int64()), ("toxic", pa.int32()), ("ordinary", pa.int32())])
+def _steps(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, prefix, node) of every step; prefix and node are hashes, the first prefix is empty."""
+    raw = np.frombuffer(w.folded, np.uint8)
+    size = w.end - w.start
+    grown = np.zeros(len(w), np.uint64)
+    parent = np.full(len(w), _ROOT)
+    words, parents, nodes = [], [], []
+    at = np.arange(len(w))
+    done = 0
+    for n in PREFIXES:
+        on = size[at] > n  # longer words go on, the others end here with their whole form
+        for j in range(done, n):
+            inside = j < size[at]
+            grown[at] += np.where(inside, mix(raw[np.minimum(w.start[at] + j, len(raw) - 1)].astype(np.uint64) + np.uint64(256 * (j + 1))), np.uint64(0))
+        done = n
+        node = np.where(on, mix(grown[at] + np.uint64(n)), w.hash[at] ^ _WHOLE)
+        words.append(at)
+        parents.append(parent[at])
+        nodes.append(node)
+        parent[at] = node
+        at = at[on]
+    return np.concatenate([*words, at]), np.concatenate([*parents, parent[at]]), np.concatenate([*nodes, w.hash[at] ^ _WHOLE])
 
 
-def _pair_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pair, toxic, ordinary): occurrences in either class, over all rows of ``labels`` (doc_id, label)."""
+_COUNTS = pa.schema([("node", pa.int64()), ("parent", pa.int32()), ("toxic", pa.int32()), ("ordinary", pa.int32())])
+
+
+def _node_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, parent, toxic, ordinary): occurrences of every step in either class, over all rows of ``labels`` (doc_id, label)."""
+
+    def summed(node, parent, toxic, ordinary):
+        node, first, at = np.unique(np.concatenate(node), return_index=True, return_inverse=True)
+        return node, np.concatenate(parent)[first], *(np.bincount(at, np.concatenate(n), minlength=len(node)).astype(np.int32) for n in (toxic, ordinary))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for part, texts in blocks(batches):
-            # A leading blank word stands for the start of a text.
-            w = Words([b"\xff " + t for t in texts], FOLDED)
-            pairs = _pairs(w)
-            toxic = np.repeat(part.column("label").to_numpy(), np.maximum(np.diff(w.offsets) - 1, 0)) == 1
-            key, at = np.unique(pairs, return_inverse=True)
-            n = np.bincount(at, toxic, minlength=len(key)).astype(np.int32)
-            yield record({"pair": key, "toxic": n, "ordinary": np.bincount(at, minlength=len(key)).astype(np.int32) - n}, _COUNTS)
+            w = Words(texts, FOLDED)
+            word, parent, node = _steps(w)
+            toxic = part.column("label").to_numpy()[w.text_of()[word]] == 1
+            held.append(summed([node.view(np.int64)], [_bucket(parent).astype(np.int32)], [toxic], [~toxic]))
+            if sum(len(h[0]) for h in held) > MAX_HELD:
+                yield record(dict(zip(_COUNTS.names, summed(*zip(*held)))), _COUNTS)
+                held = []
+        if held:
+            yield record(dict(zip(_COUNTS.names, summed(*zip(*held)))), _COUNTS)
 
     # Labels are joined where the texts lie while they are few; beyond that by a shuffle.
     rows = documents(docs).join(broadcast_checked(labels, 2_000_000), "doc_id").select("text", "label")
-    return rows.mapInArrow(emit, "pair long, toxic int, ordinary int").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counts = rows.mapInArrow(emit, "node long, parent int, toxic int, ordinary int")
+    return counts.groupBy("node", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
@@ -84,33 +116,27 @@ def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
     return [a.ravel() for a in arrays]
 
 
-def pair_bucket(pair: np.ndarray) -> np.ndarray:
-    return (mix(pair.view(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
 def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """Hashed count tables of both classes from rows labelled 1 (toxic) or 0."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("word", pa.int64()), ("context", pa.int64()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
-        for batch in batches:
-            pair = batch.column("pair").to_numpy()
-            yield record({
-                "bucket": pair_bucket(pair), "word": (pair & ((1 << WORD_BITS) - 1)) >> (WORD_BITS - UNI_BITS), "context": pair >> WORD_BITS,
-                "toxic": batch.column("toxic"), "ordinary": batch.column("ordinary"),
-            }, schema)
-
-    pairs = settle(_pair_counts(docs, labels).mapInArrow(hashed, "bucket long, word long, context long, toxic long, ordinary long"))
-    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
-    seen = [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
+    """Hashed count tables of both classes from rows labelled 1 (toxic) or 0.
+
+    Both classes discount the same rate: ``DISCOUNT`` occurrences in the smaller class and
+    in proportion more in the larger one. So a step that is rare in both backs off in
+    both, whatever their sizes.
+    """
+    nodes = settle(_node_counts(docs, labels))
+    classes = ("toxic", "ordinary")
+    total = nodes.where(F.col("parent") == int(_bucket(_ROOT))).agg(*[F.sum(c).alias(c) for c in classes]).first().asDict()
+    least = max(1.0, min(float(n or 0) for n in total.values()))
+    discount = {c: DISCOUNT * max(1.0, float(n or 0) / least) for c, n in total.items()}
+    left = {c: F.greatest(F.col(c) - discount[c], F.lit(0.0)) for c in classes}
+    bucket = F.shiftrightunsigned("node", 64 - NODE_BITS).alias("bucket")
     out: dict[str, np.ndarray] = {}
-    out["pair_toxic"], out["pair_ordinary"] = _dense(pairs.groupBy("bucket").agg(*sums), PAIR_BITS, ["toxic", "ordinary"])
-    words = pairs.groupBy(F.col("word").alias("bucket")).agg(*sums, F.count(F.lit(1)).alias("kinds"))
-    out["toxic"], out["ordinary"], out["follows"] = _dense(words, UNI_BITS, ["toxic", "ordinary", "kinds"])
-    contexts = pairs.groupBy(F.col("context").alias("bucket")).agg(*sums, *seen)
-    names = ["toxic", "ordinary", "toxic_kinds", "ordinary_kinds"]
-    for name, values in zip(names, _dense(contexts, UNI_BITS, names)):
-        out[f"context_{name}"] = values
+    own = nodes.groupBy(bucket).agg(*[F.sum(left[c]).alias(c) for c in classes], F.sum(F.col("toxic") + F.col("ordinary")).alias("shared"))
+    out["left_toxic"], out["left_ordinary"], out["shared"] = _dense(own, NODE_BITS, [*classes, "shared"])
+    below = nodes.groupBy(F.col("parent").cast("long").alias("bucket")).agg(*[F.sum(c).alias(c) for c in classes], *[F.sum(F.col(c) - left[c]).alias(f"{c}_taken") for c in classes])
+    names = [*classes, "toxic_taken", "ordinary_taken"]
+    for name, values in zip(names, _dense(below, NODE_BITS, names)):
+        out[f"below_{name}"] = values
     return out
 
 
@@ -118,34 +144,30 @@ class Models:
     """Log-likelihood ratio per word from the count tables."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        follows = counts["follows"].astype(np.float64)
-        shared = (follows + 0.5) / (follows.sum() + 0.5 * len(follows))
-        self.unigram, self.pair, self.rest, self.total = {}, {}, {}, {}
+        self.counts = counts
+        self.pooled = counts["below_toxic"] + counts["below_ordinary"]
+
+    def ratios(self, w: Words) -> np.ndarray:
+        word, parent, node = _steps(w)
+        parent, node = _bucket(parent), _bucket(node)
+        shared = (self.counts["shared"][node] + 0.5) / (self.pooled[parent] + 1.0)
+        log = []
         for c in ("toxic", "ordinary"):
-            n = counts[c].astype(np.float64)
-            total = max(1.0, n.sum())
-            self.unigram[c] = ((np.maximum(n - DISCOUNT, 0) + DISCOUNT * max(1, (n > 0).sum()) * shared) / total).astype(np.float32)
-            self.pair[c] = counts[f"pair_{c}"]
-            context = counts[f"context_{c}"]
-            self.total[c] = np.maximum(context, 1)
-            self.rest[c] = np.where(context > 0, DISCOUNT * counts[f"context_{c}_kinds"], 1).astype(np.float32)
+            n, taken = self.counts[f"below_{c}"][parent], self.counts[f"below_{c}_taken"][parent]
+            # Buckets may be shared: what is left of a step is at most what is left below its prefix.
+            left = np.minimum(self.counts[f"left_{c}"][node], n - taken)
+            log.append(np.log(np.where(n > 0, (left + taken * shared) / np.maximum(n, 1), shared)))
+        return np.bincount(word, log[0] - log[1], minlength=len(w))
 
     def compare(self, texts: list[bytes]) -> np.ndarray:
         """Per text: mean log ratio of all words, best and second best window's mean, and 1 / (1 + words)."""
-        w = Words([b"\xff " + t for t in texts], FOLDED)
+        w = Words(texts, FOLDED)
         out = np.zeros((len(texts), 4))
-        n = np.maximum(np.diff(w.offsets) - 1, 0)
+        n = np.diff(w.offsets)
         out[:, 3] = 1 / (1 + n)
-        pairs = _pairs(w)
-        if not len(pairs):
+        if not len(w):
             return out
-        bucket, word, context = pair_bucket(pairs), (pairs & ((1 << WORD_BITS) - 1)) >> (WORD_BITS - UNI_BITS), pairs >> WORD_BITS
-        logs = {}
-        for c in self.pair:
-            # A bucket shared by several pairs may hold more than the context has.
-            own = np.minimum(np.maximum(self.pair[c][bucket] - DISCOUNT, 0), self.total[c][context])
-            logs[c] = np.log((own + self.rest[c][context] * self.unigram[c][word]) / self.total[c][context])
-        ratio = (logs["toxic"] - logs["ordinary"]).astype(np.float64)
+        ratio = self.ratios(w)
         owner = np.repeat(np.arange(len(texts)), n)
         out[:, 0] = np.bincount(owner, ratio, minlength=len(texts)) / np.maximum(n, 1)
         # Windows of SPAN words, those at the end of a text being shorter, each normalised by SPAN.
