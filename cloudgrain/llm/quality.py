@@ -70,6 +70,16 @@ class Ftrl:
         self.n[place] = new
 
 
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression on a few columns by Newton steps."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
+        beta += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * beta)
+    return beta
+
+
 def _fit_shard(table: pa.Table) -> pa.Table:
     table = table.sort_by("_order")
     texts, labels = as_bytes(table.column("text").combine_chunks()), table.column("label").to_pylist()
@@ -94,12 +104,35 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return documents(docs).join(F.broadcast(chosen), "doc_id")
 
 
+def _margins(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    schema = pa.schema([("label", pa.int32()), ("margin", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            yield record({"label": part.column("label"), "margin": dot(texts, shared.value)}, schema)
+
+    got = rows.select("text", "label").mapInArrow(run, "label int, margin double").toArrow()
+    return got.column("margin").to_numpy(), got.column("label").to_numpy().astype(float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> np.ndarray:
-    """Weights from the usable labelled rows; all zero (every score one half) without any."""
-    rows = sample_labelled(docs, labels, label, usable, max_rows)
-    models = rows.withColumn("_shard", F.pmod(F.shiftright("_order", 20), F.lit(SHARDS))).groupBy("_shard").applyInArrow(_fit_shard, "n long, weights binary").collect()
+    """Weights from the usable labelled rows; all zero (every score one half) without any.
+
+    Every eighth row of the sample is kept from the leader's steps: a logistic curve over
+    its dot products sets the scale and the bias of the averaged weights.
+    """
+    rows = sample_labelled(docs, labels, label, usable, max_rows).withColumn("_shard", F.pmod(F.shiftright("_order", 20), F.lit(8 * SHARDS)))
+    apart = F.col("_shard") < SHARDS
+    models = rows.where(~apart).withColumn("_shard", F.col("_shard") % SHARDS).groupBy("_shard").applyInArrow(_fit_shard, "n long, weights binary").collect()
     total = sum(m.n for m in models)
-    return sum((np.frombuffer(m.weights, np.float32) * (m.n / total) for m in models), np.zeros(1 << BITS, np.float32))
+    weights = sum((np.frombuffer(m.weights, np.float32) * (m.n / total) for m in models), np.zeros(1 << BITS, np.float32))
+    margin, y = _margins(rows.where(apart), weights)
+    if len(np.unique(y)) == 2:
+        bias, scale = curve(np.column_stack((np.ones(len(y)), margin)), y)
+        weights = weights * np.float32(scale)
+        weights[0] += np.float32(bias)
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

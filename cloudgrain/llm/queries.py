@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, substring_dedup, url_filter
+from . import bpe, decontaminate, fingerprint, near_dedup, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_fingerprint": fingerprint.op2_fingerprint,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe": bpe.op6_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked, settle
-from .quality import sample_labelled, scored
+from .quality import curve, sample_labelled, scored
 from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record
 
 NODE_BITS = 22
@@ -186,16 +186,6 @@ class Models:
         return out
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps; a few coefficients."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        beta += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * beta)
-    return beta
-
-
 def _inputs(f: np.ndarray) -> np.ndarray:
     return np.column_stack((np.ones(len(f)), f[:, 0], f[:, 1], f[:, 2], f[:, 3], np.log(f[:, 3])))
 
@@ -220,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     if not len(rows):
         return counts, np.zeros(6)
     y = rows.column("label").to_numpy().astype(float)
-    return counts, _curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)
+    return counts, curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray]) -> DataFrame:
