@@ -43,6 +43,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that ``settle`` returned. What is lazily built on it must have been computed."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/settled/" in file:
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            return
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only when ``df`` has at most ``max_rows`` rows.
 
