@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _FAR = -(1 << 40)
+_NARROW = 64  # edits up to which single steps are faster than whole diagonals
 
 
 def similarity_at_least(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -32,7 +33,8 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     common = np.minimum(np.bincount(ids[:len(a)], minlength=kinds), np.bincount(ids[len(a):], minlength=kinds)).sum()
     if max(len(a), len(b)) - common > limit:
         return False
-    return _walk(a.tolist(), b.tolist(), limit) if limit <= 48 else _walk_wide(a, b, limit)
+    near = _walk(a.tolist(), b.tolist(), min(limit, _NARROW))
+    return near or limit > _NARROW and _walk_wide(a, b, limit)
 
 
 def _walk(a: list, b: list, limit: int) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import discard, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: each node's smaller neighbours and itself are linked to the least of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
-        stars = settle(small.where("hi > lo").distinct())
+        stars, last = settle(small.where("hi > lo").distinct()), stars
+        discard(last)
         state = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(stars.select("lo", "lo").distinct())

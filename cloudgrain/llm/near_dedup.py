@@ -25,22 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import discard, settle
 from .alignment import similarity_at_least
 from .components import components
+from .filters import id_filter, passes
 from .text import FOLDED, Words, blocks, documents, gram_hashes, inside_text, mix, read, record, run_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, KEEP = 32, 3
 LEADERS = 8
+FILTER_BITS = 27  # of the filter that picks the texts to read again
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
-    ("sketches", pa.list_(pa.int64())), ("words", pa.binary()),
+    ("sketches", pa.list_(pa.int64())),
 ])
+_WORDS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.binary())])
 
 
 def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -73,12 +76,23 @@ def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray)
     return out
 
 
+def _names(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the word sequence of each text; 0 for texts without words."""
+    n = np.diff(w.offsets)
+    some = np.flatnonzero(n)
+    name = np.zeros((2, len(n)), np.int64)
+    name[0, some] = run_hashes(w.hash, w.offsets[some], n[some]).astype(np.int64)
+    name[1, some] = run_hashes(mix(w.hash ^ np.uint64(77)), w.offsets[some], n[some]).astype(np.int64)
+    return name[0], name[1]
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             w = Words(texts, FOLDED)
             n = np.diff(w.offsets)
             some = np.flatnonzero(n)
+            h1, h2 = _names(w)
             # Shingles start at every word that has four more behind it; a shorter text is one shingle.
             begins = np.zeros(len(w), bool)
             ok = inside_text(w, SHINGLE)
@@ -87,23 +101,38 @@ def _signatures(rows: DataFrame) -> DataFrame:
             begins[w.offsets[short]] = True
             shingles = np.zeros(len(w), np.uint64)
             shingles[:len(ok)] = gram_hashes(w.hash, SHINGLE)
-            whole1 = run_hashes(w.hash, w.offsets[some], n[some])
-            whole2 = run_hashes(mix(w.hash ^ np.uint64(77)), w.offsets[some], n[some])
-            name = np.zeros((2, len(n)), np.int64)
-            name[:, some] = whole1.astype(np.int64), whole2.astype(np.int64)
-            shingles[w.offsets[short]] = name[0, short].astype(np.uint64)
+            shingles[w.offsets[short]] = h1[short].astype(np.uint64)
             lengths = np.maximum(n[some] - SHINGLE + 1, 1)
             sketches = order_sketches(shingles[begins], np.cumsum(lengths) - lengths, lengths).astype(np.int64) if len(some) else np.zeros((0, SKETCHES), np.int64)
             count = np.zeros(len(n), np.int64)
             count[some] = SKETCHES
-            small = memoryview((w.hash >> np.uint64(32)).astype(np.uint32)).cast("B")
             yield record({
-                "doc_id": part.column("doc_id"), "h1": name[0], "h2": name[1], "n": n.astype(np.int32),
+                "doc_id": part.column("doc_id"), "h1": h1, "h2": h2, "n": n.astype(np.int32),
                 "sketches": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), sketches.ravel()),
-                "words": [bytes(small[4 * a:4 * b]) for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())],
             }, _SIGNED)
 
-    return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>, words binary")
+    return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>")
+
+
+def _words_of(rows: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, words) of the wanted nodes: texts are read again and passed where they lie, so only wanted ones are sent."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted, FILTER_BITS))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for part, texts in blocks(iter([batch.filter(pa.array(passes(shared.value, ids, FILTER_BITS)))])):
+                w = Words(texts, FOLDED)
+                h1, h2 = _names(w)
+                small = memoryview((w.hash >> np.uint64(32)).astype(np.uint32)).cast("B")
+                yield record({
+                    "doc_id": part.column("doc_id"), "h1": h1, "h2": h2,
+                    "words": [bytes(small[4 * a:4 * b]) for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())],
+                }, _WORDS)
+
+    some = rows.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id long, h1 long, h2 long, words binary")
+    exact = some.join(wanted, "doc_id", "left_semi").join(own, ["doc_id", "h1", "h2"], "left_semi")
+    return exact.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "words")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -133,6 +162,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
     own = members.where("doc_id = node").select("doc_id", "h1", "h2")
     sketched = worded.select("doc_id", "h1", "h2", "n", "sketches").join(own, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
     buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketches").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket")).distinct()
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    buckets = settle(buckets.join(shared, "bucket", "left_semi"))
     # Rows of one doc_id with several texts are one document from the start.
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi")
     links = members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
@@ -147,10 +178,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
             pairs = _across(pairs, component)
         pairs = settle(pairs)
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        # Only texts that are in a pair are sent, once per pair.
-        words = worded.select("doc_id", "h1", "h2", "words").join(own, ["doc_id", "h1", "h2"], "left_semi").join(wanted, "doc_id", "left_semi")
-        words = settle(words.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "words"))
-        links = settle(links.union(_verified(pairs, words, similarity)))
+        words = settle(_words_of(rows, wanted, own))
+        verified = _verified(pairs, words, similarity)
+        links = settle(links.union(verified))
+        discard(words)
+        discard(pairs)
         component = components(links)
         rest = buckets.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
         rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))

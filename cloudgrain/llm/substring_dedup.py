@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, settle
+from .filters import bit_maps, has
 from .fm_index import FMIndex
 from .text import PLAIN, Words, blocks, documents, gram_hashes, inside_text, keyed, mix, read, record
 
@@ -37,7 +38,6 @@ LONGEST_RUN = 64  # windows
 SHARD_WORDS = 1 << 18
 WORD_BYTES = 5  # of a word's hash that travel and are compared
 MAX_HELD = 500_000
-_PART = 16  # bits of a filter part: 65,536 bits
 
 
 def _super_windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,32 +80,16 @@ def _filters(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
 
     seen = rows.mapInArrow(emit, "key long, low long, high long, n long")
     several = seen.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
+    several = settle(several)
     place = F.shiftrightunsigned("key", 64 - bits)
-    marked = several.select(
-        F.shiftrightunsigned(place, _PART).cast("int").alias("part"), place.bitwiseAND((1 << _PART) - 1).cast("int").alias("bit"),
-        (F.col("n") > HOT_RUNS).alias("hot"), "n",
-    ).groupBy("part", "bit").agg(F.max("hot").alias("hot"), F.sum("n").alias("n"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        bit, hot = table.column("bit").to_numpy(), table.column("hot").to_numpy(zero_copy_only=False)
-        maps = []
-        for some in (bit, bit[hot]):
-            flags = np.zeros(1 << _PART, bool)
-            flags[some] = True
-            maps.append(np.packbits(flags, bitorder="little").tobytes())
-        return pa.table({"part": table.column("part").slice(0, 1), "any": [maps[0]], "hot": [maps[1]], "n": [pc.sum(table.column("n")).as_py()]})
-
-    n_runs = 0
-    found = np.zeros((2, 1 << (bits - _PART), 1 << (_PART - 3)), np.uint8)
-    for r in marked.groupBy("part").applyInArrow(pack, "part int, any binary, hot binary, n long").toLocalIterator():
-        found[0, r["part"]], found[1, r["part"]] = np.frombuffer(r["any"], np.uint8), np.frombuffer(r["hot"], np.uint8)
-        n_runs += r["n"]
-    return found[0].ravel(), found[1].ravel(), n_runs
+    maps = bit_maps(several, place, bits, {"any": F.lit(True), "hot": F.col("n") > HOT_RUNS})
+    n_runs = several.agg(F.sum("n").alias("n")).first().n or 0
+    discard(several)
+    return maps["any"], maps["hot"], n_runs
 
 
 def _has(bit_map: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    place = (key >> np.uint64(64 - bits)).astype(np.int64)
-    return (bit_map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return has(bit_map, (key >> np.uint64(64 - bits)).astype(np.int64))
 
 
 def _runs(part: pa.RecordBatch, w: Words, filters: tuple[np.ndarray, np.ndarray], bits: int) -> dict[str, np.ndarray]:
