@@ -16,18 +16,21 @@ the counts leave out.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_checked, settle
+from ..storage import broadcast_checked, discard, settle
 from .quality import curve, sample_labelled, scored
 from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record
 
-NODE_BITS = 22
+NODE_BITS = 21
 PREFIXES = (4, 6, 8)  # bytes
 DISCOUNT = 4.0
 SPAN = 8
@@ -137,6 +140,7 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     names = [*classes, "toxic_taken", "ordinary_taken"]
     for name, values in zip(names, _dense(below, NODE_BITS, names)):
         out[f"below_{name}"] = values
+    discard(nodes)
     return out
 
 
@@ -190,43 +194,70 @@ def _inputs(f: np.ndarray) -> np.ndarray:
     return np.column_stack((np.ones(len(f)), f[:, 0], f[:, 1], f[:, 2], f[:, 3], np.log(f[:, 3])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_FIT_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+class Model:
+    """Fitted tables, sent to the executors once (packed, as most buckets of a small corpus are empty), and the curve."""
+
+    def __init__(self, spark, counts: dict[str, np.ndarray]):
+        packed = zstandard.ZstdCompressor(1).compress(pickle.dumps(counts, pickle.HIGHEST_PROTOCOL))
+        self.name = hashlib.sha256(packed).hexdigest()
+        self.tables = spark.sparkContext.broadcast(packed)
+        self.beta = np.zeros(6)
+
+    def load(self) -> Models:
+        """The tables in this Python worker, unpacked once."""
+        if self.name not in _loaded:
+            _loaded.clear()
+            _loaded[self.name] = Models(pickle.loads(zstandard.ZstdDecompressor().decompress(self.tables.value)))
+        return _loaded[self.name]
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_inputs(self.load().compare(texts)) @ self.beta, -30, 30)))
+
+
+_loaded: dict[str, Models] = {}
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Count tables from the usable labelled rows, and the curve from the eighth of them that is left out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     apart = F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
-    counts = fit_counts(docs, own.where(~apart))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    model = Model(docs.sparkSession, fit_counts(docs, own.where(~apart)))
     schema = pa.schema([("label", pa.int32()), *((f"f{i}", pa.float64()) for i in range(4))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(shared.value)
+        models = model.load()
         for part, texts in blocks(batches):
             f = models.compare(texts)
             yield record({"label": part.column("label"), **{f"f{i}": f[:, i] for i in range(4)}}, schema)
 
     sample = sample_labelled(docs, labels, "toxic", usable & apart, max_rows)
     rows = sample.select("text", "label").mapInArrow(compare, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
-    if not len(rows):
-        return counts, np.zeros(6)
-    y = rows.column("label").to_numpy().astype(float)
-    return counts, curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)
+    if len(rows):
+        y = rows.column("label").to_numpy().astype(float)
+        model.beta = curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)
+    return model
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row, 0 to 1; null and empty texts have no evidence but their length. Rows may repeat."""
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches):
+            yield record({"doc_id": part.column("doc_id"), "score": model.scores(texts)}, schema)
+
+    return documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, _key, score) of every row, 0 to 1; null and empty texts have no evidence but their length. Rows may repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("score", pa.float64())])
+def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """Rows of ``docs`` (with a text column) whose score is below ``threshold``; all columns, one map pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, beta = shared.value
-        models = Models(counts)
         for part, texts in blocks(batches):
-            s = 1 / (1 + np.exp(-np.clip(_inputs(models.compare(texts)) @ beta, -30, 30)))
-            yield record({"doc_id": part.column("doc_id"), "_key": part.column("_key"), "score": s}, schema)
+            yield part.filter(pa.array(model.scores(texts) < threshold))
 
-    rows = documents(docs)
-    return rows.withColumn("_key", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, _key long, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
