@@ -30,8 +30,9 @@ MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 256, 1024, 8192
 CHUNK_STORE_BYTES, WORD_STORE_BYTES = 64 << 20, 192 << 20
 _ENTRY = 250  # bytes that one stored entry costs beside its text, about
 
-Piece = tuple[int, bytes, bytes]  # number of tokens, ids in decimal, decoded text; both joined by one space
-_NOTHING: Piece = (0, b"", b"")
+#: Number of tokens, ids in decimal and decoded text (both joined by one space), ids packed in 32 bits.
+Piece = tuple[int, bytes, bytes, bytes]
+_NOTHING: Piece = (0, b"", b"", b"")
 
 
 class ChunkCoder:
@@ -61,8 +62,8 @@ class ChunkCoder:
         coded = self.tokenizer.encode_batch([m.decode() for m in missing], add_special_tokens=False)
         ids, tokens, words = self.ids, self.tokens, self.words
         for word, c in zip(missing, coded):
-            words[word] = p = (len(c.ids), b" ".join([ids[i] for i in c.ids]), b" ".join([tokens[i] for i in c.ids]))
-            self.word_bytes += len(word) + len(p[1]) + len(p[2]) + _ENTRY
+            words[word] = p = (len(c.ids), b" ".join([ids[i] for i in c.ids]), b" ".join([tokens[i] for i in c.ids]), np.array(c.ids, np.int32).tobytes())
+            self.word_bytes += len(word) + len(p[1]) + len(p[2]) + len(p[3]) + _ENTRY
 
     def of_words(self, words: list[bytes]) -> Piece:
         """Tokens of words joined by white space."""
@@ -90,7 +91,7 @@ class ChunkCoder:
             else:
                 known = (head, tail, self.of_words(words))
             self.chunks[text] = known
-            self.chunk_bytes += 2 * len(text) + len(known[2][1]) + len(known[2][2]) + _ENTRY
+            self.chunk_bytes += 2 * len(text) + sum(map(len, known[2][1:])) + _ENTRY
         return known
 
     def repair(self, before: bytes, region: bytes, after: bytes) -> Piece:
@@ -147,7 +148,7 @@ class ChunkCoder:
 
 def joined(pieces: list[Piece]) -> Piece:
     some = [p for p in pieces if p[0]]
-    return sum([p[0] for p in some]), b" ".join([p[1] for p in some]), b" ".join([p[2] for p in some])
+    return sum([p[0] for p in some]), b" ".join([p[1] for p in some]), b" ".join([p[2] for p in some]), b"".join([p[3] for p in some])
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -166,43 +167,45 @@ def coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
-_CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_CODED = pa.schema([
+    ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()),
+    ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
+])
+_DDL = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _coded(docs: DataFrame, schema: pa.Schema, ddl: str, path: str | None, sizes: tuple[int, int, int]) -> DataFrame:
-    digests = "ids_sha256" in schema.names
+def encode(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids", "decoded"), path: str | None = None, sizes: tuple[int, int, int] = (MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK)) -> DataFrame:
+    """Per row of ``docs`` the chosen ``columns``: doc_id, n_tokens, ids, decoded, ids_sha256 (of the
+    decimal ids joined by a space), decoded_sha256.
+
+    ``path`` names a tokenizers file without a decoder and without tokens over white
+    space; the default is the public word vocabulary. Null and empty texts have no
+    tokens. Rows may repeat; extra columns are ignored.
+    """
+    schema = pa.schema([_CODED.field(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path or vocabulary_path())
         for part, texts in blocks(batches):
             done = [own.text(t, c) for t, c in zip(texts, cut_points(texts, *sizes, whole_characters=True))]
-            columns = {"doc_id": part.column("doc_id"), "n_tokens": [p[0] for p in done]}
-            if digests:
-                columns |= {"ids_sha256": [hashlib.sha256(p[1]).hexdigest() for p in done], "decoded_sha256": [hashlib.sha256(p[2]).hexdigest() for p in done]}
-            else:
-                columns |= {"ids": [p[1] for p in done], "decoded": [p[2] for p in done]}
-            yield record(columns, schema)
-
-    return documents(docs).mapInArrow(run, ddl)
+            made = {"doc_id": part.column("doc_id"), "n_tokens": [p[0] for p in done]}
+            if "ids" in columns:
+                ends = np.cumsum([0, *made["n_tokens"]]).astype(np.int32)
+                made["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join([p[3] for p in done]), np.int32))
+            if "decoded" in columns:
+                made["decoded"] = [p[2].decode() for p in done]
+            if "ids_sha256" in columns:
+                made["ids_sha256"] = [hashlib.sha256(p[1]).hexdigest() for p in done]
+            if "decoded_sha256" in columns:
+                made["decoded_sha256"] = [hashlib.sha256(p[2]).hexdigest() for p in done]
+            yield record(made, schema)
 
-
-def encode(docs: DataFrame, path: str | None = None, sizes: tuple[int, int, int] = (MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK)) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, token ids (array) and decoded text.
-
-    ``path`` names a tokenizers file without a decoder and without tokens over white
-    space; the default is the public word vocabulary. Null and empty texts have no
-    tokens. Rows may repeat; extra columns are ignored.
-    """
-    rows = _coded(docs, _CODED, "doc_id long, n_tokens long, ids binary, decoded binary", path, sizes)
-    return rows.selectExpr("doc_id", "n_tokens", "CASE WHEN n_tokens = 0 THEN array() ELSE transform(split(cast(ids AS string), ' '), x -> int(x)) END AS ids", "cast(decoded AS string) AS decoded")
+    return documents(docs).mapInArrow(run, ", ".join(f"{c} {_DDL[c]}" for c in columns))
 
 
-def encode_digests(docs: DataFrame, path: str | None = None, sizes: tuple[int, int, int] = (MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK)) -> DataFrame:
-    """Like ``encode``, with SHA-256 of the ids (decimal, joined by a space) and of the decoded text in their place."""
-    return _coded(docs, _DIGESTS, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, sizes)
+DIGESTS = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
-    return encode_digests(read(spark, sf_dir, "documents"))
+    return encode(read(spark, sf_dir, "documents"), DIGESTS)

@@ -176,11 +176,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
     Rows that repeat a doc_id with other texts are told apart by their text.
     """
     found = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, n)
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_key"), F.col("clean_text").alias("_clean"), (F.col("n_hit") > F.col("n_words") * max_share).alias("_gone")).dropDuplicates(["_key"])
-    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(hit, "_key", "left").where("_gone IS NULL OR NOT _gone")
-    text = F.coalesce("_clean", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return kept.withColumns(new).select(*docs.columns)
+    hit = found.where("n_hit > 0").select(
+        F.col("doc_id").alias("_key"), F.struct(F.col("clean_text").alias("text"), (F.col("n_hit") > F.col("n_words") * max_share).alias("gone")).alias("_hit"),
+    ).dropDuplicates(["_key"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("_key")).join(hit, "_key", "left")
+    text = F.coalesce("_hit.text", "_row.text")
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_hit").isNull(), F.col("_row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.where("_hit IS NULL OR NOT _hit.gone").select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

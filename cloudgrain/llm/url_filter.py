@@ -18,7 +18,6 @@ from .text import read
 
 MAX_BAD, Z = 0.5, 1.645
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 10_000.0
-LEVELS = ("suffix", "domain", "host")
 
 #: The rules of the registered query (action, host/path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -61,19 +60,17 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return F.when(F.size(fits) > 0, longest)
 
 
-def _strength(level: DataFrame) -> tuple[float, float]:
-    """Overall rate and fitted prior strength between the members of a level (one row, by moments)."""
-    rate = F.sum("bad") / F.sum("n")
-    row = level.where("n > 0").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("j"),
-        F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("s2"), F.sum(F.col("n") * F.col("n")).alias("n2"), rate.alias("m"),
+def _strength(level: DataFrame, above: DataFrame, key: list[str]) -> float:
+    """Prior strength of a level's members, by moments: their spread around the rate of the member above them, less what chance gives."""
+    both = level.where("n > 0").join(above.select(*key, F.col("n").alias("_n"), (F.col("bad") / F.col("n")).alias("_m")).where("_n > 0"), key)
+    chance = F.col("_m") * (1 - F.col("_m"))
+    row = both.agg(
+        F.sum(F.pow(F.col("bad") - F.col("n") * F.col("_m"), 2) / F.col("n") - chance * (1 - F.col("n") / F.col("_n"))).alias("spread"),
+        F.sum(chance * (F.col("n") - F.col("n") * F.col("n") / F.col("_n"))).alias("room"),
     ).first()
-    if not row.n or row.m in (0, 1):
-        return float(row.m or 0), MAX_STRENGTH
-    spread = row.s2 - row.n * row.m ** 2 - (row.j - 1) * row.m * (1 - row.m)
-    room = row.n - row.n2 / row.n
-    share = spread / room / (row.m * (1 - row.m)) if room > 0 else 0.0
-    return row.m, min(MAX_STRENGTH, max(MIN_STRENGTH, 1 / share - 1)) if share > 0 else MAX_STRENGTH
+    if not row.room or row.spread <= 0:
+        return MAX_STRENGTH
+    return min(MAX_STRENGTH, max(MIN_STRENGTH, row.room / row.spread - 1))
 
 
 def host_reputation(pages: DataFrame, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
@@ -87,16 +84,21 @@ def host_reputation(pages: DataFrame, max_bad: float = MAX_BAD, z: float = Z) ->
     hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    fitted = {name: _strength(level) for name, level in zip(LEVELS, (suffixes, domains, hosts))}
-    rate = fitted["suffix"][0]
+    everything = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.lit("all").alias("all"))
+    top = everything.first()
+    rate = float(top.bad) / top.n if top.n else 0.0
+    strengths = {
+        "suffix": _strength(suffixes.withColumn("all", F.lit("all")), everything, ["all"]),
+        "domain": _strength(domains, suffixes, ["suffix"]), "host": _strength(hosts, domains, ["domain"]),
+    }
 
     def shrunk(prior: Column, level: str) -> Column:
-        k = fitted[level][1]
+        k = strengths[level]
         return (F.col("bad") + prior * k) / (F.col("n") + k)
 
     suffixes = suffixes.select("suffix", shrunk(F.lit(rate), "suffix").alias("suffix_mean"))
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean"), "domain").alias("domain_mean"))
-    k = fitted["host"][1]
+    k = strengths["host"]
     mean = shrunk(F.col("domain_mean"), "host")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1))
     return (
@@ -137,13 +139,10 @@ def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
-_KS = f"CASE WHEN share > 0 THEN least({MAX_STRENGTH}e0, greatest({MIN_STRENGTH}e0, 1 / share - 1)) ELSE {MAX_STRENGTH}e0 END"
-
-
-def _fit(level: str) -> str:
-    return f"""fit_{level} AS (SELECT m, CASE WHEN m IS NULL OR m IN (0, 1) THEN {MAX_STRENGTH}e0 ELSE {_KS} END AS k FROM (
-  SELECT m, CASE WHEN nn - n2 / nn > 0 THEN (s2 - nn * m * m - (j - 1) * m * (1 - m)) / (nn - n2 / nn) / nullif(m * (1 - m), 0) ELSE 0 END AS share FROM (
-    SELECT sum(n) AS nn, sum(bad) / sum(n) AS m, count(*) AS j, sum(bad * bad / n) AS s2, sum(n * n) AS n2 FROM {level}s WHERE n > 0)))"""
+def _fit(level: str, above: str, key: str) -> str:
+    return f"""fit_{level} AS (SELECT CASE WHEN room > 0 AND spread > 0 THEN least({MAX_STRENGTH}e0, greatest({MIN_STRENGTH}e0, room / spread - 1)) ELSE {MAX_STRENGTH}e0 END AS k FROM (
+  SELECT sum((bad - n * m) * (bad - n * m) / n - m * (1 - m) * (1 - n / nn)) AS spread, sum(m * (1 - m) * (n - n * n / nn)) AS room
+  FROM {level}s JOIN (SELECT {key}, n AS nn, bad / n AS m FROM {above} WHERE n > 0) USING ({key}) WHERE n > 0))"""
 
 
 ORACLE = rf"""
@@ -152,9 +151,10 @@ p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#
 q AS (SELECT p.*, o.bad FROM p LEFT JOIN o ON o.doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT)),
 hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM q GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
-suffixs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-{_fit("suffix")}, {_fit("domain")}, {_fit("host")},
-sm AS (SELECT suffix, (bad + coalesce(m, 0) * k) / (n + k) AS suffix_mean FROM suffixs, fit_suffix),
+suffixs AS (SELECT suffix, 1 AS "all", sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
+everything AS (SELECT 1 AS "all", sum(n) AS n, sum(bad) AS bad FROM suffixs),
+{_fit("suffix", "everything", '"all"')}, {_fit("domain", "suffixs", "suffix")}, {_fit("host", "domains", "domain")},
+sm AS (SELECT suffix, (s.bad + coalesce(e.bad / nullif(e.n, 0), 0) * k) / (s.n + k) AS suffix_mean FROM suffixs s, everything e, fit_suffix),
 dm AS (SELECT domain, (bad + suffix_mean * k) / (n + k) AS domain_mean FROM domains JOIN sm USING (suffix), fit_domain),
 hm AS (SELECT host, n, bad, (bad + domain_mean * k) / (n + k) AS mean, k FROM hosts JOIN dm USING (domain), fit_host),
 rules(action, rule, rhost, rpath) AS (VALUES {", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in RULES)}),

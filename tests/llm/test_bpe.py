@@ -22,14 +22,14 @@ def brute(rows, direct):
 
 @pytest.mark.parametrize("sizes", [(256, 1024, 8192), (16, 20, 40)])
 def test_same_as_whole_texts(docs, texts, direct, sizes):
-    assert Counter(tuple(r) for r in bpe.encode_digests(docs, sizes=sizes).collect()) == brute(texts.items(), direct)
+    assert Counter(tuple(r) for r in bpe.encode(docs, bpe.DIGESTS, sizes=sizes).collect()) == brute(texts.items(), direct)
 
 
 @pytest.mark.parametrize("sizes", [(256, 1024, 8192), (16, 20, 40)])
 def test_edge_rows(edge, empty, direct, sizes):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
-    assert Counter(tuple(r) for r in bpe.encode_digests(edge, sizes=sizes).collect()) == brute(rows, direct)
-    assert bpe.encode_digests(empty).count() == 0 and bpe.encode(empty).count() == 0
+    assert Counter(tuple(r) for r in bpe.encode(edge, bpe.DIGESTS, sizes=sizes).collect()) == brute(rows, direct)
+    assert bpe.encode(empty, bpe.DIGESTS).count() == 0 and bpe.encode(empty).count() == 0
 
 
 def test_ids_and_text(edge, direct):
