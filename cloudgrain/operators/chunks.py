@@ -131,8 +131,8 @@ def assign_shard(chunks: DataFrame, n_shards: int, partitions: int | None = None
 
 
 def by_shard(df: DataFrame, n_shards: int) -> DataFrame:
-    """Co-locate each shard's rows; every shard gets whole partitions."""
-    return df.repartition(n_shards, "shard")
+    """Co-locate each shard's rows: partition i holds shard i."""
+    return df.repartitionById(n_shards, "shard")
 
 
 def assign_batches(

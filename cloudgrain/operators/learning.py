@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,7 @@ from .chunks import CHUNK, downsample_pyramid, pyramid_members
 from .metrics import class_weights
 from .neighbors import MM, knn, nearest_upsample, relative_encoding, softmax_pool
 from .runs import best_trial
+from .sampling import hash_sample
 
 # The search space of the tree classifier.
 SEARCH_SPACE = {
@@ -40,6 +41,7 @@ SEARCH_SPACE = {
     "gamma": ("loguniform", 1e-4, 1.0),
 }
 _MAX_CLASSES = 256  # a class code is one byte
+_FILLED = "_filled_"
 
 
 def assemble(df: DataFrame, cols: list[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -63,14 +65,23 @@ def _class_codes(df: DataFrame, label: str) -> list[str]:
     return [str(c) for c in codes]  # numeric order
 
 
-def _fit(stages: list, df: DataFrame, features: list[str], label: str, weight: str | None, decoded: str) -> PipelineModel:
-    codes = _class_codes(df, label)
+def bounded_rows(df: DataFrame, max_rows: int, n_rows: int, seed: int = SEED, key: str = "point_id") -> DataFrame:
+    """About ``max_rows`` of the ``n_rows`` rows, chosen by digest: bounds what a model is fitted on, never what it scores."""
+    return df if n_rows <= max_rows else hash_sample(df, max_rows / n_rows, seed, key)
+
+
+def _fit(
+    stages: list, df: DataFrame, features: list[str], label: str, weight: str | None, decoded: str, codes: list[int] | None = None,
+) -> PipelineModel:
+    codes = [str(c) for c in codes] if codes else _class_codes(df, label)
     keep = [*features, "label"] + ([weight] if weight else [])
+    # Nulls become 0 inside the pipeline, so scoring does the same.
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(CAST(`{f}` AS double), 0D) AS `{_FILLED}{f}`" for f in features) + " FROM __THIS__")
     # Training passes over its rows many times and each pass lasts as long as its
     # fullest task, so one even spread beforehand pays. AQE picks the number of partitions.
     indexed = StringIndexerModel.from_labels(codes, label, "label").transform(df).select(*keep).hint("rebalance")
     decode = IndexToString(inputCol="prediction", outputCol=decoded, labels=codes)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), *stages, decode]).fit(indexed)
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=[_FILLED + f for f in features], outputCol="features"), *stages, decode]).fit(indexed)
 
 
 def with_class_weight(df: DataFrame, label: str = "classification", out: str = "weight") -> DataFrame:
@@ -82,9 +93,9 @@ def with_class_weight(df: DataFrame, label: str = "classification", out: str = "
 def fit_trees(
     df: DataFrame, features: list[str] = FEATURES, label: str = "classification", n_estimators: int = 300, max_depth: int = 8,
     subsample: float = 0.8, colsample_bytree: float = 0.8, min_child_weight: int = 1, gamma: float = 0.0,
-    learning_rate: float = 0.1, seed: int = SEED, weight: str | None = None, boosted: bool = False,
+    learning_rate: float = 0.1, seed: int = SEED, weight: str | None = None, boosted: bool = False, codes: list[int] | None = None,
 ) -> PipelineModel:
-    """Tree classifier for any number of classes.
+    """Tree classifier for any number of classes; ``codes`` names them, else they are read from ``df`` first.
 
     A random forest by default; ``boosted`` fits one gradient-boosted model per
     class, as Spark's boosting is binary.
@@ -95,33 +106,36 @@ def fit_trees(
         tree = OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, **args),
                          labelCol="label", featuresCol="features", parallelism=1, **({"weightCol": weight} if weight else {}))
     else:
-        tree = RandomForestClassifier(numTrees=n_estimators, labelCol="label", **args, **({"weightCol": weight} if weight else {}))
-    return _fit([tree], df, features, label, weight, "predicted_label")
+        # More node statistics per pass: fewer passes over the rows.
+        tree = RandomForestClassifier(numTrees=n_estimators, labelCol="label", maxMemoryInMB=1024, **args, **({"weightCol": weight} if weight else {}))
+    return _fit([tree], df, features, label, weight, "predicted_label", codes)
 
 
 def fit_mlp(
     df: DataFrame, features: list[str], label: str = "classification", hidden: tuple[int, ...] = (32, 16),
-    max_iter: int = 60, seed: int = SEED,
+    max_iter: int = 60, seed: int = SEED, codes: list[int] | None = None,
 ) -> PipelineModel:
     """Multi-layer classifier over standardised features."""
-    n_classes = len(_class_codes(df, label))
+    codes = codes or [int(c) for c in _class_codes(df, label)]
+    n_classes = len(codes)
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     net = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[len(features), *hidden, n_classes],
                                          maxIter=max_iter, seed=seed)
-    return _fit([scale, net], df, features, label, None, "predicted_label")
+    return _fit([scale, net], df, features, label, None, "predicted_label", codes)
 
 
 def score(model: PipelineModel, df: DataFrame, actual: str | None = "classification") -> DataFrame:
     """Predicted class, name and, where the actual class is known, correctness, for the whole table. Map-only."""
-    drop = [c for c in ("features", "scaled", "rawPrediction", "probability", "prediction", "predicted_label")]
+    drop = ["features", "scaled", "rawPrediction", "probability", "prediction", "predicted_label"]
     out = model.transform(df).withColumn("predicted_class", F.col("predicted_label").cast("int"))
+    drop += [c for c in out.columns if c.startswith(_FILLED)]
     out = out.withColumn("predicted_name", class_name_of("predicted_class")).drop(*drop)
     return out.withColumn("correct", F.col("predicted_class") == F.col(actual)) if actual else out
 
 
 def feature_importance(model: PipelineModel, features: list[str] = FEATURES) -> DataFrame:
     """Importance per feature, largest first (one row per feature, from the fitted model)."""
-    tree = model.stages[1]
+    tree = next(s for s in model.stages if isinstance(s, OneVsRestModel) or hasattr(s, "featureImportances"))
     if isinstance(tree, OneVsRestModel):
         parts = [m.featureImportances.toArray() for m in tree.models]
         values = sum(parts) / len(parts)
@@ -216,22 +230,26 @@ def multiscale_features(
     """Neighbourhood features of every point at several resolutions, as ``s<stage>_<name>``.
 
     Per stage of the pyramid: nearest neighbours, relative encoding, pooling
-    with nearer neighbours weighing more. Coarse stages return to the full
-    resolution through each point's nearest coarse point. All groups are chunks.
+    with nearer neighbours weighing more. Coarse features come back level by
+    level, each time through the nearest point of the next coarser stage. All groups are chunks.
     """
     by = [*CHUNK, "stage"]
+    key = [*CHUNK, "point_id"]
     pyramid = downsample_pyramid(chunked, stages - 1, seed=seed)
-    members = pyramid_members(pyramid).select(*by, "point_id", *MM, "intensity")
-    edges = knn(members, k, by, bounded=True, carry=[*MM, "intensity"])
+    members = settle(pyramid_members(pyramid).select(*by, "point_id", *MM, "intensity"))
+    edges = knn(members, k, by, carry=[*MM, "intensity"])
     encoded = relative_encoding(edges, None, by, MM, unit, keep=["n_intensity"]).withColumn("intensity", normalize_intensity("n_intensity"))
     pooled = settle(softmax_pool(encoded, -F.col("distance"), POOLED, by))  # read once per stage below
-    fine = chunked.select(*CHUNK, "point_id", *MM)
-    out = pooled.where(F.col("stage") == 0).select(*CHUNK, "point_id", *[F.col(f"pooled_{c}").alias(f"s0_{c}") for c in POOLED])
-    for s in range(1, stages):
-        names = [f"s{s}_{c}" for c in POOLED]
-        coarse = members.where(F.col("stage") == s).join(
-            pooled.where(F.col("stage") == s).select(*CHUNK, "point_id", *[F.col(f"pooled_{c}").alias(n) for c, n in zip(POOLED, names)]),
-            [*CHUNK, "point_id"])
-        up = nearest_upsample(fine, coarse, names, CHUNK).drop("source_id", "d2")
-        out = out.join(up, [*CHUNK, "point_id"])
-    return out
+
+    def of_stage(s: int) -> DataFrame:
+        return pooled.where(F.col("stage") == s).select(*key, *[F.col(f"pooled_{c}").alias(f"s{s}_{c}") for c in POOLED])
+
+    def points_of(s: int) -> DataFrame:
+        return members.where(F.col("stage") == s).select(*key, *MM)
+
+    out = points_of(stages - 1).join(of_stage(stages - 1), key)
+    for s in range(stages - 2, -1, -1):
+        carried = [c for c in out.columns if c not in {*key, *MM}]
+        up = nearest_upsample(points_of(s), out, carried, CHUNK).drop("source_id", "d2")
+        out = points_of(s).join(of_stage(s), key).join(up, key)
+    return out.drop(*MM)

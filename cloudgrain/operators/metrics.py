@@ -11,15 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES, KNOWN_CLASSES, class_dictionary, class_index_of, class_name_of
+from ..storage import broadcast_checked
 
-
-def _whole() -> W:
-    return W.partitionBy(F.lit(0))
+_OTHER = -1  # no class has this code
 
 
 def class_distribution(df: DataFrame, col: str = "classification") -> DataFrame:
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n_points"))
-    return counts.withColumn("share_pct", F.round(F.col("n_points") * 100.0 / F.sum("n_points").over(_whole()), 1))
+    return _with_total(counts, "n_points").withColumn("share_pct", F.round(F.col("n_points") * 100.0 / F.col("_total"), 1)).drop("_total")
+
+
+def _with_total(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with the sum of ``col`` over all rows as ``_total``: a one-row table joined by a constant, whatever the number of rows."""
+    total = df.agg(F.sum(col).alias("_total")).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
 
 
 def classes_present(df: DataFrame, col: str = "classification") -> DataFrame:
@@ -47,42 +52,50 @@ def macro_accuracy(per_group: DataFrame, col: str = "accuracy") -> DataFrame:
 
 def confusion_matrix(
     df: DataFrame, actual: str = "classification", predicted: str = "predicted_class", shape: str = "long",
-    normalize: str | None = None, labels: list[int] | None = None,
+    normalize: str | None = None, labels: list[int] | None = None, other: int | None = None,
 ) -> DataFrame:
     """Counts of (actual, predicted) over all pairs of ``labels``, absent pairs as 0.
 
+    Rows of other actual classes are not part of the matrix. Predictions outside ``labels``
+    (null ones too) are not part of it either, unless ``other`` names a code
+    under which they are counted in a column of their own.
+
     The grid of labels is built from the label list itself (a literal), never
     from the data. ``normalize="row"`` adds the share of the actual class, null
     for a class without points.
     """
     labels = labels or KNOWN_CLASSES
-    known = df.where(F.col(actual).isin(*labels) & F.col(predicted).isin(*labels))
-    counts = known.groupBy(F.col(actual).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    grid = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels], "actual int, predicted int")
+    among = F.when(F.col(predicted).isin(*labels), F.col(predicted).cast("int")).otherwise(F.lit(other).cast("int"))
+    known = df.where(F.col(actual).isin(*labels)).select(F.col(actual).cast("int").alias("actual"), among.alias("predicted"))
+    counts = known.where("predicted IS NOT NULL").groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    columns = [*labels, *([other] if other is not None else [])]
+    grid = df.sparkSession.createDataFrame([(a, p) for a in labels for p in columns], "actual int, predicted int")
     full = grid.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     if normalize == "row":
         per_row = F.sum("n").over(W.partitionBy("actual"))
         full = full.withColumn("share", F.col("n") / F.nullif(per_row, F.lit(0)))
     if shape == "wide":
         value = "share" if normalize else "n"
-        wide = full.groupBy("actual").pivot("predicted", labels).agg(F.first(value))
-        return wide.withColumnsRenamed({str(p): f"pred_{p}" for p in labels})
+        wide = full.groupBy("actual").pivot("predicted", columns).agg(F.first(value))
+        return wide.withColumnsRenamed({str(p): "pred_other" if p == other else f"pred_{p}" for p in columns})
     return full
 
 
 def classification_report(
     df: DataFrame, actual: str = "classification", predicted: str = "predicted_class", labels: list[int] | None = None,
 ) -> DataFrame:
-    """Precision, recall, F1 and support per class, with accuracy, macro and weighted averages; 0 where undefined."""
-    cm = confusion_matrix(df, actual, predicted, labels=labels)
+    """Precision, recall, F1 and support per class, with accuracy, macro and weighted averages; 0 where undefined.
+
+    All rows of a known actual class count: a prediction outside ``labels`` is a miss.
+    """
+    cm = confusion_matrix(df, actual, predicted, labels=labels, other=_OTHER)
     by_class = (
         cm.withColumn("_right", F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
         .withColumn("_pair", F.explode(F.array(
             F.struct(F.col("actual").alias("c"), F.col("_right").alias("tp"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("pre")),
             F.struct(F.col("predicted").alias("c"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("pre")))))
-        .groupBy(F.col("_pair.c").alias("class_id"))
-        .agg(F.sum("_pair.tp").alias("tp"), F.sum("_pair.sup").alias("support"), F.sum("_pair.pre").alias("predicted"))
+        .groupBy(F.col("_pair.c").alias("class_id")).agg(F.sum("_pair.tp").alias("tp"), F.sum("_pair.sup").alias("support"), F.sum("_pair.pre").alias("predicted"))
+        .where(F.col("class_id") != _OTHER)
     )
 
     def ratio(a: Column, b: Column) -> Column:
@@ -110,8 +123,7 @@ def class_weights(df: DataFrame, col: str = "classification") -> DataFrame:
     counts = df.where(F.col(col).isin(*KNOWN_CLASSES)).groupBy(F.col(col).alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
     full = class_dictionary(df.sparkSession).join(counts, "class_id", "left")
     raw = full.withColumn("n_points", F.coalesce("n", F.lit(0).cast("long"))).withColumn("_w", 1.0 / (F.col("n_points") + 1))
-    return raw.select("class_id", "class_idx", "n_points",
-                      (F.col("_w") / F.sum("_w").over(_whole()) * F.lit(float(len(CLASSES)))).alias("weight"))
+    return _with_total(raw, "_w").select("class_id", "class_idx", "n_points", (F.col("_w") / F.col("_total") * F.lit(float(len(CLASSES)))).alias("weight"))
 
 
 def weighted_log_loss(scored: DataFrame, weights: DataFrame, scores: list[str], total: str, actual: str = "classification") -> DataFrame:
@@ -123,7 +135,7 @@ def weighted_log_loss(scored: DataFrame, weights: DataFrame, scores: list[str],
     own = F.element_at(F.array(*scores), class_index_of(actual) + 1)
     loss = -F.ln(own / F.col(total))
     joined = scored.where(F.col(actual).isin(*KNOWN_CLASSES)).withColumn("_loss", loss).join(
-        F.broadcast(weights.select(F.col("class_id").alias("_c"), "weight")), F.col(actual) == F.col("_c"))
+        broadcast_checked(weights.select(F.col("class_id").alias("_c"), "weight")), F.col(actual) == F.col("_c"))
     return joined.agg(F.count(F.lit(1)).alias("n_points"),
                       (F.sum(F.col("weight") * F.col("_loss")) / F.sum("weight")).alias("log_loss"))
 

@@ -19,13 +19,11 @@ def hash_sample(df: DataFrame, fraction: float, seed: int = SEED, key: str = "po
     return df.where(digest_below(digest(seed, key), fraction))
 
 
-def quick_sample(df: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
-    """Spark's own Bernoulli sample: cheaper, but tied to the partitioning."""
-    return df.sample(fraction=fraction, seed=seed)
-
-
 def sample_n_per_group(df: DataFrame, keys: list[str], n: int, seed: int = SEED, key: str = "point_id") -> DataFrame:
-    """At most ``n`` rows of every group, the first in digest order."""
+    """At most ``n`` rows of every group, the first in digest order.
+
+    ``key`` must tell the rows of a group apart: rows that repeat it share a digest and are taken or left together.
+    """
     limits = digest_threshold(df, keys, F.least(F.lit(n), F.col("_size")), [key], seed)
     return within_threshold(df, keys, limits, [key], seed, "_in").where("_in").drop("_in")
 

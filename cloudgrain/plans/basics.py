@@ -365,7 +365,7 @@ def union_tiles(spark, sf):
     """Parts of a scene put together again: one part per known class, and the rest."""
     p = points(spark, sf).select("point_id", "tile_name", "classification")
     parts = [p.where(F.col("classification") == c) for c in KNOWN_CLASSES]
-    return union_all([*parts, p.where(~F.col("classification").isin(*KNOWN_CLASSES))])
+    return union_all([*parts, p.where(~F.coalesce(F.col("classification").isin(*KNOWN_CLASSES), F.lit(False)))])
 
 
 @query("external_scoring", """SELECT point_id, CASE WHEN z < 4 THEN 3 WHEN z < 10 THEN 4 ELSE 5 END AS predicted, classification FROM points""")

@@ -102,7 +102,7 @@ def mini_batches(spark, sf):
 
 @query("knn_chunk", f"SELECT {_KEY}, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM edges", "points chunked edges")
 def knn_chunk(spark, sf):
-    return neighbors.knn(chunks(spark, sf), K, bounded=True)
+    return neighbors.knn(chunks(spark, sf), K)
 
 
 @query("knn_pyramid", f"""SELECT {_KEY}, stage, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM (
@@ -114,7 +114,7 @@ def knn_chunk(spark, sf):
     " mem ", " (SELECT *, CAST(unnest(range(0, least(top_stage, 3)+1)) AS INT) AS stage FROM pyramid) "), "points chunked pyramid")
 def knn_pyramid(spark, sf):
     members = ch.pyramid_members(ch.downsample_pyramid(chunks(spark, sf)), stages=3)
-    return neighbors.knn(members, K, ["tile_name", "chunk_idx", "stage"], bounded=True)
+    return neighbors.knn(members, K, ["tile_name", "chunk_idx", "stage"])
 
 
 # Exact neighbours without a size limit: any 256 points give an upper bound of the
@@ -153,7 +153,7 @@ def nearest_upsample(spark, sf):
   FROM edges e JOIN points p ON e.neighbour_id = p.point_id""", "points chunked edges")
 def gather_neighbours(spark, sf):
     cut = chunks(spark, sf)
-    edges = neighbors.knn(cut, K, bounded=True).drop("d2")
+    edges = neighbors.knn(cut, K).drop("d2")
     return neighbors.gather_neighbours(edges, cut, ch.CHUNK, ["intensity", "classification"])
 
 
@@ -162,7 +162,7 @@ def gather_neighbours(spark, sf):
   p.x AS own_x, p.y AS own_y, p.z AS own_z, n.x AS nbr_x, n.y AS nbr_y, n.z AS nbr_z
   FROM edges e JOIN points p ON e.point_id = p.point_id JOIN points n ON e.neighbour_id = n.point_id""", "points chunked edges")
 def relative_encoding(spark, sf):
-    edges = neighbors.knn(chunks(spark, sf), K, bounded=True, carry=neighbors.MM)
+    edges = neighbors.knn(chunks(spark, sf), K, carry=neighbors.MM)
     return neighbors.relative_encoding(edges, None, ch.CHUNK, neighbors.MM, 1000.0)
 
 
@@ -174,7 +174,7 @@ _POOL = """SELECT tile_name, chunk_idx, point_id, round(sum(w*z)/sum(w), 6) AS p
 
 @query("softmax_pool", _POOL, "points chunked edges")
 def softmax_pool(spark, sf):
-    edges = neighbors.knn(chunks(spark, sf), K, bounded=True, carry=["z", "intensity"])
+    edges = neighbors.knn(chunks(spark, sf), K, carry=["z", "intensity"])
     pooled = neighbors.softmax_pool(edges, -F.sqrt(F.col("d2").cast("double")) / 1000.0, ["n_z", "n_intensity"], ch.CHUNK)
     return pooled.withColumns({c: F.round(c, 6) for c in ("pooled_n_z", "pooled_n_intensity")})
 

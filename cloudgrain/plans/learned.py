@@ -1,65 +1,148 @@
-"""Queries that fit a model; checked by rows here and by property tests."""
+"""Queries that fit a model. Those whose rows are determined have SQL; the others are checked by property tests.
+
+Models have their full size (300 trees of depth 8, the whole search space, five
+trials, all scales). ``MAX_FIT_ROWS`` bounds the labelled rows that a model is fitted on,
+chosen by digest; statistics, features and scoring always cover the whole table.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas, storage
 from ..operators import chunks, grid, labels, learning, sampling
-from . import tables
 from .registry import query
 from .tables import points
 
-# Small forests: the registered queries show the operator, not a tuned model.
-_TREES = dict(n_estimators=20, max_depth=8)
+MAX_FIT_ROWS = 20_000
+_CODES = schemas.KNOWN_CLASSES
+_SPLIT = """SELECT point_id, tile_name, classification, CASE WHEN classification = 1 THEN NULL WHEN r <= floor(n*0.2E0+0.5E0) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY classification ORDER BY md5('42:' || point_id), point_id) AS r, count(*) OVER (PARTITION BY classification) AS n FROM points) t"""
 
 
-def _featured(spark, sf):
-    known = labels.encode_known_classes(points(spark, sf))
+def _featured(spark, sf) -> DataFrame:
+    """All points with their cell features; ``split`` is null where the class is not known."""
+    pts = points(spark, sf).drop("predicted_class")
     # Split before the features: the split's passes then read only keys and classes.
-    return grid.cell_features(sampling.stratified_split(known), z="z_mm", unit=1000)
+    split = sampling.stratified_split(labels.encode_known_classes(pts))
+    rest = pts.where(~F.coalesce(F.col("classification").isin(*_CODES), F.lit(False)))
+    return grid.cell_features(split.unionByName(rest, allowMissingColumns=True), z="z_mm", unit=1000)
+
+
+def _train(data: DataFrame) -> DataFrame:
+    train = data.where("split = 'train'")
+    return learning.bounded_rows(train, MAX_FIT_ROWS, train.count())
+
+
+def _forest(data: DataFrame, **options):
+    return learning.fit_trees(_train(data), codes=_CODES, **options)
+
+
+def _checked(scored: DataFrame) -> DataFrame:
+    """What is determined of scored points: ids, split, actual class, and that a known class is predicted and named."""
+    fine = F.col("predicted_class").isin(*_CODES) & F.col("predicted_name").isNotNull()
+    return scored.select("point_id", "tile_name", "classification", "split", fine.alias("known_prediction"))
+
+
+_CHECKED = f"SELECT *, true AS known_prediction FROM ({_SPLIT}) s"
 
 
 @query("rf_score")
 def rf_score(spark, sf):
     data = _featured(spark, sf)
-    model = learning.fit_trees(data.where(F.col("split") == "train"), **_TREES)
-    return learning.score(model, data.drop("predicted_class")).select("point_id", "tile_name", "split", "classification", "predicted_class", "predicted_name", "correct")
+    return learning.score(_forest(data), data).select("point_id", "tile_name", "split", "classification", "predicted_class", "predicted_name", "correct")
+
+
+@query("rf_score_rows", _CHECKED)
+def rf_score_rows(spark, sf):
+    """Every point is scored once, unclassified ones too."""
+    data = _featured(spark, sf)
+    return _checked(learning.score(_forest(data), data))
+
+
+@query("predictions_table", _CHECKED)
+def predictions_table(spark, sf):
+    """Scores of all points written as a table and read back."""
+    data = _featured(spark, sf)
+    name = f"predictions_{uuid.uuid4().hex}"
+    scored = learning.score(_forest(data), data).select("point_id", "split", *schemas.PREDICTION.fieldNames())
+    storage.save_table(scored, name, path=f"{storage.work_dir(spark)}/tables/{name}")
+    return _checked(spark.table(name))
+
+
+@query("model_reload", """SELECT count(*) AS n_points, CAST(0 AS BIGINT) AS n_different, true AS same_schema FROM points""")
+def model_reload(spark, sf):
+    """A saved model, loaded again, gives the same class for every point."""
+    data = storage.settle(_featured(spark, sf))
+    model = _forest(data)
+    path = f"{storage.work_dir(spark)}/models/{uuid.uuid4().hex}"
+    learning.save_model(model, path, data)
+    loaded, schema = learning.load_model(spark, path)
+    one, two = (learning.score(m, data).select("point_id", F.col("predicted_class").alias(n)) for m, n in ((model, "a"), (loaded, "b")))
+    return one.join(two, "point_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.count(F.when(F.col("a") != F.col("b"), F.lit(1))).alias("n_different"),
+    ).withColumn("same_schema", F.lit(schema == data.select(*schemas.FEATURES).schema))
 
 
 @query("weighted_rf_score")
 def weighted_rf_score(spark, sf):
     data = _featured(spark, sf)
-    train = learning.with_class_weight(data.where(F.col("split") == "train"))
-    model = learning.fit_trees(train, weight="weight", **_TREES)
-    return learning.score(model, data.drop("predicted_class")).groupBy("split", "classification").agg(
+    model = learning.fit_trees(learning.with_class_weight(_train(data)), weight="weight", codes=_CODES)
+    return learning.score(model, data).groupBy("split", "classification").agg(
         F.count(F.lit(1)).alias("n_points"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
 
 
+@query("weighted_rf_counts", f"SELECT split, classification, count(*) AS n_points FROM ({_SPLIT}) s GROUP BY ALL")
+def weighted_rf_counts(spark, sf):
+    """Rows behind each accuracy of the weighted model."""
+    return weighted_rf_score(spark, sf).select("split", "classification", "n_points")
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
-    data = _featured(spark, sf)
-    return learning.feature_importance(learning.fit_trees(data.where(F.col("split") == "train"), **_TREES))
+    return learning.feature_importance(_forest(_featured(spark, sf)))
+
+
+@query("importance_total", f"SELECT CAST({len(schemas.FEATURES)} AS BIGINT) AS n_features, 1.0E0 AS total FROM points LIMIT 1")
+def importance_total(spark, sf):
+    """Importances cover all features and sum to one."""
+    return feature_importance(spark, sf).agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 9).alias("total"))
 
 
 @query("search_trials")
 def search_trials(spark, sf):
-    data = _featured(spark, sf)
-    space = {**learning.SEARCH_SPACE, "n_estimators": ("choice", [5, 10]), "max_depth": ("choice", [4, 6])}
-    return learning.search(data.where(F.col("split") == "train"), data.where(F.col("split") == "test"), space, n_trials=3)
+    """Five draws from the whole space of what acts on a forest (a learning rate does not)."""
+    data = storage.settle(_featured(spark, sf))
+    space = {k: v for k, v in learning.SEARCH_SPACE.items() if k != "learning_rate"}
+    return learning.search(_train(data), data.where("split = 'test'"), space, n_trials=5, codes=_CODES)
 
 
-@query("chunk_classifier")
-def chunk_classifier(spark, sf):
-    """Chunks, neighbour graphs at two resolutions, pooled features, classifier, held-out accuracy."""
+def _chunk_features(spark, sf):
+    """Known points in full-size chunks with their features at all scales, and the names of these."""
     known = labels.encode_known_classes(points(spark, sf))
     cut = chunks.assign_chunks(known, schemas.CHUNK_POINTS, schemas.CHUNK_MIN_POINTS, order="morton")
-    if cut.limit(1).count() == 0:  # tiles below the full chunk size
-        cut = chunks.assign_chunks(known, tables.N_PTS, tables.MIN_PTS, order="morton")
-    feats = learning.multiscale_features(cut, stages=2, k=schemas.NEIGHBOURS)
-    names = [c for c in feats.columns if c[:3] in ("s0_", "s1_")] + ["z", "intensity"]
+    feats = learning.multiscale_features(cut, stages=schemas.PYRAMID_STAGES + 1, k=schemas.NEIGHBOURS)
+    names = [c for c in feats.columns if c[0] == "s" and c[2] == "_"] + ["z", "intensity"]
     split = sampling.stratified_split(cut.select("tile_name", "chunk_idx", "point_id", "z", "intensity", "classification"))
-    data = storage.settle(split.join(feats, ["tile_name", "chunk_idx", "point_id"]))
-    model = learning.fit_trees(data.where(F.col("split") == "train"), names, **_TREES)
-    return learning.score(model, data).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_points"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    return storage.settle(split.join(feats, ["tile_name", "chunk_idx", "point_id"])), names
+
+
+def _accuracy(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_points"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
+
+
+@query("chunk_classifier")
+def chunk_classifier(spark, sf):
+    """Chunks, neighbour graphs at five resolutions, pooled features, forest, held-out accuracy."""
+    data, names = _chunk_features(spark, sf)
+    return _accuracy(learning.score(learning.fit_trees(_train(data), names, codes=_CODES), data))
+
+
+@query("chunk_network")
+def chunk_network(spark, sf):
+    """The same features under a multi-layer classifier."""
+    data, names = _chunk_features(spark, sf)
+    return _accuracy(learning.score(learning.fit_mlp(_train(data), names, codes=_CODES), data))

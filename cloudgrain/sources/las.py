@@ -29,6 +29,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage,
 )
 
+from ..operators.ranking import join_on, rank_within
 from ..schemas import COORD_SCALE, POINT
 from ..storage import settle
 
@@ -180,22 +181,22 @@ def read_las(
     return decode_files(files, mode, records_per_range, record_no, partitions)
 
 
-def save_las(df: DataFrame, path: str, points_per_file: int = 5_000_000, scale: float = COORD_SCALE, mode: str = "overwrite") -> None:
-    """Write the six point columns as one file per tile.
+def save_las(
+    df: DataFrame, path: str, points_per_file: int = 5_000_000, scale: float = COORD_SCALE, mode: str = "overwrite",
+    order: tuple[str, ...] = ("x", "y", "z", "intensity", "classification"),
+) -> None:
+    """Write the six point columns as one folder of files per tile.
 
-    A tile with more points than ``points_per_file`` becomes a folder of files,
-    each written by a task of its own.
+    Records follow ``order``; every file holds ``points_per_file`` of them (the last the
+    rest) and is written by a task of its own, whatever the size of the tile. All files of a
+    tile have one offset, a whole number of metres, so splitting a tile changes no
+    coordinate. Values that the format cannot hold are an error.
     """
     df = df.select(*POINT.fieldNames())
-    counts = settle(df.groupBy("tile_name").count().select(
-        F.col("tile_name").alias("_t"), F.ceil(F.col("count") / points_per_file).cast("int").alias("_parts")))
-    if (counts.agg(F.max("_parts")).first()[0] or 1) > 1:
-        numbered = settle(df.withColumn("_id", F.monotonically_increasing_id()))
-        df = numbered.join(counts, F.col("tile_name") == F.col("_t")).withColumn(
-            "part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("_id"), F.col("_parts"))).otherwise(-1).cast("int"))
-    else:
-        df = df.withColumn("part", F.lit(-1))
-    df = df.select(*POINT.fieldNames(), "part").repartition("tile_name", "part").sortWithinPartitions("tile_name", "part")
+    offsets = settle(df.groupBy("tile_name").agg(F.floor(F.avg("x")).cast("double").alias("off_x"), F.floor(F.avg("y")).cast("double").alias("off_y")))
+    ranked = rank_within(df, ["tile_name"], list(order), "_rn").select(*POINT.fieldNames(), "_rn")
+    parts = join_on(ranked, offsets, ["tile_name"]).withColumn("part", F.floor((F.col("_rn") - 1) / points_per_file).cast("int"))
+    df = parts.repartition("tile_name", "part").sortWithinPartitions("tile_name", "part", "_rn").drop("_rn")
     register(df.sparkSession)
     df.write.format("las").option("path", path).option("scale", str(scale)).mode(mode).save()
 
@@ -275,7 +276,9 @@ class _Writer(DataSourceArrowWriter):
             name = key[0] if key[1] < 0 else f"{key[0]}/part-{key[1]:05d}.las"
             draft = f"{root}/{self.job}/{uuid.uuid4().hex}"
             with fs.open_output_stream(draft) as out:
-                out.write(encode_tile(pa.Table.from_batches(held), self.scale))
+                table = pa.Table.from_batches(held)
+                given = {"off_x", "off_y"} <= set(table.column_names)
+                out.write(encode_tile(table, self.scale, (table.column("off_x")[0].as_py(), table.column("off_y")[0].as_py()) if given else None))
             done.append((draft, name))
             held.clear()
 
@@ -310,6 +313,10 @@ class _Writer(DataSourceArrowWriter):
             for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
                 if info.is_file and info.path.endswith(".las") and info.path not in placed:
                     fs.delete_file(info.path)
+            kept = {os.path.dirname(p) for p in placed}
+            for info in fs.get_file_info(pafs.FileSelector(root)):
+                if not info.is_file and info.path.endswith(".las") and info.path not in kept:
+                    fs.delete_dir(info.path)
         self._drop_drafts(fs, root)
 
     def abort(self, messages: list[_Written]) -> None:
@@ -320,15 +327,19 @@ class _Writer(DataSourceArrowWriter):
             fs.delete_dir(f"{root}/{self.job}")
 
 
-def encode_tile(table: pa.Table, scale: float = COORD_SCALE) -> bytes:
-    """One scan file in the standard layout: offsets are the mean x and y, height offset 0."""
+def encode_tile(table: pa.Table, scale: float = COORD_SCALE, offset: tuple[float, float] | None = None) -> bytes:
+    """One scan file in the standard layout: ``offset`` of x and y (else their means in whole metres), height offset 0."""
     n = table.num_rows
+    for c in ("x", "y", "z", "intensity", "classification"):
+        if table.column(c).null_count:
+            raise ValueError(f"{c} is null in {table.column(c).null_count} of {n} points; a scan file has no nulls")
     xyz = {c: table.column(c).to_numpy() for c in "xyz"}
-    offset = (float(xyz["x"].mean()), float(xyz["y"].mean()), 0.0)
+    offset = (*(offset or (float(np.floor(xyz["x"].mean())), float(np.floor(xyz["y"].mean())))), 0.0)
     rec = np.zeros(n, np.dtype(RECORD))
     for c, o in zip("xyz", offset):
-        rec[c] = np.rint((xyz[c] - o) / scale).astype("i4")
-    rec["intensity"], rec["cls"] = table.column("intensity").to_numpy(), table.column("classification").to_numpy()
+        rec[c] = _within(c, np.rint((xyz[c] - o) / scale), -(2**31), 2**31 - 1)
+    rec["intensity"] = _within("intensity", table.column("intensity").to_numpy(), 0, 65535)
+    rec["cls"] = _within("classification", table.column("classification").to_numpy(), 0, 255)
     rec["bits"], rec["source"] = 0x11, 1  # return 1 of 1
     head = bytearray(HEADER_BYTES)
     head[:4] = MAGIC
@@ -342,6 +353,12 @@ def encode_tile(table: pa.Table, scale: float = COORD_SCALE) -> bytes:
     return bytes(head) + rec.tobytes()
 
 
+def _within(name: str, values: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    if not ((values >= lo) & (values <= hi)).all():  # NaN fails too
+        raise ValueError(f"{name} does not fit the scan file: stored values must lie between {lo} and {hi}")
+    return values
+
+
 class LasDataSource(DataSource):
     """``spark.read.format("las")`` / ``df.write.format("las")``.
 

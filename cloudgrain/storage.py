@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,10 +17,11 @@ _local_dirs: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Only a local-mode session may leave it unset (tests); there one machine
-    is the whole cluster and a temporary folder will do.
+    ``setCheckpointDir`` of the session comes first. Only a local-mode session may leave
+    both unset (tests); there one machine is the whole cluster and a temporary folder,
+    deleted at exit, will do.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
@@ -26,6 +29,7 @@ def work_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if sc.applicationId not in _local_dirs:
         _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="cloudgrain-")
+        atexit.register(shutil.rmtree, _local_dirs[sc.applicationId], ignore_errors=True)
     return _local_dirs[sc.applicationId]
 
 

@@ -102,11 +102,12 @@ def test_grid_search_equals_brute_force(spark, case):
     assert got == brute(df.collect(), 8)
 
 
-def test_grid_search_by_group_and_dispatch(spark):
+def test_grid_search_by_group_and_group_limit(spark):
     df = cloud(spark, 400).unionByName(cloud(spark, 90, 3, tile="u").withColumn("point_id", F.col("point_id") + 5000))
-    want = edge_set(nb.knn(df, 6, ["tile_name"], bounded=True))
+    want = edge_set(nb.knn(df, 6, ["tile_name"]))
     assert edge_set(nb.knn_grid(df, 6, ["tile_name"], block=16, fanout=4)) == want
-    assert edge_set(nb.knn(df, 6, ["tile_name"], max_group=100)) == want
+    with pytest.raises(Exception, match="max_group"):
+        nb.knn(df, 6, ["tile_name"], max_group=100).collect()
 
 
 def test_knn_on_doubles(spark):
@@ -122,3 +123,51 @@ def test_upsample_of_chunk_without_coarse_points(spark):
     assert up.count() == 20 and up.where("point_id < 5 and f <> point_id * 2").count() == 0
     none = nb.nearest_upsample(df, df.where("point_id < 0"), ["f"], ["tile_name"])
     assert none.count() == 20 and none.where("f is not null").count() == 0
+
+
+@pytest.mark.parametrize("axes", [["x_mm", "y_mm"], ["x_mm", "y_mm", "z_mm"]])
+@pytest.mark.parametrize("search", [nb.knn, lambda df, k, by, coords: nb.knn_grid(df, k, by, coords, block=64, fanout=4)])
+def test_axes_and_null_groups(spark, axes, search):
+    df = cloud(spark, 300).withColumn("tile_name", F.when(F.col("point_id") < 150, F.col("tile_name")))
+    got = {(r.point_id, r["rank"], r.neighbour_id) for r in search(df, 5, ["tile_name"], axes).collect()}
+    want = set()
+    pts = df.collect()
+    for p in pts:
+        near = sorted((sum((p[a] - q[a]) ** 2 for a in axes), q.point_id) for q in pts if q.tile_name == p.tile_name)[:5]
+        want |= {(p.point_id, i + 1, q) for i, (_, q) in enumerate(near)}
+    assert got == want
+
+
+def test_pruned_search_equals_all_pairs():
+    rng = np.random.default_rng(11)
+    for n, m, dims, spread in ((3000, 3000, 3, 900), (2500, 700, 2, 10**6), (4000, 4000, 3, 6), (1, 5000, 3, 100)):
+        q = rng.integers(-spread, spread, (n, dims))
+        c = q if n == m else rng.integers(-spread, spread, (m, dims))
+        for k in (1, 16):
+            for x, y in zip(nb._nearest(q, c, k), nb._rank_block(q, c, k)):
+                assert (x == y).all()
+    far = np.concatenate((rng.integers(0, 50, (2000, 3)), rng.integers(10**6, 10**6 + 50, (5, 3))))
+    for x, y in zip(nb._nearest(far, far, 16), nb._rank_block(far, far, 16)):
+        assert (x == y).all()
+
+
+def test_missing_coordinates_are_an_error(spark):
+    df = cloud(spark, 20).withColumn("x_mm", F.when(F.col("point_id") > 3, F.col("x_mm")))
+    with pytest.raises(Exception, match="without coordinates"):
+        nb.knn(df, 3, ["tile_name"]).collect()
+
+
+def test_upsample_keeps_long_values_exact(spark):
+    df = cloud(spark, 30).withColumn("f", F.when(F.col("point_id") != 2, F.lit(9007199254740993)))
+    up = nb.nearest_upsample(df, df.where("point_id < 6"), ["f"], ["tile_name"])
+    assert {r.f for r in up.collect()} <= {9007199254740993, None} and up.where("f is null and source_id <> 2").count() == 0
+
+
+def test_straddling_block_has_bounded_reach(spark):
+    """Two far clusters: no site's candidates grow with the table, because a second cut bounds its reach."""
+    rng = np.random.default_rng(12)
+    for n in (600, 2400):
+        rows = [(i, *map(int, rng.integers(0, 1000, 3) + (10**7 if i >= n + 5 else 0)), "t") for i in range(2 * n)]
+        df = spark.createDataFrame(rows, cloud(spark, 1).schema)
+        got = nb.knn_grid(df, 8, block=64, fanout=4)
+        assert got.agg(F.max("d2")).first()[0] < 10**9 and got.count() == 8 * 2 * n

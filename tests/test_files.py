@@ -2,6 +2,8 @@
 
 import os
 import struct
+import tempfile
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from cloudgrain.operators.grid import cell_features
 from cloudgrain.schemas import POINT
 from cloudgrain.sources import las
-from cloudgrain.storage import load_chunks, save_chunks, save_table, settle, table_or, work_dir
+from cloudgrain.storage import discard, load_chunks, save_chunks, save_table, settle, table_or, work_dir
 from cloudgrain.streaming import tiles
 
 
@@ -31,7 +33,7 @@ def test_round_trip(spark, tmp_path, step):
     df, path = some_points(spark), str(tmp_path / "t")
     las.save_las(df, path)
     assert sorted(os.listdir(path)) == ["tile_0.las", "tile_1.las", "tile_2.las"]
-    assert os.path.getsize(f"{path}/tile_0.las") == 227 + 20 * 334
+    assert os.listdir(f"{path}/tile_0.las") == ["part-00000.las"] and os.path.getsize(f"{path}/tile_0.las/part-00000.las") == 227 + 20 * 334
     back = las.read_las(spark, path, records_per_range=step)
     assert rows(back) == rows(df) and back.columns == POINT.fieldNames()
     assert rows(spark.read.format("las").option("recordsPerPartition", step).load(path)) == rows(df)
@@ -114,7 +116,37 @@ def test_chunk_store_replaces_old_tiles(spark, tmp_path):
 
 def test_settled_rows_are_written_below_the_work_folder(spark):
     df = settle(spark.range(10).withColumn("a", F.array("id")))
-    assert df.count() == 10 and all(f.startswith(f"file://{work_dir(spark)}") or work_dir(spark) in f for f in df.inputFiles())
+    assert df.count() == 10 and all(urlparse(work_dir(spark)).path in f for f in df.inputFiles())
+    discard(df)
+    assert not any(os.path.exists(urlparse(f).path) for f in df.inputFiles())
+
+
+def test_checkpoint_dir_of_the_session_comes_first(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "own"))
+    try:
+        assert str(tmp_path / "own") in work_dir(spark)
+    finally:
+        spark.sparkContext._jsc.sc().setCheckpointDir(tempfile.mkdtemp())
+
+
+def test_scan_file_refuses_what_it_cannot_hold(spark, tmp_path):
+    good = some_points(spark, 10, 1)
+    for name, value in (("intensity", 70_000), ("intensity", -1), ("classification", 300), ("x", float("nan")), ("z", 5e6), ("y", None)):
+        bad = good.withColumn(name, F.when(F.col("x") > 0, F.col(name)).otherwise(F.lit(value).cast(good.schema[name].dataType)))
+        with pytest.raises(Exception, match="fit the scan file|is null"):
+            las.save_las(bad, str(tmp_path / "t"))
+    assert not os.path.exists(tmp_path / "t") or not [f for f in os.listdir(tmp_path / "t") if f.endswith(".las")]
+
+
+def test_one_layout_at_every_size(spark, tmp_path):
+    """The same coordinates, bit by bit, whether a tile is one file or many, and in order."""
+    df = some_points(spark, 600, 2)
+    las.save_las(df, str(tmp_path / "a"))
+    las.save_las(df, str(tmp_path / "b"), points_per_file=50)
+    a, b = (sorted(map(tuple, las.read_las(spark, str(tmp_path / x)).collect())) for x in "ab")
+    assert a == b and len(os.listdir(tmp_path / "b" / "tile_0.las")) == 6
+    first = las.read_las(spark, str(tmp_path / "a"), record_no=True).where("tile_name = 'tile_0.las'").orderBy("record_no").collect()
+    assert [(r.x, r.y) for r in first] == sorted((r.x, r.y) for r in first)
 
 
 def test_stream_reads_each_file_once_and_survives_restart(spark, tmp_path):

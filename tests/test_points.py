@@ -173,3 +173,15 @@ def test_trial_tables(spark):
     binned = runs.param_importance(t, ["elapsed_s"], bins=2).first()
     assert 0.0 <= binned.importance <= 1.0
     assert runs.param_grid(spark, lr=[1, 2], batch=[2, 4]).count() == 4
+
+
+def test_report_counts_unknown_predictions_as_misses(spark):
+    df = spark.createDataFrame([(2, 2)] * 6 + [(2, 1)] * 3 + [(2, None)] + [(3, 3)] * 5 + [(1, 2)] * 4, "classification int, predicted_class int")
+    got = {r.label: r for r in metrics.classification_report(df).collect()}
+    assert got["Ground"].recall == 0.6 and got["Ground"].support == 10 and got["Ground"].precision == 1.0
+    assert got["accuracy"].support == 15 and abs(got["accuracy"].recall - 11 / 15) < 1e-12
+    cm = {(r.actual, r.predicted): r.n for r in metrics.confusion_matrix(df, other=-1).collect()}
+    assert cm[2, -1] == 4 and len(cm) == 42
+    wide = metrics.confusion_matrix(df, shape="wide", other=-1)
+    assert "pred_other" in wide.columns and wide.where("actual = 2").first().pred_other == 4
+    assert sum(r.n for r in metrics.confusion_matrix(df).collect()) == 11
