@@ -114,16 +114,16 @@ def _runs(part: pa.RecordBatch, w: Words, filters: tuple[np.ndarray, np.ndarray]
     }
 
 
-_DISTINCT = pa.schema([("deal", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())])
+_DISTINCT = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())])
 _PLACES = pa.schema([("_key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
-def _distinct_runs(rows: DataFrame, shared, bits: int) -> DataFrame:
+def _distinct_runs(rows: DataFrame, shared, bits: int, shards: int) -> DataFrame:
     """Super-windows with their words and range of doc_id, each once per partition (or per ``MAX_HELD`` of them)."""
 
     def packed(held: dict) -> pa.RecordBatch:
         columns = list(zip(*held.values())) if held else [[]] * 4
-        return record({"h1": [k[0] for k in held], "h2": [k[1] for k in held], "deal": columns[0], "low": columns[1], "high": columns[2], "words": columns[3]}, _DISTINCT)
+        return record({"h1": [k[0] for k in held], "h2": [k[1] for k in held], "shard": columns[0], "low": columns[1], "high": columns[2], "words": columns[3]}, _DISTINCT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -131,10 +131,11 @@ def _distinct_runs(rows: DataFrame, shared, bits: int) -> DataFrame:
             w = Words(texts, PLAIN)
             r = _runs(part, w, shared.value, bits)
             view = memoryview(np.ascontiguousarray(w.hash.view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES:])).cast("B")
-            for h1, h2, deal, doc, at, n in zip(*(r[c].tolist() for c in ("h1", "h2", "deal", "doc_id", "at", "n"))):
+            r["shard"] = (mix(r["deal"].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            for h1, h2, shard, doc, at, n in zip(*(r[c].tolist() for c in ("h1", "h2", "shard", "doc_id", "at", "n"))):
                 have = held.get((h1, h2))
                 if have is None:
-                    held[h1, h2] = [deal, doc, doc, bytes(view[WORD_BYTES * at:WORD_BYTES * (at + n + WINDOW - 1)])]
+                    held[h1, h2] = [shard, doc, doc, bytes(view[WORD_BYTES * at:WORD_BYTES * (at + n + WINDOW - 1)])]
                 elif doc < have[1]:
                     have[1] = doc
                 elif doc > have[2]:
@@ -144,7 +145,7 @@ def _distinct_runs(rows: DataFrame, shared, bits: int) -> DataFrame:
                 held = {}
         yield packed(held)
 
-    return rows.mapInArrow(emit, "deal long, h1 long, h2 long, low long, high long, words binary")
+    return rows.mapInArrow(emit, "shard int, h1 long, h2 long, low long, high long, words binary")
 
 
 def _places(rows: DataFrame, shared, bits: int) -> DataFrame:
@@ -217,8 +218,7 @@ def repeated_windows(rows: DataFrame, filter_bits: int = FILTER_BITS, shard_word
     several, hot, n_runs = _filters(rows, filter_bits)
     shared = rows.sparkSession.sparkContext.broadcast((several, hot))  # 2 * 2**filter_bits bits, whatever the corpus
     shards = max(1, -(-n_runs * (WINDOW + 4) // shard_words))
-    dealt = _distinct_runs(rows, shared, filter_bits).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
-    owners = dealt.groupBy("shard").applyInArrow(_search_shard, "h1 long, h2 long, owners binary")
+    owners = _distinct_runs(rows, shared, filter_bits, shards).groupBy("shard").applyInArrow(_search_shard, "h1 long, h2 long, owners binary")
     schema = pa.schema([("_key", pa.int64()), ("starts", pa.binary())])
 
     def earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
