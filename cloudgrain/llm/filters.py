@@ -33,7 +33,7 @@ def bit_maps(marked: DataFrame, place: Column, bits: int, flags: dict[str, Colum
         return pa.table(out)
 
     maps = {n: np.zeros((1 << (bits - PART), 1 << (PART - 3)), np.uint8) for n in names}
-    for r in rows.groupBy("part").applyInArrow(pack, "part int, " + ", ".join(f"{n} binary" for n in names)).toLocalIterator():
+    for r in rows.groupBy("part").applyInArrow(pack, "part int, " + ", ".join(f"{n} binary" for n in names)).collect():
         for n in names:
             maps[n][r["part"]] = np.frombuffer(r[n], np.uint8)
     return {n: m.ravel() for n, m in maps.items()}

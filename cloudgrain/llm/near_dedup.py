@@ -7,10 +7,11 @@ shingles in the same order: its probability follows edit similarity, which plain
 cannot see. Documents that share one of ``SKETCHES`` sketches are candidates; a banded alignment of their
 words decides: a link is an edit similarity of ``SIMILARITY`` or more.
 
-Equal word sequences form one node first. Within a bucket no pairs of all members are made: its
-first members lead, each leader meets all later members, and what they link is joined
-to components. Only buckets whose remaining members still belong to different components go to
-another round, with twice the leaders and for pairs of different components alone. So a group of thousands of
+Equal word sequences form one node first. Within a bucket no pairs of all members are made: one
+member leads and meets all others, and what they link is joined to components. Only
+buckets whose remaining members still belong to different components go to another
+round, with more leaders (those whom the bucket's main component has not taken in) and for pairs of
+different components alone. So a group of thousands of
 copies costs a few comparisons per member, and yet no pair of a bucket is left uncompared
 unless both are known to belong together.
 """
@@ -34,7 +35,7 @@ from .text import FOLDED, Words, blocks, documents, gram_hashes, inside_text, mi
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, KEEP = 32, 3
-LEADERS = 8
+LEADERS, GROWTH = 1, 8
 FILTER_BITS = 27  # of the filter that picks the texts to read again
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -164,44 +165,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
     buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketches").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     buckets = settle(buckets.join(shared, "bucket", "left_semi"))
+    # Only texts that share a bucket are read again, once for all rounds.
+    words = settle(_words_of(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), own))
     # Rows of one doc_id with several texts are one document from the start.
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi")
     links = members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    component: DataFrame | None = None
+    buckets = buckets.withColumn("component", F.col("node"))
     while True:
-        order = W.partitionBy("bucket").orderBy("node", "n")
+        # Leaders are members of the latest components: those that the bucket's main group has not taken in.
+        order = W.partitionBy("bucket").orderBy(F.desc("component"), "node", "n")
         # The limit on row_number is applied before the shuffle too: a bucket sends a few rows per task.
         lead = buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders)
-        met = buckets.join(lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n")), "bucket").where("_lead < node")
-        pairs = met.where(F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6).select(F.col("_lead").alias("a"), F.col("node").alias("b")).distinct()
-        if component is not None:
-            pairs = _across(pairs, component)
-        pairs = settle(pairs)
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        words = settle(_words_of(rows, wanted, own))
-        verified = _verified(pairs, words, similarity)
-        links = settle(links.union(verified))
-        discard(words)
+        lead = lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"))
+        met = buckets.join(lead, "bucket").where("component <> _own").where(F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6)
+        pairs = settle(met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct())
+        links = settle(links.union(_verified(pairs, words, similarity)))
         discard(pairs)
         component = components(links)
-        rest = buckets.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        rest = buckets.drop("component").join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")
         rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_buckets = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        buckets = settle(rest.join(open_buckets, "bucket", "left_semi").select("node", "n", "bucket"))
+        buckets = settle(rest.join(open_buckets, "bucket", "left_semi"))
         if buckets.isEmpty():
             break
-        leaders *= 2
+        leaders *= GROWTH
     of_node = members.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return rows.select("doc_id").join(of_node, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _across(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of different components."""
-    for c in ("a", "b"):
-        pairs = pairs.join(component.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left")
-    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of the least doc_id; rows without doc_id stay. Keeps the columns of ``docs``."""
     classes = near_duplicates(docs, similarity)

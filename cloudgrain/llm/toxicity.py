@@ -113,7 +113,7 @@ def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
 
     packed = table.withColumn("part", F.shiftright("bucket", _PART).cast("int")).groupBy("part").applyInArrow(pack, "part int, " + ", ".join(f"{c} binary" for c in columns))
     arrays = [np.zeros((1 << (bits - _PART), width), np.float32) for _ in columns]
-    for r in packed.toLocalIterator():
+    for r in packed.collect():  # 2**bits numbers per column, whatever the corpus
         for a, c in zip(arrays, columns):
             a[r["part"]] = np.frombuffer(r[c], np.float32)
     return [a.ravel() for a in arrays]
