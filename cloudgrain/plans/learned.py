@@ -56,13 +56,6 @@ def rf_score(spark, sf):
     return learning.score(_forest(data), data).select("point_id", "tile_name", "split", "classification", "predicted_class", "predicted_name", "correct")
 
 
-@query("rf_score_rows", _CHECKED)
-def rf_score_rows(spark, sf):
-    """Every point is scored once, unclassified ones too."""
-    data = _featured(spark, sf)
-    return _checked(learning.score(_forest(data), data))
-
-
 @query("predictions_table", _CHECKED)
 def predictions_table(spark, sf):
     """Scores of all points written as a table and read back."""
