@@ -15,7 +15,6 @@ task before the shuffle, and every join is a plain equi-join that AQE may split.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +30,6 @@ ROUNDS = 3
 MIN_SCORE = 0.9  # of a pattern, and of an instance in it
 MIN_SEEDS = 5  # different seeds of a pattern
 REACH = 160  # characters on either side in which the neighbouring words are looked for
-MAX_HELD = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -16,7 +16,6 @@ the counts leave out.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked, discard, settle
 from .quality import curve, sample_labelled, scored
-from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record
+from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record, small_batches
 
 NODE_BITS = 21
 PREFIXES = (4, 6, 8)  # bytes
@@ -198,23 +197,15 @@ class Model:
     """Fitted tables, sent to the executors once (packed, as most buckets of a small corpus are empty), and the curve."""
 
     def __init__(self, spark, counts: dict[str, np.ndarray]):
-        packed = zstandard.ZstdCompressor(1).compress(pickle.dumps(counts, pickle.HIGHEST_PROTOCOL))
-        self.name = hashlib.sha256(packed).hexdigest()
-        self.tables = spark.sparkContext.broadcast(packed)
+        self.tables = spark.sparkContext.broadcast(zstandard.ZstdCompressor(1).compress(pickle.dumps(counts, pickle.HIGHEST_PROTOCOL)))
         self.beta = np.zeros(6)
 
     def load(self) -> Models:
-        """The tables in this Python worker, unpacked once."""
-        if self.name not in _loaded:
-            _loaded.clear()
-            _loaded[self.name] = Models(pickle.loads(zstandard.ZstdDecompressor().decompress(self.tables.value)))
-        return _loaded[self.name]
+        """The tables, unpacked for one task: a worker that is used again keeps nothing."""
+        return Models(pickle.loads(zstandard.ZstdDecompressor().decompress(self.tables.value)))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_inputs(self.load().compare(texts)) @ self.beta, -30, 30)))
-
-
-_loaded: dict[str, Models] = {}
+    def scores(self, models: Models, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_inputs(models.compare(texts)) @ self.beta, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_FIT_ROWS) -> Model:
@@ -244,8 +235,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = model.load()
         for part, texts in blocks(batches):
-            yield record({"doc_id": part.column("doc_id"), "score": model.scores(texts)}, schema)
+            yield record({"doc_id": part.column("doc_id"), "score": model.scores(models, texts)}, schema)
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -254,9 +246,11 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """Rows of ``docs`` (with a text column) whose score is below ``threshold``; all columns, one map pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = model.load()
         for part, texts in blocks(batches):
-            yield part.filter(pa.array(model.scores(texts) < threshold))
+            yield part.filter(pa.array(model.scores(models, texts) < threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
