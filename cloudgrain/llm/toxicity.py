@@ -194,11 +194,15 @@ def _inputs(f: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fitted tables, sent to the executors once (packed, as most buckets of a small corpus are empty), and the curve."""
+    """Fitted tables, sent to the executors once (packed, as most buckets of a small corpus are empty), and the curve.
+
+    ``fitted`` tells whether labelled rows of both classes reached the curve. Without, scores mean nothing.
+    """
 
     def __init__(self, spark, counts: dict[str, np.ndarray]):
         self.tables = spark.sparkContext.broadcast(zstandard.ZstdCompressor(1).compress(pickle.dumps(counts, pickle.HIGHEST_PROTOCOL)))
         self.beta = np.zeros(6)
+        self.fitted = False
 
     def load(self) -> Models:
         """The tables, unpacked for one task: a worker that is used again keeps nothing."""
@@ -227,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     if len(rows):
         y = rows.column("label").to_numpy().astype(float)
         model.beta = curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)
+        model.fitted = len(np.unique(y)) == 2
     return model
 
 
@@ -243,7 +248,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """Rows of ``docs`` (with a text column) whose score is below ``threshold``; all columns, one map pass."""
+    """Rows of ``docs`` (with a text column) whose score is below ``threshold``; all columns, one map pass.
+
+    All rows if the model is not fitted: nothing is known against them.
+    """
+    if not model.fitted:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = model.load()

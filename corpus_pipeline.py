@@ -18,7 +18,7 @@ MAX_TOXICITY = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``MAX_TOXICITY``; learnt from all labelled rows."""
+    """Documents whose toxicity score is below ``MAX_TOXICITY``; learnt from all labelled rows. All documents if these are too few for a model."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return toxicity.keep_below(docs, model, MAX_TOXICITY)
 

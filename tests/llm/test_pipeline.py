@@ -57,3 +57,11 @@ def test_stages_take_edge_rows(spark, edge, empty, sf, number):
     assert name == "bpe" or out.columns == rows.columns
     assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in rows.collect()}
     assert stage(spark, rows.where("false"), sf).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(10**9 + i, i % 2, i % 2) for i in range(40)], [(3, 1, 0)], [(i, 1, 1) for i in range(11)]])
+def test_no_document_goes_without_a_model(spark, edge, tmp_path, rows):
+    """Labels that are missing, match no document, are too few or of one class alone."""
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = cp.drop_toxic(spark, edge, str(tmp_path))
+    assert kept.columns == edge.columns and sorted(map(str, kept.collect())) == sorted(map(str, edge.collect()))
