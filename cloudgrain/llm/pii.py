@@ -4,9 +4,9 @@ Base rules find emails, IPv4 addresses, payment cards and phone numbers. These a
 the seeds: the words around them become lexical patterns (the two words before; the word before and the
 word after). Identifier-like tokens that no base rule finds are candidates. Patterns and
 instances form a graph of two sides, which Spark scores in turn: a pattern is as good for a
-kind as the instances it holds, an instance as good as the patterns that hold it, seeds stay
-certain. Patterns with a high score and several different seeds then name the candidates
-that stand in them, if these score high too.
+kind as the instances it holds, an instance as good as the best pattern that holds it, seeds stay
+certain. Patterns with a high score and several different seeds name the candidates
+that stand in them. These are seeds themselves in later rounds, so they may bear out new patterns.
 
 Only identifiers and hashes of their surroundings move, never texts. Edges are combined per
 task before the shuffle, and every join is a plain equi-join that AQE may split.
@@ -27,7 +27,7 @@ from .text import blocks, documents, read, record
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-MIN_SCORE = 0.9  # of a pattern, and of an instance in it
+MIN_SCORE = 0.9  # of a pattern that names its instances
 MIN_SEEDS = 5  # different seeds of a pattern
 REACH = 160  # characters on either side in which the neighbouring words are looked for
 
@@ -144,28 +144,35 @@ def _places(docs: DataFrame) -> DataFrame:
         scan, f"doc_id long, _key long, base {_SPANS}, places array<struct<pattern:long,instance:long,kind:string,start:int,end:int>>")
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of (pattern, kind) and of (instance, kind) from edges (pattern, instance, kind, n); kind is null for candidates.
+def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(pattern, kind, seeds, score) from edges (pattern, instance, kind, n); kind is null for candidates.
 
-    A pattern's score is the mean score of its edges' instances, short of one edge; a
-    candidate's is the mean over its edges' patterns. Both count every occurrence.
+    A pattern's score is the mean score of its edges' instances, short of one edge, and counts every
+    occurrence. A candidate's is that of its best pattern: unknown words on one side, or
+    further occurrences in unknown places, say nothing against it. Candidates of a pattern with
+    ``min_score`` and ``min_seeds`` count as seeds from the next round on, for their best such pattern's kind.
     """
-    seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
+    seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().select("instance", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("base"), F.lit(True).alias("seed"))
     of_pattern = edges.groupBy("pattern").agg(F.sum("n").alias("_all"))
-    open_edges = edges.where("kind IS NULL").select("pattern", "instance", "n")
-    of_instance = open_edges.groupBy("instance").agg(F.sum("n").alias("_all"))
-    known = seeds.withColumn("seed", F.lit(True))
-    patterns: DataFrame | None = None
-    for _ in range(rounds):
+    open_edges = edges.where("kind IS NULL").select("pattern", "instance").join(seeds.select("instance").distinct(), "instance", "left_anti")
+    known, patterns = seeds, None
+    good = F.when((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds), F.col("score"))
+    for k in range(rounds):
         held = edges.select("pattern", "instance", "n", F.col("kind").alias("_own")).join(known, "instance").where(
-            "(_own IS NULL AND NOT seed) OR (_own = kind AND seed)")
+            "(_own IS NULL AND NOT base) OR (_own = kind AND base)")
         scores = held.groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("_good"), F.count(F.when(F.col("seed"), F.lit(1))).alias("seeds"))
         patterns = settle(scores.join(of_pattern, "pattern").select("pattern", "kind", "seeds", (F.col("_good") / (F.col("_all") + 1)).alias("score")))
-        found = open_edges.join(patterns.where("seeds > 0"), "pattern").groupBy("instance", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("_good"))
-        found = found.join(of_instance, "instance").select("instance", "kind", (F.col("_good") / F.col("_all")).alias("score"), F.lit(False).alias("seed"))
-        known = settle(known.where("seed").unionByName(found))
-    return patterns, known.where("NOT seed").select("instance", "kind", "score")
+        if k + 1 < rounds:
+            found = open_edges.join(patterns.where("seeds > 0"), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"), F.max(good).alias("good"))
+            best = F.max(F.struct(F.coalesce("good", F.lit(0.0)).alias("good"), "kind"))
+            kinds = found.groupBy("instance").agg(best.alias("b"), F.collect_list(F.struct("kind", "score")).alias("all"))  # a few kinds each
+            # An accepted candidate is certain for its kind and has no other.
+            taken = F.col("b.good") > 0
+            found = kinds.where(taken).select("instance", "b.kind", F.lit(1.0).alias("score"), F.lit(False).alias("base"), F.lit(True).alias("seed")).unionByName(
+                kinds.where(~taken).select("instance", F.explode("all").alias("a")).select("instance", "a.kind", "a.score", F.lit(False).alias("base"), F.lit(False).alias("seed")))
+            known = settle(seeds.unionByName(found))
+    return patterns
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -177,10 +184,9 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_score: float =
     rows = settle(_places(docs))
     places = rows.select("_key", F.explode("places").alias("p")).select("_key", "p.*")
     edges = settle(places.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
-    patterns, instances = score_graph(edges, rounds)
+    patterns = score_graph(edges, rounds, min_score, min_seeds)
     good = patterns.where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.col("kind").alias("_kind"), "score")
-    sure = instances.where(F.col("score") >= min_score).select("instance", F.col("kind").alias("_kind"))
-    hits = places.where("kind IS NULL").select("_key", "pattern", "instance", "start", "end").join(good, "pattern").join(sure, ["instance", "_kind"])
+    hits = places.where("kind IS NULL").select("_key", "pattern", "start", "end").join(good, "pattern")
     best = hits.groupBy("_key", "start", "end").agg(F.max(F.struct("score", "_kind")).alias("b"))
     added = best.groupBy("_key").agg(F.collect_list(F.struct(F.col("b._kind").alias("kind"), "start", "end")).alias("added"))
     order = F.array(*[F.lit(k) for k in KINDS])

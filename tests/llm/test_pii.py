@@ -75,6 +75,27 @@ def test_context_finds_unseen_identifiers(spark):
     assert not [s for i, (_, spans) in found.items() for s in spans if "years" in text[i][s.end:s.end + 6]]
 
 
+def _word(i):
+    return "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+
+
+def test_following_words_may_differ_and_finds_are_seeds(spark):
+    """A known lead-in is enough, whatever follows; what it finds bears out a lead-in that no base seed has."""
+    seeds = [f"user{_word(i)}@example.com" for i in range(200)]
+    rows = [(i, f"{_word(i)} write to address {s} {_word(3000 + i)}") for i, s in enumerate(seeds)]
+    rows += [(1100 + i, f"{_word(i)} write to address KX-{i}-77 {_word(4000 + i)}") for i in range(12)]
+    rows += [(1200 + i, f"{_word(i)} filed beneath token KX-{i}-77 {_word(5000 + i)}") for i in range(12)]
+    rows += [(1300, "whoever filed beneath token QQ-5-31 left"), (1301, "in the year 2021x nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text, found = dict(rows), rows_of(pii.find_personal_data(df))
+    named = {i: [(s.kind, text[i][s.start:s.end]) for s in spans] for i, (_, spans) in found.items()}
+    assert all(named[1100 + i] == named[1200 + i] == [("email", f"KX-{i}-77")] for i in range(12))
+    assert named[1300] == [("email", "QQ-5-31")] and named[1301] == []
+    # Without a further round the second lead-in is unknown.
+    once = rows_of(pii.find_personal_data(df, rounds=1, min_score=0.5))
+    assert len(once[1100][1]) == 1 and not once[1300][1]
+
+
 def test_edge_rows(edge, empty):
     assert pii.find_personal_data(edge).count() == edge.count()
     assert pii.find_personal_data(empty).count() == 0
