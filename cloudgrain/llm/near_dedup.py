@@ -1,7 +1,7 @@
 """Near-duplicate documents by order MinHash and banded alignment.
 
-Documents are sequences of five-word shingles of their normalised words, each labelled with its
-occurrence number. A sketch takes the ``KEEP`` least labelled shingles under a hash function and
+Documents are sequences of two-word shingles of their normalised words, each labelled with its
+occurrence number; short documents are sequences of single words. A sketch takes the ``KEEP`` least labelled shingles under a hash function and
 joins them in the order in which they stand in the text, so sharing a sketch takes the same
 shingles in the same order: its probability follows edit similarity, which plain MinHash
 cannot see. Documents that share one of ``SKETCHES`` sketches are candidates; a banded alignment of their
@@ -32,9 +32,15 @@ from .components import components
 from .filters import id_filter, passes
 from .text import FOLDED, Words, blocks, documents, gram_hashes, inside_text, mix, read, record, run_hashes
 
-SHINGLE = 5
+SHINGLE = 2
+#: Texts of up to ``WORDS_TO`` words are sketched by words, those from ``GRAMS_FROM`` on by shingles. Texts
+#: whose lengths differ by less than half thus have one of the two in common.
+WORDS_TO, GRAMS_FROM = 32, 17
 SIMILARITY = 0.8
-SKETCHES, KEEP = 32, 3
+#: An edit of a word breaks two shingles, so an edit similarity s leaves a share k = s * s of the shingles and both
+#: orders of them a Jaccard similarity j = k / (2 - k). ``SKETCHES`` of ``KEEP`` all differ with (1 - j**2)**64: 1e-7 at s = 0.8.
+#: Replaced words that never are neighbours leave k = 2 * s - 1: 2e-6. Short texts: j = s / (2 - s), 1e-14 or less.
+SKETCHES, KEEP = 64, 2
 LEADERS, GROWTH = 1, 8
 FILTER_BITS = 27  # of the filter that picks the texts to read again
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,24 +98,24 @@ def _signatures(rows: DataFrame) -> DataFrame:
         for part, texts in blocks(batches):
             w = Words(texts, FOLDED)
             n = np.diff(w.offsets)
-            some = np.flatnonzero(n)
             h1, h2 = _names(w)
-            # Shingles start at every word that has four more behind it; a shorter text is one shingle.
-            begins = np.zeros(len(w), bool)
-            ok = inside_text(w, SHINGLE)
-            begins[:len(ok)] = ok
-            short = some[n[some] < SHINGLE]
-            begins[w.offsets[short]] = True
-            shingles = np.zeros(len(w), np.uint64)
-            shingles[:len(ok)] = gram_hashes(w.hash, SHINGLE)
-            shingles[w.offsets[short]] = h1[short].astype(np.uint64)
-            lengths = np.maximum(n[some] - SHINGLE + 1, 1)
-            sketches = order_sketches(shingles[begins], np.cumsum(lengths) - lengths, lengths).astype(np.int64) if len(some) else np.zeros((0, SKETCHES), np.int64)
-            count = np.zeros(len(n), np.int64)
-            count[some] = SKETCHES
+            sketches, owner = [], []
+            for size, which in ((1, (n > 0) & (n <= WORDS_TO)), (SHINGLE, n >= GRAMS_FROM)):
+                if not which.any():
+                    continue
+                some = np.flatnonzero(which)
+                grams = gram_hashes(w.hash, size)
+                ok = inside_text(w, size) & which[w.text_of()[:len(grams)]]
+                lengths = n[some] - size + 1
+                sketches.append(order_sketches(grams[ok], np.cumsum(lengths) - lengths, lengths).view(np.int64).ravel())
+                owner.append(np.repeat(some, SKETCHES))
+            owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)
+            # Stable: a text's sketches keep their order, which names their bands.
+            values = np.concatenate([*sketches, np.zeros(0, np.int64)]).astype(np.int64)[np.argsort(owner, kind="stable")]
+            count = np.bincount(owner, minlength=len(n))
             yield record({
                 "doc_id": part.column("doc_id"), "h1": h1, "h2": h2, "n": n.astype(np.int32),
-                "sketches": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), sketches.ravel()),
+                "sketches": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), values),
             }, _SIGNED)
 
     return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>")
@@ -162,7 +168,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
     members = settle(worded.select("doc_id", "h1", "h2").distinct().join(first, ["h1", "h2"]).select("doc_id", "node", "h1", "h2"))
     own = members.where("doc_id = node").select("doc_id", "h1", "h2")
     sketched = worded.select("doc_id", "h1", "h2", "n", "sketches").join(own, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
-    buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketches").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket")).distinct()
+    buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketches").alias("band", "value")).select("node", "n", F.xxhash64(F.col("band") % SKETCHES, "value").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     buckets = settle(buckets.join(shared, "bucket", "left_semi"))
     # Only texts that share a bucket are read again, once for all rounds.

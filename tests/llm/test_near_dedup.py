@@ -111,3 +111,23 @@ def test_order_matters():
     both = np.concatenate((s, s, np.concatenate((s[100:], s[:100]))))
     k = nd.order_sketches(both, np.array([0, 200, 400]), np.array([200, 200, 200]))
     assert (k[0] == k[1]).all() and 0 < (k[0] == k[2]).mean() < 0.6
+
+
+def test_links_with_scattered_edits(spark):
+    """Pairs of texts just above the link's similarity, words replaced far from each other; short texts and lengths around the borders."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in [5, 6, 10, 16, 17, 20, 25, 30, 32, 33, 36, 40, 41, 60, 100, 150, 250, 400] * 8:
+        text = [f"v{x}" for x in rng.integers(0, 100_000, n)]
+        other = list(text)
+        for at in range(0, n // 5 * 5, 5):
+            other[at + 2] = f"x{rng.integers(100_000)}"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+        # A longer text: an insertion a quarter from each other.
+        longer = [x for i, v in enumerate(text) for x in ([v, f"y{rng.integers(100_000)}"] if i % 4 == 1 and i + 4 <= n else [v])]
+        rows += [(len(rows), " ".join(longer))]
+    rows += [(len(rows), "one plain text of six words"), (len(rows) + 1, "one plain text of six words more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert sum(i != c for i, c in want.items()) > 200
+    assert got(nd.near_duplicates(df))[0] == want
