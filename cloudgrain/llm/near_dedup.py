@@ -42,6 +42,7 @@ SIMILARITY = 0.8
 #: Replaced words that never are neighbours leave k = 2 * s - 1: 2e-6. Short texts: j = s / (2 - s), 1e-14 or less.
 SKETCHES, KEEP = 64, 2
 LEADERS, GROWTH = 1, 8
+MAX_LEADERS = 1000  # of a round: Spark's spark.sql.optimizer.windowGroupLimitThreshold, see ``_leaders``
 FILTER_BITS = 27  # of the filter that picks the texts to read again
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -155,6 +156,16 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long")
 
 
+def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
+    """The first ``leaders`` members of each bucket: members of the latest components, those that its main group has not taken in.
+
+    Up to ``MAX_LEADERS`` Spark applies the limit before the shuffle too, so a bucket sends a few rows per task.
+    """
+    order = W.partitionBy("bucket").orderBy(F.desc("component"), "node", "n")
+    lead = buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders)
+    return lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the least doc_id among those linked, directly or in steps.
 
@@ -168,7 +179,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
     members = settle(worded.select("doc_id", "h1", "h2").distinct().join(first, ["h1", "h2"]).select("doc_id", "node", "h1", "h2"))
     own = members.where("doc_id = node").select("doc_id", "h1", "h2")
     sketched = worded.select("doc_id", "h1", "h2", "n", "sketches").join(own, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
-    buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketches").alias("band", "value")).select("node", "n", F.xxhash64(F.col("band") % SKETCHES, "value").alias("bucket")).distinct()
+    # One row per node here, so buckets are made distinct within it, without a shuffle.
+    of_node = F.array_distinct(F.transform("sketches", lambda value, band: F.xxhash64(band % SKETCHES, value)))
+    buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.explode(of_node).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     buckets = settle(buckets.join(shared, "bucket", "left_semi"))
     # Only texts that share a bucket are read again, once for all rounds.
@@ -178,11 +191,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
     links = members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
     buckets = buckets.withColumn("component", F.col("node"))
     while True:
-        # Leaders are members of the latest components: those that the bucket's main group has not taken in.
-        order = W.partitionBy("bucket").orderBy(F.desc("component"), "node", "n")
-        # The limit on row_number is applied before the shuffle too: a bucket sends a few rows per task.
-        lead = buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders)
-        lead = lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"))
+        lead = _leaders(buckets, leaders)
         met = buckets.join(lead, "bucket").where("component <> _own").where(F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6)
         pairs = settle(met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct())
         links = settle(links.union(_verified(pairs, words, similarity)))
@@ -194,7 +203,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: in
         buckets = settle(rest.join(open_buckets, "bucket", "left_semi"))
         if buckets.isEmpty():
             break
-        leaders *= GROWTH
+        # What a large bucket still has open is left to further rounds.
+        leaders = min(leaders * GROWTH, MAX_LEADERS)
     of_node = members.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return rows.select("doc_id").join(of_node, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

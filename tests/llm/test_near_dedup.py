@@ -131,3 +131,24 @@ def test_links_with_scattered_edits(spark):
     want = brute(rows)
     assert sum(i != c for i, c in want.items()) > 200
     assert got(nd.near_duplicates(df))[0] == want
+
+
+def test_every_round_limits_buckets_before_the_shuffle(spark, monkeypatch):
+    """As many leaders as a round may have are chosen in each task first; a bucket with more open members takes more rounds."""
+    asked, real = [], nd._leaders
+
+    def leaders(buckets, n):
+        asked.append(n)
+        return real(buckets, n)
+
+    monkeypatch.setattr(nd, "_leaders", leaders)
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"q{rng.integers(10**6)}" for _ in range(7)] + passage + [f"q{rng.integers(10**6)}" for _ in range(7)])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = nd._leaders(spark.range(9000).selectExpr("id AS node", "id AS n", "id % 2 AS bucket", "id AS component"), nd.MAX_LEADERS)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+    monkeypatch.setattr(nd, "MAX_LEADERS", 2)
+    asked.clear()
+    assert got(nd.near_duplicates(df))[0] == brute(rows)
+    assert len(asked) > 4 and asked[:3] == [1, 2, 2]
