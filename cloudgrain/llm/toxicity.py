@@ -1,11 +1,12 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models of word prefixes with absolute discounting.
 
 Words are spelled in steps of growing prefixes (4, 6, 8 bytes, the whole word), so that
 inflected and compounded forms share evidence with their stems. Two models, one of toxic and
 one of ordinary documents, give every step a probability after its prefix: counts are
 discounted absolutely, and what the discount takes is spread over the steps by one backoff
 distribution that both classes share. A rare expression thus gets nearly the same probability from both and
-says little, while one typical of a class says much. The score compares the length-normalised
+says little, while one typical of a class says much. A word is conditioned on its own prefixes only, never on
+the words before it, so expressions made of ordinary words give no evidence. The score compares the length-normalised
 log-likelihoods of both models, over the whole document and over its most telling windows of eight words.
 
 Counts come from every usable labelled document. They are kept in hash tables of fixed
