@@ -9,10 +9,11 @@ says little, while one typical of a class says much. A word is conditioned on it
 the words before it, so expressions made of ordinary words give no evidence. The score compares the length-normalised
 log-likelihoods of both models, over the whole document and over its most telling windows of eight words.
 
-Counts come from every usable labelled document. They are kept in hash tables of fixed
+Class counts come from every usable labelled document but those that fit the curve, the shared backoff
+from all documents. They are kept in hash tables of fixed
 size (``NODE_BITS``), so the model that is sent to the executors does not grow with the
-corpus. A logistic curve over the comparisons is fitted on a bounded sample of labelled rows that
-the counts leave out.
+corpus; steps that share a bucket add up. A logistic curve over the comparisons is fitted on a bounded sample of
+labelled rows, the only ones that the class counts leave out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked, discard, settle
-from .quality import curve, sample_labelled, scored
+from .quality import curve, scored
 from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record, small_batches
 
 NODE_BITS = 21
@@ -35,7 +36,7 @@ PREFIXES = (4, 6, 8)  # bytes
 DISCOUNT = 4.0
 SPAN = 8
 MAX_FIT_ROWS = 20_000
-CALIBRATION = 8  # every eighth labelled document fits the curve, not the counts
+CALIBRATION = 8  # every eighth labelled document, but no more than the bound, fits the curve and not the counts
 MAX_HELD = 1_000_000
 _PART = 14
 _ROOT, _WHOLE = np.uint64(0x6A09E667F3BCC908), np.uint64(0x5851F42D4C957F2D)
@@ -69,23 +70,23 @@ def _steps(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*words, at]), np.concatenate([*parents, parent[at]]), np.concatenate([*nodes, w.hash[at] ^ _WHOLE])
 
 
-_COUNTS = pa.schema([("node", pa.int64()), ("parent", pa.int32()), ("toxic", pa.int32()), ("ordinary", pa.int32())])
+_COUNTS = pa.schema([("node", pa.int64()), ("parent", pa.int32()), ("toxic", pa.int32()), ("ordinary", pa.int32()), ("every", pa.int32())])
 
 
 def _node_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, parent, toxic, ordinary): occurrences of every step in either class, over all rows of ``labels`` (doc_id, label)."""
+    """(node, parent, toxic, ordinary, every): occurrences of every step in either class of ``labels`` (doc_id, label), and in all documents."""
 
-    def summed(node, parent, toxic, ordinary):
+    def summed(node, parent, *counts):
         node, first, at = np.unique(np.concatenate(node), return_index=True, return_inverse=True)
-        return node, np.concatenate(parent)[first], *(np.bincount(at, np.concatenate(n), minlength=len(node)).astype(np.int32) for n in (toxic, ordinary))
+        return node, np.concatenate(parent)[first], *(np.bincount(at, np.concatenate(n), minlength=len(node)).astype(np.int32) for n in counts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for part, texts in blocks(batches):
             w = Words(texts, FOLDED)
             word, parent, node = _steps(w)
-            toxic = part.column("label").to_numpy()[w.text_of()[word]] == 1
-            held.append(summed([node.view(np.int64)], [_bucket(parent).astype(np.int32)], [toxic], [~toxic]))
+            label = part.column("label").to_numpy()[w.text_of()[word]]
+            held.append(summed([node.view(np.int64)], [_bucket(parent).astype(np.int32)], [label == 1], [label == 0], [np.ones(len(label))]))
             if sum(len(h[0]) for h in held) > MAX_HELD:
                 yield record(dict(zip(_COUNTS.names, summed(*zip(*held)))), _COUNTS)
                 held = []
@@ -93,9 +94,9 @@ def _node_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield record(dict(zip(_COUNTS.names, summed(*zip(*held)))), _COUNTS)
 
     # Labels are joined where the texts lie while they are few; beyond that by a shuffle.
-    rows = documents(docs).join(broadcast_checked(labels, 2_000_000), "doc_id").select("text", "label")
-    counts = rows.mapInArrow(emit, "node long, parent int, toxic int, ordinary int")
-    return counts.groupBy("node", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = documents(docs).join(broadcast_checked(labels, 2_000_000), "doc_id", "left").select("text", F.coalesce("label", F.lit(-1)).alias("label"))
+    counts = rows.mapInArrow(emit, "node long, parent int, toxic int, ordinary int, every int")
+    return counts.groupBy("node", "parent").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "every")])
 
 
 def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
@@ -120,7 +121,7 @@ def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
 
 
 def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """Hashed count tables of both classes from rows labelled 1 (toxic) or 0.
+    """Hashed count tables of both classes from rows labelled 1 (toxic) or 0, and of all documents.
 
     Both classes discount the same rate: ``DISCOUNT`` occurrences in the smaller class and
     in proportion more in the larger one. So a step that is rare in both backs off in
@@ -134,10 +135,10 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     left = {c: F.greatest(F.col(c) - discount[c], F.lit(0.0)) for c in classes}
     bucket = F.shiftrightunsigned("node", 64 - NODE_BITS).alias("bucket")
     out: dict[str, np.ndarray] = {}
-    own = nodes.groupBy(bucket).agg(*[F.sum(left[c]).alias(c) for c in classes], F.sum(F.col("toxic") + F.col("ordinary")).alias("shared"))
+    own = nodes.groupBy(bucket).agg(*[F.sum(left[c]).alias(c) for c in classes], F.sum("every").alias("shared"))
     out["left_toxic"], out["left_ordinary"], out["shared"] = _dense(own, NODE_BITS, [*classes, "shared"])
-    below = nodes.groupBy(F.col("parent").cast("long").alias("bucket")).agg(*[F.sum(c).alias(c) for c in classes], *[F.sum(F.col(c) - left[c]).alias(f"{c}_taken") for c in classes])
-    names = [*classes, "toxic_taken", "ordinary_taken"]
+    below = nodes.groupBy(F.col("parent").cast("long").alias("bucket")).agg(*[F.sum(c).alias(c) for c in classes], *[F.sum(F.col(c) - left[c]).alias(f"{c}_taken") for c in classes], F.sum("every").alias("every"))
+    names = [*classes, "toxic_taken", "ordinary_taken", "every"]
     for name, values in zip(names, _dense(below, NODE_BITS, names)):
         out[f"below_{name}"] = values
     discard(nodes)
@@ -149,12 +150,11 @@ class Models:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.counts = counts
-        self.pooled = counts["below_toxic"] + counts["below_ordinary"]
 
     def ratios(self, w: Words) -> np.ndarray:
         word, parent, node = _steps(w)
         parent, node = _bucket(parent), _bucket(node)
-        shared = (self.counts["shared"][node] + 0.5) / (self.pooled[parent] + 1.0)
+        shared = (self.counts["shared"][node] + 0.5) / (self.counts["below_every"][parent] + 1.0)
         log = []
         for c in ("toxic", "ordinary"):
             n, taken = self.counts[f"below_{c}"][parent], self.counts[f"below_{c}_taken"][parent]
@@ -214,10 +214,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Count tables from the usable labelled rows, and the curve from the eighth of them that is left out."""
+    """Count tables from the usable labelled rows, and the curve from about ``max_rows`` of them at most (an eighth of few), which are left out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    apart = F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
+    share = min(1 / CALIBRATION, max_rows / max(1, own.count()))
+    apart = F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(1 << 40)) < int(share * (1 << 40))
     model = Model(docs.sparkSession, fit_counts(docs, own.where(~apart)))
     schema = pa.schema([("label", pa.int32()), *((f"f{i}", pa.float64()) for i in range(4))])
 
@@ -227,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
             f = models.compare(texts)
             yield record({"label": part.column("label"), **{f"f{i}": f[:, i] for i in range(4)}}, schema)
 
-    sample = sample_labelled(docs, labels, "toxic", usable & apart, max_rows)
-    rows = sample.select("text", "label").mapInArrow(compare, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
+    # About max_rows rows of two numbers, whatever the number of labels.
+    rows = documents(docs).join(F.broadcast(own.where(apart)), "doc_id").select("text", "label").mapInArrow(compare, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
     if len(rows):
         y = rows.column("label").to_numpy().astype(float)
         model.beta = curve(_inputs(np.column_stack([rows.column(f"f{i}").to_numpy() for i in range(4)])), y)

@@ -47,6 +47,16 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf):
     assert max(abs(one[k] - two[k]) for k in one) < 1e-9
 
 
+def test_what_the_counts_of_toxicity_hold(spark):
+    """The shared backoff counts every document; class counts leave out only the rows that the curve uses."""
+    docs = spark.createDataFrame([(i, f"common word{i % 5}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    for most, least, top in ((100, 1840, 1960), (20_000, 1650, 1850)):
+        c = toxicity.fit(docs, labels, F.lit(True), most).load().counts
+        root = toxicity._bucket(toxicity._ROOT)
+        assert c["below_every"][root] == 8000 and least < (c["below_toxic"][root] + c["below_ordinary"][root]) / 2 < top
+
+
 def test_probabilities_of_steps_sum_to_one():
     """The steps after a prefix share all of its probability, up to the shared backoff's smoothing."""
     texts = [b"idiot idiots idiotic idea ideas ideal"] * 9 + [b"plain words of other kinds idea"] * 9
