@@ -34,13 +34,35 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Suffixes of two labels under which unrelated owners register; all others have one label. Not the whole public list.
+SUFFIXES = [f"{second}.{top}" for top, seconds in {
+    "uk": "co org ac gov ltd plc me net", "au": "com net org edu gov", "nz": "co net org ac govt", "jp": "co ne or ac go", "kr": "co or go ac",
+    "br": "com net org gov", "cn": "com net org gov edu", "tw": "com org gov", "in": "co net org gov ac", "za": "co org ac gov", "mx": "com org gob",
+    "ar": "com org gob", "tr": "com org gov edu", "il": "co org ac", "sg": "com edu gov", "hk": "com org gov",
+    "io": "github gitlab", "com": "blogspot wordpress herokuapp", "app": "netlify vercel web", "dev": "pages workers",
+}.items() for second in seconds.split()]
+
+
+def _bare(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
+
+def _is_ip(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain: one label below the suffix; an IP address is its own."""
+    name = _bare(host)
+    longer = F.substring_index(name, ".", -2).isin(SUFFIXES)
+    return F.when(_is_ip(name), name).when(longer, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """Longest listed suffix, else the last label; IP addresses share one, ``(ip)``."""
+    name, two = _bare(host), F.substring_index(_bare(host), ".", -2)
+    return F.when(_is_ip(name), F.lit("(ip)")).when(two.isin(SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:

@@ -48,3 +48,13 @@ def test_nothing_labelled_and_one_kind(pages):
     for bad in (None, 0):
         got = uf.host_reputation(pages.withColumn("bad", F.lit(bad).cast("int"))).collect()
         assert {r.reputed for r in got} == {"allow"}
+
+
+def test_registered_domains(spark):
+    want = {
+        "www.a.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "x.shop.co.uk": ("shop.co.uk", "co.uk"), "other.co.uk:80": ("other.co.uk", "co.uk"),
+        "me.github.io": ("me.github.io", "github.io"), "10.1.2.3:80": ("10.1.2.3", "(ip)"), "[::1]:80": ("[::1]", "(ip)"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "local": ("local", "local"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    rows = df.select("h", uf.domain_of(df.h).alias("d"), uf.suffix_of(df.h).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in rows} == want
