@@ -81,7 +81,7 @@ def downsample_pyramid(
     extra = [] if key == "pos" else ["pos"]
     order = W.partitionBy(*by).orderBy("_d", key, *extra)
     ranked = (
-        chunked.withColumn("_d", digest(seed, key))
+        chunked.withColumn("_d", digest(f"pyramid:{seed}", key))
         .withColumn("_r", F.row_number().over(order))
         .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
     )

@@ -6,7 +6,7 @@ import json
 import math
 import random
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 
 import pandas as pd
@@ -66,8 +66,8 @@ def _class_codes(df: DataFrame, label: str) -> list[str]:
 
 
 def bounded_rows(df: DataFrame, max_rows: int, n_rows: int, seed: int = SEED, key: str = "point_id") -> DataFrame:
-    """About ``max_rows`` of the ``n_rows`` rows, chosen by digest: bounds what a model is fitted on, never what it scores."""
-    return df if n_rows <= max_rows else hash_sample(df, max_rows / n_rows, seed, key)
+    """About ``max_rows`` of the ``n_rows`` rows, chosen by a digest of its own: bounds what a model is fitted on, never what it scores."""
+    return df if n_rows <= max_rows else hash_sample(df, max_rows / n_rows, seed, key, purpose="fit")
 
 
 def _fit(
@@ -84,9 +84,9 @@ def _fit(
     return Pipeline(stages=[fill, VectorAssembler(inputCols=[_FILLED + f for f in features], outputCol="features"), *stages, decode]).fit(indexed)
 
 
-def with_class_weight(df: DataFrame, label: str = "classification", out: str = "weight") -> DataFrame:
-    """Inverse-frequency weight per row; the weight table has one row per known class."""
-    w = class_weights(df, label).select(F.col("class_id").alias("_c"), F.col("weight").alias(out))
+def with_class_weight(df: DataFrame, label: str = "classification", out: str = "weight", of: DataFrame | None = None) -> DataFrame:
+    """Inverse-frequency weight per row, from the counts of ``of`` (default ``df``); the weight table has one row per known class."""
+    w = class_weights(df if of is None else of, label).select(F.col("class_id").alias("_c"), F.col("weight").alias(out))
     return df.join(F.broadcast(w), F.col(label) == F.col("_c")).drop("_c")
 
 
@@ -146,40 +146,129 @@ def feature_importance(model: PipelineModel, features: list[str] = FEATURES) ->
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _draw(rng: random.Random, spec: tuple):
+    kind, *args = spec
+    if kind == "choice":
+        return rng.choice(args[0])
+    if kind == "uniform":
+        return rng.uniform(*args)
+    return math.exp(rng.uniform(*map(math.log, args)))
+
+
 def sample_space(space: dict, n_trials: int, seed: int = SEED) -> list[dict]:
     """Seeded random draws from the search space."""
     rng = random.Random(seed)
-    draw = {
-        "choice": lambda values: rng.choice(values),
-        "uniform": lambda lo, hi: rng.uniform(lo, hi),
-        "loguniform": lambda lo, hi: math.exp(rng.uniform(math.log(lo), math.log(hi))),
-    }
-    return [{name: draw[spec[0]](*spec[1:]) for name, spec in space.items()} for _ in range(n_trials)]
+    return [{name: _draw(rng, spec) for name, spec in space.items()} for _ in range(n_trials)]
+
+
+# Adaptive search: first random trials, share of finished trials that count as good, candidates per draw.
+STARTUP, GOOD_SHARE, CANDIDATES = 5, 0.25, 24
+
+
+def _parzen(spec: tuple, seen: list) -> tuple[Callable[[random.Random], object], Callable[[object], float]]:
+    """(draw, log density) around seen values: kernels as wide as the gaps beside them, plus the space itself as one more."""
+    kind, *args = spec
+    if kind == "choice":
+        counts = [1 + seen.count(v) for v in args[0]]
+        total = math.log(sum(counts))
+        return (lambda rng: rng.choices(args[0], counts)[0]), (lambda v: math.log(counts[args[0].index(v)]) - total)
+    to, back = (math.log, math.exp) if kind == "loguniform" else (float, float)
+    lo, hi = map(to, args)
+    at = sorted(to(v) for v in seen)
+    edges = [lo, *at, hi]
+    least = (hi - lo) / min(100.0, 1.0 + len(at))
+    width = [min(max(edges[i + 1] - edges[i], edges[i + 2] - edges[i + 1], least), hi - lo) for i in range(len(at))]
+    centres, widths = [*at, (lo + hi) / 2], [*width, hi - lo]
+
+    def inside(m: float, w: float) -> float:
+        return 0.5 * (math.erf((hi - m) / (w * math.sqrt(2))) - math.erf((lo - m) / (w * math.sqrt(2))))
+
+    def draw(rng: random.Random) -> float:
+        i = rng.randrange(len(centres))
+        while True:
+            x = rng.gauss(centres[i], widths[i])
+            if lo <= x <= hi:
+                return min(max(back(x), args[0]), args[1])
+
+    def log_density(v: float) -> float:
+        x = to(v)
+        return math.log(sum(math.exp(-0.5 * ((x - m) / w) ** 2) / (w * math.sqrt(2 * math.pi) * inside(m, w)) for m, w in zip(centres, widths)) / len(centres))
+
+    return draw, log_density
+
+
+def propose(space: dict, finished: list[tuple[dict, float]], number: int, seed: int = SEED) -> dict:
+    """Parameters of trial ``number`` given (parameters, loss) of the finished ones.
+
+    The first ``STARTUP`` trials are random. Then finished trials are split into a good share and the rest,
+    each described by a Parzen estimate per parameter; of candidates drawn from the good one, the value is taken where good
+    is likeliest against the rest, and listed values are drawn in proportion to that. Depends on the seed, the number and the finished trials alone.
+    """
+    rng = random.Random(f"{seed}:{number}")
+    if len(finished) < STARTUP:
+        return {name: _draw(rng, spec) for name, spec in space.items()}
+    ordered = sorted(finished, key=lambda t: t[1])
+    n_good = max(1, math.ceil(GOOD_SHARE * len(ordered)))
+    out = {}
+    for name, spec in space.items():
+        draw, good = _parzen(spec, [p[name] for p, _ in ordered[:n_good]])
+        _, rest = _parzen(spec, [p[name] for p, _ in ordered[n_good:]])
+        if spec[0] == "choice":
+            # By chance in proportion: the best of a few values would always be the same one.
+            out[name] = rng.choices(spec[1], [math.exp(good(v) - rest(v)) for v in spec[1]])[0]
+        else:
+            out[name] = max((draw(rng) for _ in range(CANDIDATES)), key=lambda v: good(v) - rest(v))
+    return out
+
+
+def adaptive_trials(space: dict, objective: Callable[[dict], float], n_trials: int, seed: int = SEED, parallelism: int = 1) -> list[tuple[dict, float]]:
+    """(parameters, loss) of every trial, in the order of their numbers.
+
+    Asynchronous: a trial starts as soon as another ends and learns from all that have ended by then. With
+    ``parallelism=1`` the trials repeat exactly; with more, what a trial could learn from depends on timing.
+    """
+    params: list[dict] = []
+    loss: dict[int, float] = {}
+    running: dict = {}
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        while len(loss) < n_trials:
+            while len(params) < n_trials and len(running) < parallelism:
+                finished = [(params[i], loss[i]) for i in sorted(loss)]
+                params.append(propose(space, finished, len(params), seed))
+                running[pool.submit(objective, params[-1])] = len(params) - 1
+            done, _ = wait(running, return_when=FIRST_COMPLETED)
+            for future in done:
+                loss[running.pop(future)] = future.result()
+    return [(params[i], loss[i]) for i in range(n_trials)]
 
 
 def search(
     train: DataFrame, test: DataFrame, space: dict | None = None, n_trials: int = 5, seed: int = SEED, parallelism: int = 4,
-    features: list[str] = FEATURES, label: str = "classification", **fixed,
+    features: list[str] = FEATURES, label: str = "classification", adaptive: bool = False, **fixed,
 ) -> DataFrame:
-    """Random search minimising 1 - accuracy: one row per trial with its parameters.
+    """Search minimising 1 - accuracy: one row per trial with its parameters. Random draws, or ``adaptive`` ones (see ``propose``).
 
     Trials are Spark jobs submitted from a few threads over two shared tables,
     so they fill idle executors; rows never come to the driver.
     """
-    draws = sample_space(space or SEARCH_SPACE, n_trials, seed)
+    space = space or SEARCH_SPACE
     judge = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="_p", metricName="accuracy")
     cols = [*features, label]
     with shared(train.select(*cols)) as tr, shared(test.select(*cols)) as te:
 
-        def run(number: int) -> tuple:
-            model = fit_trees(tr, features, label, seed=seed, **{**fixed, **draws[number]})
+        def loss(params: dict) -> float:
+            model = fit_trees(tr, features, label, seed=seed, **{**fixed, **params})
             scored = score(model, te, label).select(F.col(label).cast("double").alias("_y"), F.col("predicted_class").cast("double").alias("_p"))
-            acc = float(judge.evaluate(scored))
-            return (number, acc, 1.0 - acc, *[float(v) for v in draws[number].values()])
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows = list(pool.map(run, range(n_trials)))
-    fields = "trial int, accuracy double, loss double" + "".join(f", {p} double" for p in draws[0])
+            return 1.0 - float(judge.evaluate(scored))
+
+        if adaptive:
+            trials = adaptive_trials(space, loss, n_trials, seed, parallelism)
+        else:
+            draws = sample_space(space, n_trials, seed)
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                trials = list(zip(draws, pool.map(loss, draws)))
+    rows = [(i, 1.0 - lost, lost, *[float(v) for v in params.values()]) for i, (params, lost) in enumerate(trials)]
+    fields = "trial int, accuracy double, loss double" + "".join(f", {p} double" for p in space)
     return train.sparkSession.createDataFrame(rows, fields)
 
 

@@ -11,20 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import CLASSES, KNOWN_CLASSES, class_dictionary, class_index_of, class_name_of
-from ..storage import broadcast_checked
+from ..storage import broadcast_checked, settle
 
 _OTHER = -1  # no class has this code
 
 
 def class_distribution(df: DataFrame, col: str = "classification") -> DataFrame:
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n_points"))
+    counts = settle(df.groupBy(col).agg(F.count(F.lit(1)).alias("n_points")))
     return _with_total(counts, "n_points").withColumn("share_pct", F.round(F.col("n_points") * 100.0 / F.col("_total"), 1)).drop("_total")
 
 
 def _with_total(df: DataFrame, col: str) -> DataFrame:
-    """``df`` with the sum of ``col`` over all rows as ``_total``: a one-row table joined by a constant, whatever the number of rows."""
-    total = df.agg(F.sum(col).alias("_total")).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    """A written table of counts with the sum of ``col`` over all its rows as ``_total``: one number, read and put in as a literal."""
+    kind = df.agg(F.sum(col)).schema[0].dataType
+    return df.withColumn("_total", F.lit(df.agg(F.sum(col)).first()[0]).cast(kind))
 
 
 def classes_present(df: DataFrame, col: str = "classification") -> DataFrame:
@@ -120,7 +120,7 @@ def classification_report(
 
 def class_weights(df: DataFrame, col: str = "classification") -> DataFrame:
     """Inverse-frequency weight of each known class, scaled to sum to their number; from the data's own counts."""
-    counts = df.where(F.col(col).isin(*KNOWN_CLASSES)).groupBy(F.col(col).alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(df.where(F.col(col).isin(*KNOWN_CLASSES)).groupBy(F.col(col).alias("class_id")).agg(F.count(F.lit(1)).alias("n")))
     full = class_dictionary(df.sparkSession).join(counts, "class_id", "left")
     raw = full.withColumn("n_points", F.coalesce("n", F.lit(0).cast("long"))).withColumn("_w", 1.0 / (F.col("n_points") + 1))
     return _with_total(raw, "_w").select("class_id", "class_idx", "n_points", (F.col("_w") / F.col("_total") * F.lit(float(len(CLASSES)))).alias("weight"))

@@ -1,10 +1,13 @@
 """Exact ranks and running values over groups too large for one task.
 
-A window function puts a whole group into one task. Here the rows are laid out
-by a range partitioning on (group, order) instead: a group of any size spreads
-over as many partitions as its rows need. Every partition numbers its own rows,
-and a small table with one row per (group, partition) carries the totals of the
-partitions before it.
+A window function puts a whole group into one task. Here rows are dealt to ranges of (group, order) instead,
+so a group of any size spreads over as many tasks as its rows need. A range numbers its own rows, and a
+small table with one row per (group, range) carries the totals of the ranges before it.
+
+The ranges' bounds come from a sample by hash and are literals of the plan, so a row's range depends on the row alone and a lost task
+computes the same again: only the small table is written (``rank_within``, ``running_min``). The rows are
+read for the sample, the counts and the result; where that costs more than writing them once, ``rank_written`` lays
+them out in a written table.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import digest
 from ..storage import settle
 
+SAMPLES = 32  # sampled rows per range that its bounds come from
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
@@ -51,11 +55,81 @@ def _attach(laid: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     return join_on(laid, settle(carried), [*keys, "_p"], "left")
 
 
+def _bounds(df: DataFrame, cols: list[str], ranges: int) -> list:
+    """At most ``ranges - 1`` rows that cut the distinct values of ``cols`` evenly, from a sample by hash."""
+    n = df.count()
+    fraction = min(1.0, ranges * SAMPLES / max(n, 1))
+    picked = F.pmod(F.xxhash64(F.lit("bounds"), *cols), F.lit(1 << 30)) < int(fraction * (1 << 30))
+    # Rows that repeat a value are in or out together, and count once.
+    seen = df.select(*cols).where(picked).distinct().orderBy(*cols).collect()
+    step = max(1, len(seen) // ranges)
+    return seen[step::step][:ranges - 1]
+
+
+def with_range(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None, out: str = "_p") -> DataFrame:
+    """``df`` with the number of the (keys, order) range of each row, from literal bounds: no shuffle, nothing written.
+
+    ``df`` must give the same rows whenever it is computed; values that depend on the run have to be settled first.
+    """
+    cols = [*keys, *order]
+    ranges = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(df, cols, ranges)
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    kinds = [df.schema[c].dataType for c in cols]
+    table = F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, cols)]) for b in bounds])
+    own = F.struct(*[F.col(c).alias(c) for c in cols])
+    # Binary search for the number of bounds before the row.
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s.lo + s.hi, 1)
+        right = F.struct((mid + 1).alias("lo"), s.hi.alias("hi"))
+        left = F.struct(s.lo.alias("lo"), mid.alias("hi"))
+        return F.when(s.lo >= s.hi, s).when(F.get(table, mid) < own, right).otherwise(left)
+
+    return df.withColumn(out, F.aggregate(steps, state, halve, lambda s: s.lo))
+
+
 def rank_within(
     df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
     total: str | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """``row_number`` (and group size) per group, without one task per group."""
+    """``row_number`` (and group size) per group, without one task per group. One shuffle; only counts are written.
+
+    ``order`` should end in a column that tells rows apart, as rows equal in all of it share a range. ``partitions`` is the number of ranges.
+    """
+    laid = with_range(df, keys, order, partitions)
+    # Windows over this table: for one group, at most one row per range.
+    heads = settle(laid.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n")))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = heads.select(*keys, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(W.partitionBy(*keys)).alias("_in_group"))
+    own = F.row_number().over(W.partitionBy(*keys, "_p").orderBy(*order))
+    ranked = join_on(laid.withColumn("_i", own), settle(carried), [*keys, "_p"]).withColumn(out, F.col("_base") + F.col("_i"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("_in_group"))
+    return ranked.drop("_p", "_i", "_base", "_in_group")
+
+
+def running_min(
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, partitions: int | None = None,
+) -> DataFrame:
+    """Cumulative minimum of ``value`` in ``order``, per group of any size. One shuffle; only the ranges' minima are written."""
+    laid = with_range(df, keys, order, partitions)
+    heads = settle(laid.groupBy(*keys, "_p").agg(F.min(value).alias("_m")))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = settle(heads.select(*keys, "_p", F.min("_m").over(before).alias("_prev")))
+    local = W.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = join_on(laid.withColumn("_own", F.min(value).over(local)), carried, [*keys, "_p"])
+    return ranked.withColumn(out, F.least("_own", "_prev")).drop("_p", "_own", "_prev")
+
+
+def rank_written(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
+    total: str | None = None, partitions: int | None = None,
+) -> DataFrame:
+    """Like ``rank_within``; ``df`` is computed once, range-partitioned and written."""
     laid = ordered_layout(df, keys, order, partitions)
     # Windows below run over this table: for one group, at most one row per partition.
     heads = laid.groupBy(*keys, "_p").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
@@ -71,22 +145,6 @@ def rank_within(
     return ranked.drop("_p", "_i", "_base", "_in_group")
 
 
-def running_min(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, partitions: int | None = None,
-) -> DataFrame:
-    """Cumulative minimum of ``value`` in ``order``, per group of any size."""
-    laid = ordered_layout(df, keys, order, partitions)
-    heads = laid.groupBy(*keys, "_p").agg(F.min(value).alias("_m"))
-    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    carried = heads.select(*keys, "_p", F.min("_m").over(before).alias("_prev"))
-    local = W.partitionBy(*keys, "_p").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        _attach(laid, carried, keys)
-        .withColumn(out, F.least(F.min(value).over(local), F.col("_prev")))
-        .drop("_p", "_i", "_prev")
-    )
-
-
 def digest_threshold(
     df: DataFrame, keys: list[str], quota: Column, id_cols: list[str], seed, digits: int = 3, max_bucket: int = 1_000_000,
 ) -> DataFrame:

@@ -230,7 +230,7 @@ def classes_present(spark, sf):
 
 
 @query("row_counts", """SELECT 'points' AS source, count(*) AS n_rows FROM points UNION ALL SELECT 'known', count(*) FROM points WHERE classification <> 1
-  UNION ALL SELECT 'sample', count(*) FROM points WHERE substr(md5('42:' || point_id),1,8) < '147ae148'""")
+  UNION ALL SELECT 'sample', count(*) FROM points WHERE substr(md5('sample:42:' || point_id),1,8) < '147ae148'""")
 def row_counts(spark, sf):
     p = points(spark, sf)
     parts = {"points": p, "known": labels.encode_known_classes(p), "sample": sampling.hash_sample(p, 0.08)}
@@ -338,24 +338,24 @@ def height_histogram(spark, sf):
     return density.height_histogram(points(spark, sf))
 
 
-@query("hash_sample", "SELECT point_id, x, y, z, classification FROM points WHERE substr(md5('42:' || point_id),1,8) < '147ae148'")
+@query("hash_sample", "SELECT point_id, x, y, z, classification FROM points WHERE substr(md5('sample:42:' || point_id),1,8) < '147ae148'")
 def hash_sample(spark, sf):
     return sampling.hash_sample(points(spark, sf), 0.08).select("point_id", "x", "y", "z", "classification")
 
 
-@query("sample_n_per_group", """SELECT tile_name, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_name ORDER BY md5('42:' || point_id), point_id) AS r
+@query("sample_n_per_group", """SELECT tile_name, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_name ORDER BY md5('group:42:' || point_id), point_id) AS r
   FROM points) t WHERE r <= 200""")
 def sample_n_per_group(spark, sf):
     return sampling.sample_n_per_group(points(spark, sf), ["tile_name"], 200).select("tile_name", "point_id")
 
 
 @query("stratified_split", """SELECT point_id, classification, CASE WHEN r <= floor(n*0.2E0+0.5E0) THEN 'test' ELSE 'train' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY classification ORDER BY md5('42:' || point_id), point_id) AS r, count(*) OVER (PARTITION BY classification) AS n FROM points) t""")
+  SELECT *, row_number() OVER (PARTITION BY classification ORDER BY md5('split:42:' || point_id), point_id) AS r, count(*) OVER (PARTITION BY classification) AS n FROM points) t""")
 def stratified_split(spark, sf):
     return sampling.stratified_split(points(spark, sf)).select("point_id", "classification", "split")
 
 
-@query("random_split", "SELECT point_id, CASE WHEN substr(md5('42:' || point_id),1,8) < '33333333' THEN 'test' ELSE 'train' END AS split FROM points")
+@query("random_split", "SELECT point_id, CASE WHEN substr(md5('split:42:' || point_id),1,8) < '33333333' THEN 'test' ELSE 'train' END AS split FROM points")
 def random_split(spark, sf):
     return sampling.random_split(points(spark, sf)).select("point_id", "split")
 

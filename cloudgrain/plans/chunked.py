@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as ch
 from ..operators import labels, learning, neighbors
+from ..schemas import PYRAMID_STAGES
 from ..sources.las import read_las, save_las
 from ..storage import load_chunks, save_chunks, work_dir
 from .registry import query
-from .tables import K, MIN_PTS, N_PTS, chunked_sql, chunks, points
+from .tables import D2, K, MIN_PTS, N_PTS, chunked_sql, chunks, edges_sql, points
 
 _KEY = "tile_name, chunk_idx"
 _ROW = f"{_KEY}, pos, chunk_n, point_id"
@@ -105,41 +106,39 @@ def knn_chunk(spark, sf):
     return neighbors.knn(chunks(spark, sf), K)
 
 
-@query("knn_pyramid", f"""SELECT {_KEY}, stage, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM (
-  SELECT a.tile_name, a.chunk_idx, a.stage, a.point_id, b.point_id AS neighbour_id,
-    (a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm) AS d2,
-    row_number() OVER (PARTITION BY a.tile_name, a.chunk_idx, a.stage, a.point_id ORDER BY
-      (a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm), b.point_id) AS rank
-  FROM mem a JOIN mem b USING (tile_name, chunk_idx, stage)) e WHERE rank <= {K}""".replace(
-    " mem ", " (SELECT *, CAST(unnest(range(0, least(top_stage, 3)+1)) AS INT) AS stage FROM pyramid) "), "points chunked pyramid")
+_MEM = f"(SELECT *, CAST(unnest(range(0, least(top_stage, {PYRAMID_STAGES})+1)) AS INT) AS stage FROM pyramid)"
+_STAGED = edges_sql("mem", f"{_KEY}, stage")
+
+
+@query("knn_pyramid", f"WITH mem AS {_MEM} SELECT {_KEY}, stage, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM ({_STAGED}) e", "points chunked pyramid")
 def knn_pyramid(spark, sf):
-    members = ch.pyramid_members(ch.downsample_pyramid(chunks(spark, sf)), stages=3)
+    members = ch.pyramid_members(ch.downsample_pyramid(chunks(spark, sf)))
     return neighbors.knn(members, K, ["tile_name", "chunk_idx", "stage"])
 
 
 # Exact neighbours without a size limit: any 256 points give an upper bound of the
 # 16th distance, and no neighbour lies further away than the largest such bound.
-_D2 = "(a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm)"
 _GRID = f"""SELECT point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM (
-WITH kp AS (SELECT point_id, x_mm, y_mm, z_mm FROM points WHERE classification <> 1),
+WITH kp AS (SELECT point_id, x_mm, y_mm, z_mm FROM points),
 g AS (SELECT *, least(o//256, greatest(n//256-1, 0)) AS grp FROM (
   SELECT *, row_number() OVER (ORDER BY floor(x_mm/4000.0E0), y_mm, point_id)-1 AS o, count(*) OVER () AS n FROM kp) q),
-ub AS (SELECT point_id, max(d2) AS ub FROM (SELECT a.point_id, {_D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {_D2}) AS r
+ub AS (SELECT point_id, max(d2) AS ub FROM (SELECT a.point_id, {D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {D2}) AS r
   FROM g a JOIN g b USING (grp)) w WHERE r <= {K} GROUP BY 1),
 lim AS (SELECT CAST(ceil(sqrt(max(ub))) AS BIGINT)+1 AS side FROM ub),
 cells AS (SELECT kp.*, ub, CAST(floor(x_mm/CAST(side AS DOUBLE)) AS BIGINT) AS cx, CAST(floor(y_mm/CAST(side AS DOUBLE)) AS BIGINT) AS cy FROM kp JOIN ub USING (point_id), lim),
 want AS (SELECT c.*, cx+dx AS gx, cy+dy AS gy FROM cells c, (VALUES (-1),(0),(1)) vx(dx), (VALUES (-1),(0),(1)) vy(dy))
-SELECT a.point_id, b.point_id AS neighbour_id, {_D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {_D2}, b.point_id) AS rank
-FROM want a JOIN cells b ON a.gx = b.cx AND a.gy = b.cy AND {_D2} <= a.ub) z WHERE rank <= {K}"""
+SELECT a.point_id, b.point_id AS neighbour_id, {D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {D2}, b.point_id) AS rank
+FROM want a JOIN cells b ON a.gx = b.cx AND a.gy = b.cy AND {D2} <= a.ub) z WHERE rank <= {K}"""
 
 
 @query("knn_grid", _GRID)
 def knn_grid(spark, sf):
-    return neighbors.knn_grid(_known(spark, sf), K)
+    """Neighbours of all points, unclassified ones included."""
+    return neighbors.knn_grid(points(spark, sf), K)
 
 
 _UP = f"""SELECT tile_name, chunk_idx, point_id, arg_min(cid, k) AS source_id, min(k.d2) AS d2, arg_min(ci, k) AS intensity FROM (
-  SELECT a.tile_name, a.chunk_idx, a.point_id, b.point_id AS cid, b.intensity AS ci, {{'d2': {_D2}, 'id': b.point_id}} AS k
+  SELECT a.tile_name, a.chunk_idx, a.point_id, b.point_id AS cid, b.intensity AS ci, {{'d2': {D2}, 'id': b.point_id}} AS k
   FROM chunked a JOIN pyramid b ON a.tile_name = b.tile_name AND a.chunk_idx = b.chunk_idx AND b.top_stage >= 1) p GROUP BY 1, 2, 3"""
 
 
@@ -179,30 +178,33 @@ def softmax_pool(spark, sf):
     return pooled.withColumns({c: F.round(c, 6) for c in ("pooled_n_z", "pooled_n_intensity")})
 
 
-_MULTI = f"""SELECT f.tile_name, f.chunk_idx, f.point_id, round(f.rz, 6) AS s0_rel_z, round(f.ds, 6) AS s0_distance, round(f.it, 6) AS s0_intensity,
-  round(c.rz, 6) AS s1_rel_z, round(c.ds, 6) AS s1_distance, round(c.it, 6) AS s1_intensity FROM (
-WITH mem AS (SELECT *, unnest(range(0, least(top_stage, 1)+1)) AS stage FROM pyramid),
-e AS (SELECT * FROM (SELECT a.tile_name, a.chunk_idx, a.stage, a.point_id, {_D2} AS d2, (a.z_mm-b.z_mm)/1000.0E0 AS rz, b.intensity/65535.0E0 AS it,
-    row_number() OVER (PARTITION BY a.tile_name, a.chunk_idx, a.stage, a.point_id ORDER BY {_D2}, b.point_id) AS r
-  FROM mem a JOIN mem b USING (tile_name, chunk_idx, stage)) q WHERE r <= {K}),
-w AS (SELECT *, sqrt(CAST(d2 AS DOUBLE))/1000.0E0 AS ds, exp(-sqrt(CAST(d2 AS DOUBLE))/1000.0E0 + min(sqrt(CAST(d2 AS DOUBLE))/1000.0E0) OVER (PARTITION BY tile_name, chunk_idx, stage, point_id)) AS wt FROM e)
-SELECT tile_name, chunk_idx, stage, point_id, sum(wt*rz)/sum(wt) AS rz, sum(wt*ds)/sum(wt) AS ds, sum(wt*it)/sum(wt) AS it FROM w GROUP BY 1, 2, 3, 4) f
-JOIN ({_UP.replace('AS intensity FROM', 'AS ignored FROM')}) u ON f.point_id = u.point_id AND f.chunk_idx = u.chunk_idx AND f.tile_name = u.tile_name
-JOIN (
-WITH mem AS (SELECT * FROM pyramid WHERE top_stage >= 1),
-e AS (SELECT * FROM (SELECT a.tile_name, a.chunk_idx, a.point_id, {_D2} AS d2, (a.z_mm-b.z_mm)/1000.0E0 AS rz, b.intensity/65535.0E0 AS it,
-    row_number() OVER (PARTITION BY a.tile_name, a.chunk_idx, a.point_id ORDER BY {_D2}, b.point_id) AS r
-  FROM mem a JOIN mem b USING (tile_name, chunk_idx)) q WHERE r <= {K}),
-w AS (SELECT *, sqrt(CAST(d2 AS DOUBLE))/1000.0E0 AS ds, exp(-sqrt(CAST(d2 AS DOUBLE))/1000.0E0 + min(sqrt(CAST(d2 AS DOUBLE))/1000.0E0) OVER (PARTITION BY tile_name, chunk_idx, point_id)) AS wt FROM e)
-SELECT tile_name, chunk_idx, point_id, sum(wt*rz)/sum(wt) AS rz, sum(wt*ds)/sum(wt) AS ds, sum(wt*it)/sum(wt) AS it FROM w GROUP BY 1, 2, 3) c
-ON c.point_id = u.source_id AND c.chunk_idx = u.chunk_idx AND c.tile_name = u.tile_name
-WHERE f.stage = 0"""
-
-
-@query("multiscale_features", _MULTI, "points chunked pyramid")
+def _multi_sql(stages: int) -> str:
+    """Pooled features of every stage's points, and each point's nearest point of the next stage, followed from stage to stage."""
+    pooled = f"""SELECT e.tile_name, e.chunk_idx, e.stage, e.point_id, sum(w*rz)/sum(w) AS rz, sum(w*ds)/sum(w) AS ds, sum(w*it)/sum(w) AS it FROM (
+      SELECT e.*, (p.z_mm-n.z_mm)/1000.0E0 AS rz, sqrt(CAST(e.d2 AS DOUBLE))/1000.0E0 AS ds, n.intensity/65535.0E0 AS it,
+        exp(-sqrt(CAST(e.d2 AS DOUBLE))/1000.0E0 + min(sqrt(CAST(e.d2 AS DOUBLE))/1000.0E0) OVER (PARTITION BY e.tile_name, e.chunk_idx, e.stage, e.point_id)) AS w
+      FROM staged e JOIN points p ON e.point_id = p.point_id JOIN points n ON e.neighbour_id = n.point_id) e GROUP BY 1, 2, 3, 4"""
+    up = f"""SELECT u.tile_name, u.chunk_idx, u.stage, u.point_id, n.point_id AS source_id FROM (
+      SELECT a.tile_name, a.chunk_idx, a.stage, a.point_id, min({D2}*{N_PTS}+b.pos) AS k
+      FROM mem a JOIN mem b ON a.tile_name = b.tile_name AND a.chunk_idx = b.chunk_idx AND b.stage = a.stage+1 GROUP BY 1, 2, 3, 4) u
+      JOIN chunked n ON n.tile_name = u.tile_name AND n.chunk_idx = u.chunk_idx AND n.pos = u.k % {N_PTS}"""
+    joins, cols, at = [], [], "f0.point_id"
+    for s in range(stages):
+        if s:
+            on = "u{0}.tile_name = f0.tile_name AND u{0}.chunk_idx = f0.chunk_idx AND u{0}.stage = {0} AND u{0}.point_id = {1}".format(s - 1, at)
+            joins.append(f"JOIN up u{s - 1} ON {on}")
+            at = f"u{s - 1}.source_id"
+            joins.append(f"JOIN pooled f{s} ON f{s}.tile_name = f0.tile_name AND f{s}.chunk_idx = f0.chunk_idx AND f{s}.stage = {s} AND f{s}.point_id = {at}")
+        cols += [f"round(f{s}.{c}, 6) AS s{s}_{n}" for c, n in (("rz", "rel_z"), ("ds", "distance"), ("it", "intensity"))]
+    return f"""WITH mem AS {_MEM}, staged AS ({_STAGED}), pooled AS ({pooled}), up AS ({up})
+    SELECT f0.tile_name, f0.chunk_idx, f0.point_id, {", ".join(cols)} FROM pooled f0 {" ".join(joins)} WHERE f0.stage = 0"""
+
+
+@query("multiscale_features", _multi_sql(PYRAMID_STAGES + 1), "points chunked pyramid")
 def multiscale_features(spark, sf):
-    f = learning.multiscale_features(chunks(spark, sf), stages=2, k=K)
-    return f.withColumns({c: F.round(c, 6) for c in f.columns if c[:2] in ("s0", "s1")})
+    """All five resolutions."""
+    f = learning.multiscale_features(chunks(spark, sf), stages=PYRAMID_STAGES + 1, k=K)
+    return f.withColumns({c: F.round(c, 6) for c in f.columns if c[0] == "s" and c[2] == "_"})
 
 
 @query("las_roundtrip", "SELECT tile_name, x, y, z, intensity, classification FROM points")

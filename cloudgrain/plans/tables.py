@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.chunks import assign_chunks
 from ..operators.labels import encode_known_classes
+from ..schemas import CHUNK_MIN_POINTS, CHUNK_POINTS, NEIGHBOURS
 
-# Chunk size of the registered queries: small, so that the test tables give many chunks.
-N_PTS, MIN_PTS, K = 256, 32, 16
+N_PTS, MIN_PTS, K = CHUNK_POINTS, CHUNK_MIN_POINTS, NEIGHBOURS
 
 POINTS = """
 SELECT point_id, x_mm, y_mm, z_mm, x_mm/1000.0E0 AS x, y_mm/1000.0E0 AS y, z_mm/1000.0E0 AS z,
@@ -112,18 +112,27 @@ WHERE chunk_n >= {least}"""
 _PYRAMID = """
 SELECT c.*, CASE WHEN r <= greatest(n//256, 1) THEN 4 WHEN r <= greatest(n//64, 1) THEN 3
                  WHEN r <= greatest(n//16, 1) THEN 2 WHEN r <= greatest(n//4, 1) THEN 1 ELSE 0 END AS top_stage
-FROM (SELECT *, row_number() OVER (PARTITION BY tile_name, chunk_idx ORDER BY md5('42:' || point_id), point_id) AS r,
+FROM (SELECT *, row_number() OVER (PARTITION BY tile_name, chunk_idx ORDER BY md5('pyramid:42:' || point_id), point_id) AS r,
              count(*) OVER (PARTITION BY tile_name, chunk_idx) AS n FROM chunked) c"""
 
-_EDGES = f"""
-SELECT * FROM (
-  SELECT a.tile_name, a.chunk_idx, a.point_id,
-         row_number() OVER (PARTITION BY a.tile_name, a.chunk_idx, a.point_id
-           ORDER BY (a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm), b.point_id) AS rank,
-         b.point_id AS neighbour_id,
-         (a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm) AS d2
-  FROM chunked a JOIN chunked b ON a.tile_name = b.tile_name AND a.chunk_idx = b.chunk_idx) e
-WHERE rank <= {K}"""
+D2 = "((a.x_mm-b.x_mm)*(a.x_mm-b.x_mm)+(a.y_mm-b.y_mm)*(a.y_mm-b.y_mm)+(a.z_mm-b.z_mm)*(a.z_mm-b.z_mm))"
+
+
+def edges_sql(source: str, group: str = "tile_name, chunk_idx") -> str:
+    """The K nearest points of the same group: distance and position in the chunk (which follows the ids) in one number, so
+    that DuckDB keeps K numbers per point and sorts no pairs."""
+    keys = [g.strip() for g in group.split(",")]
+    own = ", ".join(f"a.{g}" for g in keys)
+    same = " AND ".join(f"a.{g} = b.{g}" for g in keys)
+    match = " AND ".join(f"e.{g} = n.{g}" for g in keys)
+    return f"""
+SELECT {", ".join(f"e.{g}" for g in keys)}, e.point_id, e.rank, n.point_id AS neighbour_id, e.k // {N_PTS} AS d2 FROM (
+  SELECT *, unnest(l) AS k, generate_subscripts(l, 1) AS rank FROM (
+    SELECT {own}, a.point_id, min({D2}*{N_PTS}+b.pos, {K}) AS l FROM {source} a JOIN {source} b ON {same} GROUP BY {own}, a.point_id) g) e
+JOIN {source} n ON {match} AND n.pos = e.k % {N_PTS}"""
+
+
+_EDGES = edges_sql("chunked")
 
 CTES = {
     "points": POINTS.format(lineitem="lineitem"),
