@@ -7,7 +7,7 @@ segments in ``seq`` order; each segment carries its place in it, and the assista
 also the masked part that is to be learnt: the text and its end mark.
 
 A conversation may hold any share of the rows: a rendering is returned as one row per
-segment, turns are numbered by ``rank_within``, and offsets are sums within blocks of ``BLOCK`` turns
+segment, turns are numbered by ``rank_written``, and offsets are sums within blocks of ``BLOCK`` turns
 plus the sums of the blocks before. Only DataFrame functions are used.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ranking import join_on, rank_within
+from ..operators.ranking import join_on, rank_written
 from .text import read
 
 BLOCK = 1024
@@ -41,7 +41,7 @@ def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     # A few names per conversation; combined before the shuffle.
     participants = turns.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    ranked = rank_within(turns, ["conv_id"], ["turn", "speaker", "text"], out="seq").select("conv_id", "seq", "turn", "speaker", "text")
+    ranked = rank_written(turns, ["conv_id"], ["turn", "speaker", "text"], out="seq").select("conv_id", "seq", "turn", "speaker", "text")
     seen = join_on(ranked, participants, ["conv_id"])
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")

@@ -6,7 +6,7 @@ window hashes are looked up in the sorted set, hits are verified word by word,
 and all words inside a verified window are hit.
 
 The set is broadcast when the benchmark has at most ``max_broadcast_windows``
-windows (its size is counted first). A larger benchmark is dealt out by window
+windows of ``MAX_BROADCAST_BYTES`` together (both are counted first). A larger benchmark is dealt out by window
 hash instead: only matching (document, place) rows come back, and the same
 verification follows.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from .text import FOLDED, Words, as_bytes, blocks, documents, gram_hashes, inside_text, keyed, read, record
 
 WINDOW = 10
-MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_BROADCAST_WINDOWS = 500_000
+MAX_BROADCAST_BYTES = 1 << 26  # of words and item ids
 
 _HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
 _WINDOWS = pa.schema([("n", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
@@ -121,14 +122,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_br
     """
     spark, rows = docs.sparkSession, keyed(documents(docs))
     windows = benchmark_windows(benchmark, n)
-    few = windows.limit(max_broadcast_windows + 1).collect() if max_broadcast_windows else []
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item")), F.lit(0)).alias("bytes")).first()
+    small = max_broadcast_windows and size["n"] <= max_broadcast_windows and size["bytes"] <= MAX_BROADCAST_BYTES
     schema = T._parse_datatype_string(_HITS)
     arrow = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("clean_text", pa.string()),
     ])
-    if len(few) <= max_broadcast_windows and max_broadcast_windows:
-        shared = spark.sparkContext.broadcast(_lookup([tuple(r) for r in few]))
+    if small:
+        shared = spark.sparkContext.broadcast(_lookup([tuple(r) for r in windows.collect()]))
 
         def scan(batches):
             for part, texts in blocks(batches):

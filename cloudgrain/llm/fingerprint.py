@@ -84,10 +84,12 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        places = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right") if len(bounds) else np.zeros(len(ids), np.int64)
-        return pd.Series(np.where(ids.isna(), -1, places).astype(np.int32))
+        places = np.searchsorted(bounds, ids.to_numpy(), side="right") if len(bounds) else np.zeros(len(ids), np.int64)
+        return pd.Series(places.astype(np.int32))
 
-    placed = rows.select(bucket("doc_id").alias("_b"), "doc_id", "text")
+    # Nulls are taken out before pandas sees the ids: a null among them would make the others floating point numbers.
+    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    placed = rows.select(place.alias("_b"), "doc_id", "text")
     heads = sorted(((r["_b"], r.head) for r in placed.groupBy("_b").agg(F.max("doc_id").alias("head")).collect()), reverse=True)
     # The head of each range follows the last row of the range before it in descending order.
     following = [(heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]

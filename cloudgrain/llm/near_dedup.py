@@ -13,7 +13,11 @@ buckets whose remaining members still belong to different components go to anoth
 round, with more leaders (those whom the bucket's main component has not taken in) and for pairs of
 different components alone. So a group of thousands of
 copies costs a few comparisons per member, and yet no pair of a bucket is left uncompared
-unless both are known to belong together.
+unless both are known to belong together. The first round takes a few bands only: they join most copies.
+
+A linked pair has at least two thirds of its labelled words in common (Jaccard). Every node carries ``BAG_BITS`` one-bit MinHash
+values of them, and a leader meets only those whose bits differ in at most ``BAG_DIFFER`` places: unlike documents around
+one passage are compared by 32 bytes inside the join and never aligned. Texts are read again for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -41,30 +45,51 @@ SIMILARITY = 0.8
 #: orders of them a Jaccard similarity j = k / (2 - k). ``SKETCHES`` of ``KEEP`` all differ with (1 - j**2)**64: 1e-7 at s = 0.8.
 #: Replaced words that never are neighbours leave k = 2 * s - 1: 2e-6. Short texts: j = s / (2 - s), 1e-14 or less.
 SKETCHES, KEEP = 64, 2
+#: A bit differs with (1 - J) / 2, at most 1/6 for a link: more than 77 of 256 do so with 4e-8. At J = 0.25 one pair in 150 is left, at 0.15 one in 20,000.
+BAG_BITS, BAG_DIFFER = 256, 77
+EARLY = 8  # bands of the first round
 LEADERS, GROWTH = 1, 8
 MAX_LEADERS = 1000  # of a round: Spark's spark.sql.optimizer.windowGroupLimitThreshold, see ``_leaders``
-FILTER_BITS = 27  # of the filter that picks the texts to read again
+FILTER_BITS = 27  # of the filters that pick shared buckets and the texts to read again; a full one passes more, never less
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAG_SEEDS = np.random.default_rng(20240604).integers(0, 1 << 31, BAG_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BAG = [f"bag{i}" for i in range(BAG_BITS // 64)]
 
 _SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
-    ("sketches", pa.list_(pa.int64())),
+    ("sketches", pa.list_(pa.int64())), *((b, pa.int64()) for b in _BAG),
 ])
 _WORDS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.binary())])
 
 
-def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(texts, SKETCHES) sketches of runs of shingles, all of at least one shingle."""
-    owner = np.repeat(np.arange(len(first)), lengths)
-    by_value = np.lexsort((shingles, owner))
-    ordered = shingles[by_value]
+def labelled_by_occurrence(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Values mixed with how many equal ones stand before them in their text."""
+    by_value = np.lexsort((values, owner))
+    ordered = values[by_value]
     new = np.ones(len(ordered), bool)
     new[1:] = (ordered[1:] != ordered[:-1]) | (np.diff(owner) != 0)
     start = np.flatnonzero(new)
     occurrence = np.empty(len(ordered), np.uint64)
     occurrence[by_value] = (np.arange(len(ordered)) - np.repeat(start, np.diff(np.append(start, len(ordered))))).astype(np.uint64)
-    labelled = mix(shingles + mix(occurrence))
+    return mix(values + mix(occurrence))
+
+
+def bag_bits(words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(texts, BAG_BITS / 64) one-bit MinHash values of the labelled words of runs of at least one word."""
+    small = (labelled_by_occurrence(words, np.repeat(np.arange(len(first)), lengths)) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(first), BAG_BITS // 64), np.uint64)
+    for j in range(BAG_BITS):
+        least = np.minimum.reduceat(small * _BAG_SEEDS[j], first)
+        bit = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+        out[:, j // 64] |= bit.astype(np.uint64) << np.uint64(j % 64)
+    return out.view(np.int64)
+
+
+def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(texts, SKETCHES) sketches of runs of shingles, all of at least one shingle."""
+    owner = np.repeat(np.arange(len(first)), lengths)
+    labelled = labelled_by_occurrence(shingles, owner)
     out = np.empty((len(first), SKETCHES), np.uint64)
     for j in range(SKETCHES):
         value = (labelled ^ _SEEDS[0, j]) * _SEEDS[1, j]
@@ -95,11 +120,18 @@ def _names(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
+    """Names, bag bits and, under ``sketches``, the buckets of every text; those of a band have its number mixed in."""
+    bands = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             w = Words(texts, FOLDED)
             n = np.diff(w.offsets)
             h1, h2 = _names(w)
+            bag = np.zeros((len(n), len(_BAG)), np.int64)
+            some = np.flatnonzero(n)
+            if len(some):
+                bag[some] = bag_bits(w.hash, w.offsets[some], n[some])
             sketches, owner = [], []
             for size, which in ((1, (n > 0) & (n <= WORDS_TO)), (SHINGLE, n >= GRAMS_FROM)):
                 if not which.any():
@@ -108,7 +140,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 grams = gram_hashes(w.hash, size)
                 ok = inside_text(w, size) & which[w.text_of()[:len(grams)]]
                 lengths = n[some] - size + 1
-                sketches.append(order_sketches(grams[ok], np.cumsum(lengths) - lengths, lengths).view(np.int64).ravel())
+                sketches.append(mix(order_sketches(grams[ok], np.cumsum(lengths) - lengths, lengths) ^ bands).view(np.int64).ravel())
                 owner.append(np.repeat(some, SKETCHES))
             owner = np.concatenate([*owner, np.zeros(0, np.int64)]).astype(np.int64)
             # Stable: a text's sketches keep their order, which names their bands.
@@ -117,19 +149,47 @@ def _signatures(rows: DataFrame) -> DataFrame:
             yield record({
                 "doc_id": part.column("doc_id"), "h1": h1, "h2": h2, "n": n.astype(np.int32),
                 "sketches": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), values),
+                **{b: bag[:, i].copy() for i, b in enumerate(_BAG)},
             }, _SIGNED)
 
-    return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>")
+    return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>, " + ", ".join(f"{b} long" for b in _BAG))
+
+
+def _shared_buckets(nodes: DataFrame, filter_bits: int) -> DataFrame:
+    """(bucket, early, node, n, bag...) of the buckets that at least two nodes share.
+
+    A bit map of them passes the nodes' buckets where they lie, so only those few are sent.
+    """
+    pieces = nodes.select("node", F.explode("sketches").alias("bucket"))
+    shared = settle(pieces.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket"))
+    some = nodes.sparkSession.sparkContext.broadcast(id_filter(shared, filter_bits))
+    schema = pa.schema([("bucket", pa.int64()), ("early", pa.bool_()), ("node", pa.int64()), ("n", pa.int32()), *((b, pa.int64()) for b in _BAG)])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketches")
+            flat = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            band = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % SKETCHES
+            keep = passes(some.value, flat, filter_bits)
+            row = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(band[keep] < EARLY), *[batch.column(c).take(row) for c in ("node", "n", *_BAG)]], schema=schema)
+
+    passed = nodes.select("node", "n", *_BAG, "sketches").mapInArrow(emit, "bucket long, early boolean, node long, n int, " + ", ".join(f"{b} long" for b in _BAG))
+    buckets = settle(passed.join(shared, "bucket", "left_semi"))
+    discard(shared)
+    return buckets
 
 
-def _words_of(rows: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, words) of the wanted nodes: texts are read again and passed where they lie, so only wanted ones are sent."""
-    shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted, FILTER_BITS))
+def _words_of(rows: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
+    """(node, words) of wanted nodes (doc, h1, h2, node): texts are read again and passed where they lie, so only wanted ones are sent, once."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc").distinct(), filter_bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for part, texts in blocks(iter([batch.filter(pa.array(passes(shared.value, ids, FILTER_BITS)))])):
+            for part, texts in blocks(iter([batch.filter(pa.array(passes(shared.value, ids, filter_bits)))])):
                 w = Words(texts, FOLDED)
                 h1, h2 = _names(w)
                 small = memoryview((w.hash >> np.uint64(32)).astype(np.uint32)).cast("B")
@@ -139,8 +199,9 @@ def _words_of(rows: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
                 }, _WORDS)
 
     some = rows.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id long, h1 long, h2 long, words binary")
-    exact = some.join(wanted, "doc_id", "left_semi").join(own, ["doc_id", "h1", "h2"], "left_semi")
-    return exact.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "words")
+    # Rows that repeat a document are dropped where the join has brought them together.
+    exact = some.join(wanted.withColumnRenamed("doc", "doc_id"), ["doc_id", "h1", "h2"])
+    return exact.dropDuplicates(["doc_id", "h1", "h2"]).select("node", "words")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -163,58 +224,95 @@ def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
     """
     order = W.partitionBy("bucket").orderBy(F.desc("component"), "node", "n")
     lead = buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders)
-    return lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"))
+    own = [F.col(b).alias(f"_{b}") for b in _BAG if b in buckets.columns]
+    return lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *own)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the least doc_id among those linked, directly or in steps.
+def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in _BAG[1:]), F.bit_count(F.col(_BAG[0]).bitwiseXOR(F.col(f"_{_BAG[0]}"))))
+    # The bound on the bags holds for a similarity of 0.8; a lower one allows more words to differ.
+    most = BAG_DIFFER if similarity >= SIMILARITY else BAG_BITS
+    close = (F.col("component") != F.col("_own")) & (F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6) & (differ <= most)
+    met = buckets.withColumnRenamed("bucket", "_bucket").join(lead, (F.col("_bucket") == F.col("bucket")) & close)
+    return met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct()
 
-    Texts without words and rows without doc_id stand alone (class_id is their doc_id). Rows may
-    repeat; rows of one doc_id with several texts count as one document. Extra columns are ignored.
-    """
+
+def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id) of documents that have words, one row each, and all rows' ids."""
     rows = documents(docs)
     signed = settle(_signatures(rows))
     worded = signed.where("doc_id IS NOT NULL AND n > 0")
-    first = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = settle(worded.select("doc_id", "h1", "h2").distinct().join(first, ["h1", "h2"]).select("doc_id", "node", "h1", "h2"))
-    own = members.where("doc_id = node").select("doc_id", "h1", "h2")
-    sketched = worded.select("doc_id", "h1", "h2", "n", "sketches").join(own, ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
-    # One row per node here, so buckets are made distinct within it, without a shuffle.
-    of_node = F.array_distinct(F.transform("sketches", lambda value, band: F.xxhash64(band % SKETCHES, value)))
-    buckets = sketched.select(F.col("doc_id").alias("node"), "n", F.explode(of_node).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    buckets = settle(buckets.join(shared, "bucket", "left_semi"))
-    # Only texts that share a bucket are read again, once for all rounds.
-    words = settle(_words_of(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), own))
-    # Rows of one doc_id with several texts are one document from the start.
+    once = [F.first(c).alias(c) for c in ("n", "sketches", *_BAG)]
+    nodes = settle(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), *once).withColumn("node", F.monotonically_increasing_id()))
+    members = settle(worded.select("doc_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"))
+    discard(signed)
+    buckets = _shared_buckets(nodes, filter_bits)
+    named = settle(nodes.select("doc", "h1", "h2", "node"))
+    discard(nodes)
+    # Nodes of one doc_id with several texts are one document from the start.
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi")
-    links = members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    links = settle(members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    words, read_now, component, early, n = None, [], None, True, leaders
     buckets = buckets.withColumn("component", F.col("node"))
     while True:
-        lead = _leaders(buckets, leaders)
-        met = buckets.join(lead, "bucket").where("component <> _own").where(F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6)
-        pairs = settle(met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct())
-        links = settle(links.union(_verified(pairs, words, similarity)))
+        some = buckets.where("early") if early else buckets
+        lead = _leaders(some, n)
+        pairs = settle(_candidates(some, lead, similarity))
+        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        fresh = met if words is None else met.join(words.select("node"), "node", "left_anti")
+        wanted = settle(named.join(fresh, "node"))
+        if words is None or not wanted.isEmpty():
+            read_now.append(settle(_words_of(rows, wanted, filter_bits)))
+            words = read_now[0] if words is None else words.unionByName(read_now[-1])
+        discard(wanted)
+        added = settle(links.union(_verified(pairs, words, similarity)))
         discard(pairs)
-        component = components(links)
-        rest = buckets.drop("component").join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")
+        discard(links)
+        # The components so far stand for all links that made them.
+        component = settle(components(added))
+        discard(added)
+        links = component.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        rest = buckets.drop("component")
+        if not early:
+            rest = rest.join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")
         rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_buckets = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        buckets = settle(rest.join(open_buckets, "bucket", "left_semi"))
+        left = settle(rest.join(open_buckets, "bucket", "left_semi"))
+        discard(buckets)
+        buckets = left
         if buckets.isEmpty():
             break
         # What a large bucket still has open is left to further rounds.
-        leaders = min(leaders * GROWTH, MAX_LEADERS)
-    of_node = members.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return rows.select("doc_id").join(of_node, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        n, early = min(n * GROWTH, MAX_LEADERS), False
+    for table in (*read_now, named, buckets):
+        discard(table)
+    classed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return classed.join(least, "component").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), rows
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, class_id) of every row; class_id is the least doc_id among those linked, directly or in steps.
+
+    Texts without words and rows without doc_id stand alone (class_id is their doc_id). Rows may
+    repeat; rows of one doc_id with several texts count as one document, linked by any of them. Extra columns are ignored.
+    """
+    classes, rows = _classes(docs, similarity, leaders, filter_bits)
+    return rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that of the least doc_id; rows without doc_id stay. Keeps the columns of ``docs``."""
+    """One row of each class, of its least doc_id; rows without doc_id stay. Keeps the columns of ``docs``.
+
+    Of several rows of that doc_id the one stays whose text sorts first (null before all), then the one whose whole row does as JSON.
+    """
     classes = near_duplicates(docs, similarity)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    first = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("_row"))
+    return first.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ranking import rank_within
+from ..operators.ranking import rank_written
 from ..storage import discard, settle
 from .curves import hilbert_keys
 from .text import read
@@ -161,7 +161,7 @@ def _ordered(nodes: DataFrame, curves: Curves, dim: int, dtype) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vectors), o, np.int32)), pa.array(curves.keys(vectors, o)), part.column("node"), part.column("least"), packed(vectors)], schema=schema)
 
     keyed = nodes.select("node", "least", "v").mapInArrow(emit, "ordering int, key long, node long, least long, v binary")
-    return rank_within(keyed, ["ordering"], ["key", "node"], out="rank").select("ordering", (F.col("rank") - 1).alias("rank"), "node", "least", "v")
+    return rank_written(keyed, ["ordering"], ["key", "node"], out="rank").select("ordering", (F.col("rank") - 1).alias("rank"), "node", "least", "v")
 
 
 def window_for(ordered: DataFrame, true: DataFrame, recall: float) -> int:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import settle
 from .text import blocks, documents, read, record
@@ -202,21 +203,24 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_score: float =
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one. ``n_chars``, if there, follows.
 
-    Texts without spans, null ones too, stay as they are.
+    Texts without spans, null ones too, stay as they are. Rows may repeat; other columns, whatever their names, are
+    passed through. An empty table gives an empty one.
     """
     found = find_personal_data(docs, **options).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(found, "_key", "left")
-    hit = rows.where("spans IS NOT NULL").drop("_key")
-    schema = rows.drop("_key", "spans").schema
+    # The whole row travels as one column, so no name of it can clash.
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"))
+    rows = packed.join(found, "_key", "left")
+    hit = rows.where("spans IS NOT NULL").select("_row", F.col("_row.text").cast("string").alias("_text"), "spans")
+    schema = T.StructType([hit.schema["_row"], T.StructField("_new", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redacted(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            names = [n for n in batch.schema.names if n != "spans"]
-            yield pa.RecordBatch.from_arrays([new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in names], names)
+            texts = [redacted(t, s) for t, s in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_new"])
 
-    return hit.mapInArrow(run, schema).unionByName(rows.where("spans IS NULL").drop("_key", "spans")).select(*docs.columns)
+    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    changed = hit.mapInArrow(run, schema).select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return changed.unionByName(rows.where("spans IS NULL").select("_row.*"))
 
 
 def redacted(text: str, spans: list[dict]) -> str:

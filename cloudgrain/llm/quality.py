@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import Pieces, as_bytes, blocks, crc_mod, documents, gram_hashes, inside_text, read, record
+from .text import Pieces, blocks, crc_mod, documents, gram_hashes, inside_text, read, record
 
 BITS = 20
 MAX_FIT_ROWS = 20_000
@@ -80,24 +80,48 @@ def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _fit_shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by("_order")
-    texts, labels = as_bytes(table.column("text").combine_chunks()), table.column("label").to_pylist()
+def examples(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, values) of each text."""
     text, place, value = features(texts)
     order = np.argsort(text, kind="stable")
     split = np.cumsum(np.bincount(text, minlength=len(texts)))[:-1]
-    rows = list(zip(np.split(place[order], split), np.split(value[order], split), labels))
-    model = Ftrl()
-    for _ in range(EPOCHS):
-        for row in rows:
-            model.learn(*row)
-    return pa.table({"n": pa.array([len(rows)], pa.int64()), "weights": pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())})
+    return list(zip(np.split(place[order], split), np.split(value[order], split)))
+
+
+def _shard_models(rows: DataFrame) -> list:
+    """(n, weights) of every shard. Texts stream by, epoch after epoch, so a task holds a block of them and its weights."""
+    schema = pa.schema([("n", pa.int64()), ("weights", pa.binary())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, model, n = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            return record({"n": [n], "weights": [model.weights().astype(np.float32).tobytes()]}, schema)
+
+        for part, texts in blocks(batches):
+            rows = zip(part.column("_shard").to_pylist(), part.column("_epoch").to_pylist(), part.column("label").to_pylist(), examples(texts))
+            for own, epoch, label, example in rows:
+                if own != shard:
+                    if model is not None:
+                        yield done()
+                    shard, model, n = own, Ftrl(), 0
+                model.learn(*example, label)
+                n += epoch == 0
+        if model is not None:
+            yield done()
+
+    again = rows.select("_shard", F.explode(F.array(*map(F.lit, range(EPOCHS)))).alias("_epoch"), "_order", "doc_id", "label", "text")
+    ordered = again.repartition("_shard").sortWithinPartitions("_shard", "_epoch", "_order", "doc_id", "text")
+    return ordered.select("_shard", "_epoch", "label", "text").mapInArrow(learn, "n long, weights binary").collect()
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
-    """(doc_id, text, label, _order): about ``max_rows`` usable labelled rows, chosen by a digest of doc_id."""
+    """(doc_id, text, label, _order): about ``max_rows`` usable labelled rows, chosen by a digest of doc_id.
+
+    A doc_id with several labels has the greatest of them; null ids and labels do not count.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isNotNull()).dropDuplicates(["doc_id"])
+    own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, max_rows / max(1, own.count()))
     chosen = own.withColumn("_order", F.xxhash64(F.lit(label), F.col("doc_id"))).where(F.pmod("_order", F.lit(1 << 20)) < int(share * (1 << 20)))
     # About max_rows rows of three numbers, whatever the number of labels.
@@ -124,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """
     rows = sample_labelled(docs, labels, label, usable, max_rows).withColumn("_shard", F.pmod(F.shiftright("_order", 20), F.lit(8 * SHARDS)))
     apart = F.col("_shard") < SHARDS
-    models = rows.where(~apart).withColumn("_shard", F.col("_shard") % SHARDS).groupBy("_shard").applyInArrow(_fit_shard, "n long, weights binary").collect()
+    models = sorted(_shard_models(rows.where(~apart).withColumn("_shard", F.col("_shard") % SHARDS)), key=lambda m: (m.n, m.weights))
     total = sum(m.n for m in models)
     weights = sum((np.frombuffer(m.weights, np.float32) * (m.n / total) for m in models), np.zeros(1 << BITS, np.float32))
     margin, y = _margins(rows.where(apart), weights)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import join_on, rank_within
+from ..operators.ranking import join_on, rank_written
 from ..storage import settle
 from . import dawg
 from .text import read
@@ -42,7 +42,7 @@ def damage(conversations: DataFrame) -> DataFrame:
 def ranked_turns(turns: DataFrame) -> DataFrame:
     """Turns in order with ``pos`` (from 1), ``block`` (from the end) and ``symbol`` and ``fault`` of each. Written once."""
     rows = turns.withColumn("mark", F.md5(F.col("text").cast("binary")))
-    laid = rank_within(rows, ["conv_id"], ["turn", "role", "mark", "copy"], out="pos", total="n")
+    laid = rank_written(rows, ["conv_id"], ["turn", "role", "mark", "copy"], out="pos", total="n")
     seen = laid.groupBy("conv_id", "role", "mark").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     laid = join_on(laid, seen, ["conv_id", "role", "mark"], "left")
     fault = (F.when(~F.col("text").rlike(_WORD), "blank").when(F.col("pos") > F.col("first"), "duplicate")

@@ -7,6 +7,7 @@ not depend on the size of a table or of a partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,15 @@ def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on, and the next stage's tables come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
 def small_batches(spark) -> None:
     """Lower the session's Arrow batches to ``BATCH_ROWS`` rows: texts are wide rows, and both sides of a Python task hold a batch."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

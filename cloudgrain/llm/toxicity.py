@@ -18,7 +18,6 @@ labelled rows, the only ones that the class counts leave out.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked, discard, settle
 from .quality import curve, scored
-from .text import FOLDED, Words, blocks, crc_mod, documents, mix, read, record, small_batches
+from .text import FOLDED, Words, blocks, crc_mod, documents, give_back, mix, read, record, small_batches
 
 NODE_BITS = 21
 PREFIXES = (4, 6, 8)  # bytes
@@ -37,7 +36,7 @@ DISCOUNT = 4.0
 SPAN = 8
 MAX_FIT_ROWS = 20_000
 CALIBRATION = 8  # every eighth labelled document, but no more than the bound, fits the curve and not the counts
-MAX_HELD = 1_000_000
+MAX_HELD = 250_000
 _PART = 14
 _ROOT, _WHOLE = np.uint64(0x6A09E667F3BCC908), np.uint64(0x5851F42D4C957F2D)
 
@@ -92,6 +91,7 @@ def _node_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 held = []
         if held:
             yield record(dict(zip(_COUNTS.names, summed(*zip(*held)))), _COUNTS)
+        give_back()
 
     # Labels are joined where the texts lie while they are few; beyond that by a shuffle.
     rows = documents(docs).join(broadcast_checked(labels, 2_000_000), "doc_id", "left").select("text", F.coalesce("label", F.lit(-1)).alias("label"))
@@ -201,22 +201,27 @@ class Model:
     """
 
     def __init__(self, spark, counts: dict[str, np.ndarray]):
-        self.tables = spark.sparkContext.broadcast(zstandard.ZstdCompressor(1).compress(pickle.dumps(counts, pickle.HIGHEST_PROTOCOL)))
+        pack = zstandard.ZstdCompressor(1).compress
+        self.tables = spark.sparkContext.broadcast({name: (table.dtype.str, pack(table.tobytes())) for name, table in counts.items()})
         self.beta = np.zeros(6)
         self.fitted = False
 
     def load(self) -> Models:
-        """The tables, unpacked for one task: a worker that is used again keeps nothing."""
-        return Models(pickle.loads(zstandard.ZstdDecompressor().decompress(self.tables.value)))
+        """The tables, unpacked one by one for one task: a worker that is used again keeps nothing."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        return Models({name: np.frombuffer(unpack(packed), kind) for name, (kind, packed) in self.tables.value.items()})
 
     def scores(self, models: Models, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_inputs(models.compare(texts)) @ self.beta, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Count tables from the usable labelled rows, and the curve from about ``max_rows`` of them at most (an eighth of few), which are left out."""
+    """Count tables from the usable labelled rows, and the curve from about ``max_rows`` of them at most (an eighth of few), which are left out.
+
+    A doc_id with several labels counts with the greatest of them; null ids and labels other than 0 and 1 do not count.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
+    own = own.where(usable & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1 / CALIBRATION, max_rows / max(1, own.count()))
     apart = F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(1 << 40)) < int(share * (1 << 40))
     model = Model(docs.sparkSession, fit_counts(docs, own.where(~apart)))
@@ -227,6 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
         for part, texts in blocks(batches):
             f = models.compare(texts)
             yield record({"label": part.column("label"), **{f"f{i}": f[:, i] for i in range(4)}}, schema)
+        del models
+        give_back()
 
     # About max_rows rows of two numbers, whatever the number of labels.
     rows = documents(docs).join(F.broadcast(own.where(apart)), "doc_id").select("text", "label").mapInArrow(compare, "label int, f0 double, f1 double, f2 double, f3 double").toArrow()
@@ -245,6 +252,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         models = model.load()
         for part, texts in blocks(batches):
             yield record({"doc_id": part.column("doc_id"), "score": model.scores(models, texts)}, schema)
+        del models
+        give_back()
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -261,6 +270,8 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         models = model.load()
         for part, texts in blocks(batches):
             yield part.filter(pa.array(model.scores(models, texts) < threshold))
+        del models
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import settle
 from .text import read
 
 MAX_BAD, Z = 0.5, 1.645
@@ -103,7 +104,8 @@ def host_reputation(pages: DataFrame, max_bad: float = MAX_BAD, z: float = Z) ->
     """
     bad = F.col("bad").cast("long")
     hosts = pages.groupBy(url_host(F.col("url")).alias("host")).agg(F.count(bad).alias("n"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    # Read by every level's fit and by the result: the pages are gone through once.
+    hosts = settle(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     everything = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.lit("all").alias("all"))
@@ -134,16 +136,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], max_bad: float =
 
     The longest fitting rule decides, else the host's reputation. Null urls have
     the empty host. Rows may repeat, each gets its verdict; columns named like an
-    added one are replaced.
+    added one are replaced, all others keep their values. An empty table gives an empty one.
     """
     added = ["host", "path", "rule", "verdict", "n_labelled", "n_bad"]
     own = [c for c in pages.columns if c not in added]
+    row = F.struct(*[F.col(c) for c in own]).alias("_row")
     # Hosts are few against pages; Spark broadcasts them below its size limit and splits a hot host's pages above it.
     reputed = host_reputation(pages.select("url", "bad"), max_bad, z).select(F.col("host").alias("_host"), F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), "reputed")
-    rows = pages.select(*own, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    rows = pages.select(row, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     return rows.join(reputed, F.col("host") == F.col("_host"), "left").select(
-        *own, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", "reputed").alias("verdict"), "n_labelled", "n_bad",
+        *[F.col("_row")[c].alias(c) for c in own], "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", "reputed").alias("verdict"), "n_labelled", "n_bad",
     )
 
 
@@ -167,11 +170,16 @@ def _fit(level: str, above: str, key: str) -> str:
   FROM {level}s JOIN (SELECT {key}, n AS nn, bad / n AS m FROM {above} WHERE n > 0) USING ({key}) WHERE n > 0))"""
 
 
+_SUFFIX_LIST = ", ".join(f"'{s}'" for s in SUFFIXES)
+
 ORACLE = rf"""
 WITH o AS (SELECT doc_id, max(CASE WHEN coalesce(toxic = 1, false) OR coalesce(quality = 0, false) THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 q AS (SELECT p.*, o.bad FROM p LEFT JOIN o ON o.doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT)),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM q GROUP BY host),
+named AS (SELECT host, count(bad) AS n, sum(bad) AS bad, regexp_replace(host, ':[0-9]*$', '') AS bare FROM q GROUP BY host),
+parts AS (SELECT *, string_split(bare, '.') AS w, array_to_string(string_split(bare, '.')[-2:], '.') AS two, regexp_matches(bare, '^([0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}|\[.*\])$') AS ip FROM named),
+hosts AS (SELECT host, CASE WHEN ip THEN bare WHEN two IN ({_SUFFIX_LIST}) THEN array_to_string(w[-3:], '.') ELSE two END AS domain,
+  CASE WHEN ip THEN '(ip)' WHEN two IN ({_SUFFIX_LIST}) THEN two ELSE w[-1] END AS suffix, CAST(n AS DOUBLE) AS n, CAST(coalesce(bad, 0) AS DOUBLE) AS bad FROM parts),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixs AS (SELECT suffix, 1 AS "all", sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 everything AS (SELECT 1 AS "all", sum(n) AS n, sum(bad) AS bad FROM suffixs),

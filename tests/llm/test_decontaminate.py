@@ -50,3 +50,12 @@ def test_removal(spark):
     rows = {r.doc_id: (r.text, r.n_chars, r._clean) for r in dc.remove_contamination(docs, bench).collect()}
     text = "é before ! after and more words to keep here so that it stays"
     assert rows == {1: (text, len(text), "a"), 3: ("clean", 5, "c"), None: (None, None, None)}
+
+
+def test_a_benchmark_of_many_bytes_is_not_broadcast(spark, docs, sf, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    key = lambda r: (r.doc_id, r.n_hit, tuple(r["items"]), r.clean_text)
+    near = sorted(map(key, dc.contamination(docs, bench).collect()))
+    monkeypatch.setattr(dc, "MAX_BROADCAST_BYTES", 10)
+    far = dc.contamination(docs, bench)
+    assert "Join" in far._jdf.queryExecution().executedPlan().toString() and sorted(map(key, far.collect())) == near

@@ -53,3 +53,11 @@ def test_no_border_inside_a_character():
     text = "漢字😀é".encode() * 2000
     for cut in chunking.cut_points([text], 256, 1024, 8192, whole_characters=True)[0]:
         text[:cut].decode()
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids beyond 2**53 keep their order when a row has none."""
+    big = 2**53
+    rows = [(big + i, f"text number {i} " * (1 + i % 5)) for i in range(400)] + [(None, "no id at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got(fp.compare_edited(df)) == brute(rows)

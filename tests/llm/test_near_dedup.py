@@ -152,3 +152,66 @@ def test_every_round_limits_buckets_before_the_shuffle(spark, monkeypatch):
     asked.clear()
     assert got(nd.near_duplicates(df))[0] == brute(rows)
     assert len(asked) > 4 and asked[:3] == [1, 2, 2]
+
+
+def test_unlike_documents_around_a_passage_are_not_aligned(spark, monkeypatch):
+    """60 of 300 words in common: aligned pairs grow with the documents, not with their square."""
+    aligned, real = [], nd._verified
+
+    def verified(pairs, words, least):
+        aligned.append(pairs.count())
+        return real(pairs, words, least)
+
+    monkeypatch.setattr(nd, "_verified", verified)
+    rng = np.random.default_rng(14)
+    passage = [f"p{i}" for i in range(60)]
+    for n in (150, 450):
+        rows = [(i, " ".join([f"q{x}" for x in rng.integers(0, 10**6, 120)] + passage + [f"q{x}" for x in rng.integers(0, 10**6, 120)])) for i in range(n)]
+        rows += [(n + i, rows[i][1].replace("p7", "other")) for i in range(0, n, 10)]
+        aligned.clear()
+        classes = got(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))[0]
+        assert classes == {i: (i - n) if i >= n else i for i, _ in rows}
+        assert sum(aligned) <= n
+
+
+def test_bag_bits_estimate_common_words():
+    """A link's bits differ within the bound, with room; those of strangers far beyond it."""
+    rng = np.random.default_rng(15)
+    size, differ, strange = 120, [], []
+    for _ in range(60):
+        a = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        b, c = a.copy(), a.copy()
+        b[rng.permutation(size)[:size // 5]] = rng.integers(1, 1 << 63, size // 5, dtype=np.uint64)
+        c[:size * 3 // 4] = rng.integers(1, 1 << 63, size * 3 // 4, dtype=np.uint64)
+        bits = nd.bag_bits(np.concatenate((a, b, c)), np.arange(3) * size, np.full(3, size)).view(np.uint64)
+        for other, out in ((1, differ), (2, strange)):
+            out.append(sum(int(x).bit_count() for x in bits[0] ^ bits[other]))
+    assert max(differ) <= nd.BAG_DIFFER and np.mean(differ) == pytest.approx(nd.BAG_BITS / 6, rel=0.1)
+    assert min(strange) > nd.BAG_DIFFER
+
+
+def test_survivor_of_a_repeated_id(spark):
+    """Of several rows of the least doc_id the one whose text sorts first stays, whatever the order of the input."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [(5, b, "x"), (5, a, "y"), (5, a, "x"), (7, b, "z"), (8, None, "n"), (8, None, "m"), (None, b, "k")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, extra string").repartition(3)
+        assert sorted(map(tuple, nd.drop_near_duplicates(df).collect()), key=str) == sorted([(5, a, "x"), (8, None, "m"), (None, b, "k")], key=str)
+
+
+def test_recall_on_a_larger_table(spark):
+    """Documents whose id is divisible by 50, against all rows of sf0.1: every link found by alignment is inside a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    classes = got(nd.near_duplicates(docs))[0]
+    ids: dict = {}
+    texts = {r.doc_id: np.array([ids.setdefault(x, len(ids)) for x in words(r.text)]) for r in docs.collect()}
+    bags = {i: Counter(t.tolist()) for i, t in texts.items()}
+    links = missed = 0
+    for i in (i for i in texts if i % 50 == 0 and len(texts[i])):
+        for j, t in texts.items():
+            longest = max(len(t), len(texts[i]))
+            # What the bags exclude needs no alignment.
+            if j != i and min(len(t), len(texts[i])) >= 0.8 * longest - 1e-6 and sum((bags[i] & bags[j]).values()) >= 0.8 * longest - 1e-6 and alignment.similarity_at_least(texts[i], t, 0.8):
+                links += 1
+                missed += classes[i] != classes[j]
+    assert links > 50 and missed <= 0.01 * links

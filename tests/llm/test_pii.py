@@ -107,3 +107,11 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail me.1@a-b.example.com or +1 (640) 555-0953 now", 99, None), (2, None, None, "x"), (3, "clean", 5, "x")], "doc_id long, text string, n_chars long, kind string")
     got = {r.doc_id: (r.text, r.n_chars, r.kind) for r in pii.redact(df).collect()}
     assert got == {1: ("é mail [EMAIL] or [PHONE] now", 29, None), 2: (None, None, "x"), 3: ("clean", 5, "x")}
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["spans", "_key", "_row", "_new", "_text", "base", "places"]
+    df = spark.createDataFrame([(1, "mail me.1@a-b.example.com now", *names), (2, "clean", *names[::-1]), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = sorted(map(tuple, pii.redact(df).collect()), key=str)
+    assert pii.redact(df).columns == df.columns
+    assert got == sorted([(1, "mail [EMAIL] now", *names), (2, "clean", *names[::-1]), (None, None, *names)], key=str)

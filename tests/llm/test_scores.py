@@ -75,3 +75,63 @@ def test_ftrl_learns_and_is_sparse():
         model.learn(np.append(0, np.unique(place)), np.ones(len(np.unique(place)) + 1), int((place < 20).any()))
     w = model.weights()
     assert w[1:20].mean() > 0.5 > abs(w[20:200].mean()) and (w == 0).sum() > 50
+
+
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_conflicting_labels(spark, sf, module, label):
+    """A doc_id with several labels has the greatest, so the order of the rows does not matter."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
+    twice = labels.unionByName(labels.where("doc_id % 3 = 0").withColumn(label, F.lit(1)))
+    most = labels.withColumn(label, F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col(label)))
+    tables = (twice.orderBy("doc_id").repartition(2), twice.orderBy(F.desc("doc_id")).repartition(7), most)
+    scores = [dict(map(tuple, module.score(docs, module.fit(docs, t, F.lit(True))).collect())) for t in tables]
+    assert all(max(abs(scores[0][k] - s[k]) for k in s) < 1e-6 for s in scores[1:])
+
+
+def brute_quality(texts, labelled, xxhash):
+    """Scores by FTRL over dictionaries, one coordinate after another; ``labelled``: {doc_id: label}."""
+    features = {}
+    for i, t in texts.items():
+        owner, place, value = quality.features([(t or "").encode()])
+        features[i] = list(zip(place.tolist(), value.tolist()))
+    order = {i: xxhash[i] for i in labelled}
+    shard = {i: (order[i] >> 20) % (8 * quality.SHARDS) for i in labelled}
+    apart = [i for i in labelled if shard[i] < quality.SHARDS]
+    weights, total = {}, 0
+    for s in range(quality.SHARDS):
+        own = sorted((i for i in labelled if shard[i] >= quality.SHARDS and shard[i] % quality.SHARDS == s), key=lambda i: order[i])
+        z, n = {}, {}
+
+        def w(p):
+            if abs(z.get(p, 0.0)) <= quality.L1:
+                return 0.0
+            return -(z[p] - np.sign(z[p]) * quality.L1) / ((quality.BETA + n[p] ** 0.5) / quality.ALPHA + quality.L2)
+
+        for _ in range(quality.EPOCHS):
+            for i in own:
+                now = {p: w(p) for p, _ in features[i]}
+                error = 1 / (1 + np.exp(-sum(now[p] * v for p, v in features[i]))) - labelled[i]
+                for p, v in features[i]:
+                    g = error * v
+                    sigma = ((n.get(p, 0.0) + g * g) ** 0.5 - n.get(p, 0.0) ** 0.5) / quality.ALPHA
+                    z[p] = z.get(p, 0.0) + g - sigma * now[p]
+                    n[p] = n.get(p, 0.0) + g * g
+        for p in z:
+            weights[p] = weights.get(p, 0.0) + w(p) * len(own)
+        total += len(own)
+    margin = {i: sum(weights.get(p, 0.0) / total * v for p, v in features[i]) for i in texts}
+    if len({labelled[i] for i in apart}) < 2:
+        return {i: 1 / (1 + np.exp(-m)) for i, m in margin.items()}
+    bias, scale = quality.curve(np.array([[1.0, margin[i]] for i in apart]), np.array([float(labelled[i]) for i in apart]))
+    return {i: 1 / (1 + np.exp(-(bias + scale * m))) for i, m in margin.items()}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_ftrl_scores_by_hand(spark, folder):
+    """Every score, without the calibration (one class left for it) and with it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = dict(map(tuple, quality.score(docs, quality.fit(docs, labels, F.lit(True))).collect()))
+    labelled = {r.doc_id: r.quality for r in labels.collect()}
+    hashed = dict(map(tuple, docs.select("doc_id", F.xxhash64(F.lit("quality"), F.col("doc_id"))).collect()))
+    want = brute_quality({r.doc_id: r.text for r in docs.collect()}, {i: y for i, y in labelled.items() if i in hashed}, hashed)
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-4

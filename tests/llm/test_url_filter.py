@@ -58,3 +58,27 @@ def test_registered_domains(spark):
     df = spark.createDataFrame([(h,) for h in want], "h string")
     rows = df.select("h", uf.domain_of(df.h).alias("d"), uf.suffix_of(df.h).alias("s")).collect()
     assert {r.h: (r.d, r.s) for r in rows} == want
+
+
+def test_own_columns_keep_their_values(spark):
+    names = ["_rule", "_host", "_row", "reputed", "n", "bound"]
+    df = spark.createDataFrame([(1, "http://a.net/es/", None, *names), (2, None, 1, *names[::-1])], "page_id long, url string, bad int, " + ", ".join(f"`{n}` string" for n in names))
+    rows = {r.page_id: r for r in uf.filter_urls(df, uf.RULES).collect()}
+    assert [rows[1][n] for n in names] == names and [rows[2][n] for n in names] == names[::-1]
+    assert rows[1].verdict == "block" and rows[1].rule == "net/es/" and rows[2].host == ""
+
+
+def test_sql_on_hosts_of_all_kinds(spark, tmp_path, monkeypatch):
+    """Listed suffixes, ports and IP addresses: the SQL judges like the operator."""
+    import duckdb
+    from oracle import compare
+
+    hosts = ["a.shop.co.uk", "b.shop.co.uk:8080", "other.co.uk", "me.github.io", "you.github.io:80", "10.1.2.3", "10.1.2.3:80", "10.9.9.9", "x.plain.org", "plain.org", "com", "local"]
+    pages = [(i, f"http://{h}/p/{i}", "") for i, h in enumerate(h for h in hosts for _ in range(40))]
+    labels = [(i, 0 if (i // 40) % 3 == 0 else 1, int((i // 40) % 3 == 1 and i % 4 == 0)) for i in range(len(pages)) if i % 7]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert compare(spark, con, uf.op10_url_filter, uf.ORACLE, str(tmp_path)) is None
