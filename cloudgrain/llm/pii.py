@@ -2,7 +2,8 @@
 
 Base rules find emails, IPv4 addresses, payment cards and phone numbers. These are
 the seeds: the words around them become lexical patterns (the two words before; the word before and the
-word after). Identifier-like tokens that no base rule finds are candidates. Patterns and
+word after; the name that a value is assigned to). Quoted runs of hexadecimal digits are seeds of a further kind, ``secret``, by their shape alone; unlike base
+spans they are reported only where a pattern bears them out. Identifier-like tokens that no rule finds are candidates. Patterns and
 instances form a graph of two sides, which Spark scores in turn: a pattern is as good for a
 kind as the instances it holds, an instance as good as the best pattern that holds it, seeds stay
 certain. Patterns with a high score and several different seeds name the candidates
@@ -26,11 +27,12 @@ from pyspark.sql import types as T
 from ..storage import settle
 from .text import blocks, documents, read, record
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 ROUNDS = 3
 MIN_SCORE = 0.9  # of a pattern that names its instances
 MIN_SEEDS = 5  # different seeds of a pattern
-REACH = 160  # characters on either side in which the neighbouring words are looked for
+REACH = 160  # characters on either side in which the neighbouring words are looked for; of a longer word the part within it counts
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +42,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_SECRET = re.compile(r"[0-9a-fA-F]{32,}")
+_ASSIGNED = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]{0,63})\s{0,8}[=:]\s{0,8}[\"'`]?\Z")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&"
 
 
@@ -109,11 +113,17 @@ def _plain(word: str) -> str:
 
 
 def patterns_of(text: str, start: int, end: int) -> list[int]:
-    """Lexical patterns of a place: the two words before it, and the words before and after it."""
+    """Lexical patterns of a place: the two words before it, the words before and after it, and the name it is assigned to."""
     before = [_plain(w) for w in text[max(0, start - REACH):start].split()[-2:]]
     after = [_plain(w) for w in text[end:end + REACH].split()[:1]]
     before = ["^"] * (2 - len(before)) + before
-    return [_hash("before", *before), _hash("around", before[-1], *(after or ["$"]))]
+    assigned = _ASSIGNED.search(text, max(0, start - REACH), start)
+    return [_hash("before", *before), _hash("around", before[-1], *(after or ["$"])), *([_hash("assigned", assigned[1].lower())] if assigned else [])]
+
+
+def is_secret(text: str, start: int, end: int) -> bool:
+    """Whether a span is a quoted run of at least 32 hexadecimal digits."""
+    return 0 < start and text[start - 1] in "\"'`" and text[end:end + 1] == text[start - 1] and _SECRET.fullmatch(text, start, end) is not None
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -133,7 +143,7 @@ def _places(docs: DataFrame) -> DataFrame:
                 text = raw.decode()
                 base = base_spans(text)
                 spans.append([{"kind": k, "start": s, "end": e} for s, k, e in base])
-                everything = [*((s, k, e) for s, k, e in base), *((s, None, e) for s, e in candidate_spans(text, base))]
+                everything = [*((s, k, e) for s, k, e in base), *((s, "secret" if is_secret(text, s, e) else None, e) for s, e in candidate_spans(text, base))]
                 places.append([
                     {"pattern": p, "instance": _hash(text[s:e].lower()), "kind": k, "start": s, "end": e}
                     for s, k, e in everything for p in patterns_of(text, s, e)
@@ -187,7 +197,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_score: float =
     edges = settle(places.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
     patterns = score_graph(edges, rounds, min_score, min_seeds)
     good = patterns.where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.col("kind").alias("_kind"), "score")
-    hits = places.where("kind IS NULL").select("_key", "pattern", "start", "end").join(good, "pattern")
+    hits = places.where("kind IS NULL OR kind = 'secret'").select("_key", "pattern", F.col("kind").alias("_shape"), "start", "end").join(good, "pattern").where("_shape IS NULL OR _shape = _kind")
     best = hits.groupBy("_key", "start", "end").agg(F.max(F.struct("score", "_kind")).alias("b"))
     added = best.groupBy("_key").agg(F.collect_list(F.struct(F.col("b._kind").alias("kind"), "start", "end")).alias("added"))
     order = F.array(*[F.lit(k) for k in KINDS])
@@ -239,5 +249,5 @@ def _joined(spans: str):
 def op8_personal_data(spark, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
     found = find_personal_data(read(spark, sf_dir, "documents"))
-    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS long) AS n_{k}") for k in KINDS]
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS long) AS n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -115,3 +115,28 @@ def test_redaction_keeps_columns_of_any_name(spark):
     got = sorted(map(tuple, pii.redact(df).collect()), key=str)
     assert pii.redact(df).columns == df.columns
     assert got == sorted([(1, "mail [EMAIL] now", *names), (2, "clean", *names[::-1]), (None, None, *names)], key=str)
+
+
+def test_assigned_secrets_and_values_of_other_shapes(spark):
+    """Quoted digests after one name bear out that name; what else it is given is found too, digests elsewhere are left alone."""
+    digest = lambda i: f"{i * 2654435761 % 2**32:08x}" * 5
+    rows = [(i, f'{_word(i)} token = "{digest(i)}" {_word(2000 + i)}') for i in range(40)]
+    rows += [(100, 'then TOKEN = "Zx91-plain-77" follows'), (101, f'a digest "{digest(7)}" by itself'), (102, f'sum: {digest(8)} unquoted'), (103, "token = none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text, found = dict(rows), rows_of(pii.find_personal_data(df))
+    named = {i: [(s.kind, text[i][s.start:s.end]) for s in spans] for i, (_, spans) in found.items()}
+    assert all(named[i] == [("secret", digest(i))] for i in range(40))
+    assert named[100] == [("secret", "Zx91-plain-77")] and named[102] == named[103] == []
+    assert all(not base for base, _ in found.values())
+    assert "[SECRET]" in {r.doc_id: r.text for r in pii.redact(df).collect()}[3]
+    # Fewer than MIN_SEEDS different ones bear out nothing.
+    assert not any(s for _, s in rows_of(pii.find_personal_data(df.where("doc_id < 4"))).values())
+
+
+def test_spans_added_on_the_supplied_table(spark):
+    """Every planted assignment of sf0.1 is found, and nothing in texts without one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    added = {i: [texts[i][s.start:s.end] for s in spans if s.kind == "secret"] for i, (_, spans) in rows_of(pii.find_personal_data(docs)).items()}
+    want = {i: re.findall(r'(?i)token = "([0-9a-f]{40})"', t) for i, t in texts.items()}
+    assert sum(map(len, want.values())) > 100 and added == want
