@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FEATURES, SEED, class_name_of
+from ..schemas import COLSAMPLE, FEATURES, LEARNING_RATE, MAX_DEPTH, N_ESTIMATORS, SEED, SUBSAMPLE, class_name_of
 from ..storage import discard, settle
 
 BINS = 64
@@ -225,8 +225,8 @@ def _cuts(histograms: DataFrame, bins: int, reg_lambda: float, least: float) ->
 
 
 def fit_boosted(
-    df: DataFrame, codes: list[int], features: list[str] = FEATURES, label: str = "classification", n_estimators: int = 300, max_depth: int = 8,
-    learning_rate: float = 0.1, subsample: float = 0.8, colsample_bytree: float = 0.8, min_child_weight: float = 1.0, gamma: float = 0.0,
+    df: DataFrame, codes: list[int], features: list[str] = FEATURES, label: str = "classification", n_estimators: int = N_ESTIMATORS, max_depth: int = MAX_DEPTH,
+    learning_rate: float = LEARNING_RATE, subsample: float = SUBSAMPLE, colsample_bytree: float = COLSAMPLE, min_child_weight: float = 1.0, gamma: float = 0.0,
     reg_lambda: float = 1.0, bins: int = BINS, seed: int = SEED, weight: str | None = None, key: str | None = "point_id",
 ) -> Booster:
     """Boosted trees for the classes ``codes``. Rows of other classes or without a positive weight are left out.

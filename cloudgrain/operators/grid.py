@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cell_index
 from ..schemas import CELL_SIZE, COORD_SCALE
 from ..storage import broadcast_checked, settle
+from .ranking import join_on
 
 CELL_KEYS = ["tile_name", "cell_x", "cell_y"]
 
@@ -57,6 +58,34 @@ def cell_stats(df: DataFrame, z: str = "z", unit: float | None = None, keys: lis
     )
 
 
+def cell_state(df: DataFrame, z: str, keys: list[str] | None = None) -> DataFrame:
+    """What statistics of an integer height need per cell: count, sum, squares in two halves, extremes. States add up."""
+    keys = keys or CELL_KEYS
+    sq = F.col(z).cast("long") * F.col(z)
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count(z).alias("n_z"), F.sum(F.col(z).cast("long")).alias("sum_z"),
+        F.sum(F.shiftright(sq, 24)).alias("sq_high"), F.sum(sq.bitwiseAND(F.lit((1 << 24) - 1))).alias("sq_low"),
+        F.min(z).cast("long").alias("min_z"), F.max(z).cast("long").alias("max_z"))
+
+
+def merge_states(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One state per cell from any number of them, in any order."""
+    keys = keys or CELL_KEYS
+    return states.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_z", "sum_z", "sq_high", "sq_low")], F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
+
+
+def stats_of(states: DataFrame, unit: float, keys: list[str] | None = None) -> DataFrame:
+    """The same numbers as ``cell_stats`` over all rows behind the states."""
+    keys, n, total = keys or CELL_KEYS, F.col("n_z").cast("double"), F.col("sum_z").cast("double")
+    squares = F.col("sq_high").cast("double") * float(1 << 24) + F.col("sq_low").cast("double")
+    spread = F.greatest(n * squares - total * total, F.lit(0.0))
+    std = F.when(n > 1, F.sqrt(F.try_divide(spread, n * (n - 1))) / unit)
+    return states.select(
+        *keys, F.col("n").alias("n_points"), (F.try_divide(total, n) / unit).alias("z_cell_mean"), F.coalesce(std, F.lit(0.0)).alias("z_cell_std"),
+        (F.col("min_z") / float(unit)).alias("z_cell_min"), (F.col("max_z") / float(unit)).alias("z_cell_max"), ((F.col("max_z") - F.col("min_z")) / float(unit)).alias("z_cell_range"))
+
+
 def cell_features(
     df: DataFrame, size: float = CELL_SIZE, mode: str = "floor", z: str = "z", unit: float | None = None,
     keys: list[str] | None = None,
@@ -67,13 +96,13 @@ def cell_features(
     that holds a third of all points is one row per task. The statistics are
     written before the join: Spark then knows their size and joins by broadcast
     (no shuffle of points) while they fit, and beyond that both join inputs are
-    plain shuffles, the form in which AQE splits a hot cell's points.
+    plain shuffles, the form in which AQE splits a hot cell's points. Points without a tile have cells like others.
     """
     keys = keys or CELL_KEYS
     located = with_cell(df, size, mode)
     stats = cell_stats(located, z, unit, keys).select(*keys, "z_cell_mean", "z_cell_std", "z_cell_range")
     height = F.col(z) if unit is None else F.col(z) / float(unit)
-    return located.join(settle(stats), keys, "left").withColumn("z_above_cell_mean", height - F.col("z_cell_mean"))
+    return join_on(located, settle(stats), keys, "left").withColumn("z_above_cell_mean", height - F.col("z_cell_mean"))
 
 
 def prepare_features(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -99,7 +128,7 @@ def encode_coords(df: DataFrame, offsets: DataFrame | None = None, scale: float
     def enc(c):
         return F.rint((F.col(c) - F.col(f"off_{c}")) / F.lit(scale)).cast("int").alias(f"{c}i")
 
-    return df.join(offs, "tile_name", "left").select("*", enc("x"), enc("y"), enc("z"))
+    return join_on(df, offs, ["tile_name"], "left").select("*", enc("x"), enc("y"), enc("z"))
 
 
 def decode_coords(df: DataFrame, scale: float = COORD_SCALE) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize_intensity
-from ..schemas import FEATURES, NEIGHBOURS, SEED, class_name_of
+from ..schemas import COLSAMPLE, FEATURES, LEARNING_RATE, MAX_DEPTH, N_ESTIMATORS, NEIGHBOURS, SEED, SUBSAMPLE, class_name_of
 from ..storage import settle
 from .chunks import CHUNK, downsample_pyramid, pyramid_members
 from .metrics import class_weights
@@ -91,9 +91,9 @@ def with_class_weight(df: DataFrame, label: str = "classification", out: str = "
 
 
 def fit_trees(
-    df: DataFrame, features: list[str] = FEATURES, label: str = "classification", n_estimators: int = 300, max_depth: int = 8,
-    subsample: float = 0.8, colsample_bytree: float = 0.8, min_child_weight: int = 1, gamma: float = 0.0,
-    learning_rate: float = 0.1, seed: int = SEED, weight: str | None = None, boosted: bool = False, codes: list[int] | None = None,
+    df: DataFrame, features: list[str] = FEATURES, label: str = "classification", n_estimators: int = N_ESTIMATORS, max_depth: int = MAX_DEPTH,
+    subsample: float = SUBSAMPLE, colsample_bytree: float = COLSAMPLE, min_child_weight: int = 1, gamma: float = 0.0,
+    learning_rate: float = LEARNING_RATE, seed: int = SEED, weight: str | None = None, boosted: bool = False, codes: list[int] | None = None,
 ) -> PipelineModel:
     """Tree classifier for any number of classes; ``codes`` names them, else they are read from ``df`` first.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,29 @@ SETUP_UNITS = {"1-gpu": 2.0, "4-gpu": 8.0}
 UNIT_PRICE = 0.22
 
 
+_LOG_KEY = ["run_id", "key", "step"]
+
+
 def log_metrics(df: DataFrame, path: str) -> None:
-    """Append rows ``(run_id, run_name, key, step, value)`` to the run log."""
-    df.write.mode("append").parquet(path)
+    """Add rows ``(run_id, run_name, key, step, value)`` to the run log. Nothing is rewritten.
+
+    A row replaces an earlier one of the same run, key and step when the log is read, so an append that
+    is repeated after a failure changes nothing.
+    """
+    df.withColumn("_logged", F.lit(time.time_ns())).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the run log: of each run, key and step the one logged last (the greatest value of one append that repeats it)."""
+    log = spark.read.parquet(path)
+    rest = [c for c in log.columns if c not in {*_LOG_KEY, "_logged"}]
+    latest = F.max_by(F.struct(*rest), F.struct("_logged", "value"))
+    return log.groupBy(*_LOG_KEY).agg(latest.alias("_r")).select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in log.columns if c != "_logged"])
+
+
+def compact_log(spark: SparkSession, path: str, out: str) -> None:
+    """The log without replaced rows, as a log of its own."""
+    log_metrics(read_log(spark, path), out)
 
 
 def melt_metrics(df: DataFrame, id_cols: list[str], name: str, value: str, prefix: str = "acc_") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .. import functions as fx
 from ..operators import density, grid, labels, metrics, sampling
 from ..operators.learning import assemble, scoring_udf
 from ..operators.runs import union_all
-from ..schemas import FEATURES, KNOWN_CLASSES, class_dictionary
-from ..storage import broadcast_checked
+from ..schemas import FEATURES, KNOWN_CLASSES, class_dictionary, conform
+from ..storage import broadcast_checked, save_table, table_or, work_dir
 from .registry import query
 from .tables import points, predictions, scored
 
@@ -23,6 +25,22 @@ def points_scan(spark, sf):
     return points(spark, sf).select("point_id", "x", "y", "z", "intensity", "classification", "tile_name")
 
 
+@query("declared_points", "SELECT x, y, z, intensity, classification, tile_name FROM points")
+def declared_points(spark, sf):
+    """Points cast to the declared schema; a null in one of its fields fails the job."""
+    return conform(points(spark, sf))
+
+
+@query("optional_table", "SELECT 'stored' AS kind, count(*) AS n_points FROM points UNION ALL SELECT 'fallback', count(*) FROM points WHERE classification = 2")
+def optional_table(spark, sf):
+    """A stored table where there is one, else what the fallback computes."""
+    name = f"optional_{uuid.uuid4().hex}"
+    save_table(points(spark, sf).select("point_id"), name, path=f"{work_dir(spark)}/tables/{name}")
+    fallback = lambda: points(spark, sf).where("classification = 2").select("point_id")
+    kinds = [table_or(spark, n, fallback).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_points")) for kind, n in (("stored", name), ("fallback", f"{name}_absent"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query("tile_summary", """
 SELECT tile_name, count(*) AS n_points, count(*) AS n_return_1, min(x_mm)/1000.0E0 AS min_x, max(x_mm)/1000.0E0 AS max_x,
   min(y_mm)/1000.0E0 AS min_y, max(y_mm)/1000.0E0 AS max_y, min(z_mm)/1000.0E0 AS min_z, max(z_mm)/1000.0E0 AS max_z,

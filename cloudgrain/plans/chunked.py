@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import chunks as ch
 from ..operators import labels, learning, neighbors
 from ..schemas import PYRAMID_STAGES
-from ..sources.las import read_las, save_las
-from ..storage import load_chunks, save_chunks, work_dir
+from ..sources.las import read_las, save_las, spoil
+from ..storage import load_chunks, save_chunks, save_colocated, work_dir
 from .registry import query
 from .tables import D2, K, MIN_PTS, N_PTS, chunked_sql, chunks, edges_sql, points
 
@@ -148,6 +148,15 @@ def nearest_upsample(spark, sf):
     return neighbors.nearest_upsample(pyr, pyr.where(F.col("top_stage") >= 1), ["intensity"], ch.CHUNK)
 
 
+@query("colocated_upsample", _UP, "points chunked pyramid")
+def colocated_upsample(spark, sf):
+    """The same from a chunk store whose chunks lie side by side: neither side is shuffled again."""
+    name = f"pyramid_{uuid.uuid4().hex}"
+    pyr = ch.downsample_pyramid(chunks(spark, sf)).select(*ch.CHUNK, "point_id", *neighbors.MM, "intensity", "top_stage")
+    store = save_colocated(pyr, name, 8, ch.CHUNK, ["point_id"], f"{work_dir(spark)}/tables/{name}")
+    return neighbors.nearest_upsample(store, store.where(F.col("top_stage") >= 1), ["intensity"], ch.CHUNK)
+
+
 @query("gather_neighbours", """SELECT e.tile_name, e.chunk_idx, e.point_id, CAST(e.rank AS INT) AS rank, e.neighbour_id, p.intensity AS n_intensity, p.classification AS n_classification
   FROM edges e JOIN points p ON e.neighbour_id = p.point_id""", "points chunked edges")
 def gather_neighbours(spark, sf):
@@ -207,6 +216,22 @@ def multiscale_features(spark, sf):
     return f.withColumns({c: F.round(c, 6) for c in f.columns if c[0] == "s" and c[2] == "_"})
 
 
+@query("bad_files", """SELECT 'PERMISSIVE' AS mode, count(*) AS n_points, CAST(2 AS BIGINT) AS n_corrupt FROM points UNION ALL
+  SELECT 'DROPMALFORMED', count(*), 0 FROM points""")
+def bad_files(spark, sf):
+    """Scan files beside one that ends early and one that is none, in the two modes that go on."""
+    path = f"{work_dir(spark)}/las/{uuid.uuid4().hex}"
+    save_las(points(spark, sf).select("x", "y", "z", "intensity", "classification", "tile_name"), path)
+    spoil(path, "short.las", 100)
+    spoil(path, "other.las", 0)
+    parts = []
+    for mode in ("PERMISSIVE", "DROPMALFORMED"):
+        got = read_las(spark, path, mode)
+        corrupt = F.col("_corrupt").isNotNull() if mode == "PERMISSIVE" else F.lit(False)
+        parts.append(got.agg(F.lit(mode).alias("mode"), F.count(F.when(~corrupt, 1)).alias("n_points"), F.count(F.when(corrupt, 1)).alias("n_corrupt")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("las_roundtrip", "SELECT tile_name, x, y, z, intensity, classification FROM points")
 def las_roundtrip(spark, sf):
     """Write every tile as a scan file and read the folder back."""

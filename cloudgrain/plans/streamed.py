@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import veg_class
 from ..operators.grid import cell_features
-from ..sources.las import save_las
+from ..sources.las import register, save_las
 from ..storage import work_dir
 from ..streaming import tiles
 from .registry import query
@@ -49,5 +49,29 @@ def stream_accuracy(spark, sf):
     table.repartition(4).write.parquet(f"{at}/in")
     feed = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     stream = tiles.running_accuracy(feed, ["tile_name", "classification"])
-    tiles.keep_latest(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return tiles.read_latest(spark, f"{at}/out")
+    tiles.keep_changes(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return tiles.read_changes(spark, f"{at}/out", ["tile_name", "classification"])
+
+
+@query("stream_cells", "SELECT * FROM stats", "points celled stats")
+def stream_cells(spark, sf):
+    """Cell statistics kept up to date while the points arrive in parts."""
+    at = _folder(spark)
+    table = points(spark, sf).select("tile_name", "x", "y", "z_mm")
+    table.repartition(5).write.parquet(f"{at}/in")
+    feed = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    tiles.update_cells(feed, f"{at}/cells", f"{at}/checkpoint", "z_mm").awaitTermination()
+    return tiles.read_cells(spark, f"{at}/cells", 1000)
+
+
+@query("stream_format", "SELECT tile_name, x, y, z, intensity, classification FROM points")
+def stream_format(spark, sf):
+    """The scan files as a stream of their own format, in two runs from one checkpoint."""
+    at = _folder(spark)
+    half = F.xxhash64("tile_name") % 2 == 0
+    register(spark)
+    pts = points(spark, sf).select(*_POINT)
+    for part in (half, ~half):
+        save_las(pts.where(part), f"{at}/las", mode="append")
+        tiles.ingest(spark.readStream.format("las").load(f"{at}/las"), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/table").select("tile_name", *[F.round(c, 3).alias(c) for c in "xyz"], "intensity", "classification")

@@ -52,12 +52,12 @@ def epoch_metrics(spark, sf):
 @query("log_metrics", """SELECT run_id, run_name, 'loss' AS key, step, CAST(loss_c AS DOUBLE) AS value FROM run_metrics UNION ALL
   SELECT run_id, run_name, 'n_correct', step, CAST(n_correct AS DOUBLE) FROM run_metrics""", "run_metrics")
 def log_metrics(spark, sf):
-    """Two appends to one run log, read back."""
+    """Two metrics appended to one run log, each of them twice, as after a failure, and read back."""
     steps = run_metrics(spark, sf)
     path = f"{work_dir(spark)}/runlog/{uuid.uuid4().hex}"
-    for key, col in (("loss", "loss_c"), ("n_correct", "n_correct")):
+    for key, col in (("loss", "loss_c"), ("n_correct", "n_correct"), ("loss", "loss_c"), ("n_correct", "n_correct")):
         runs.log_metrics(steps.select("run_id", "run_name", F.lit(key).alias("key"), "step", F.col(col).cast("double").alias("value")), path)
-    return spark.read.parquet(path)
+    return runs.read_log(spark, path).select("run_id", "run_name", "key", "step", "value")
 
 
 @query("running_best", "SELECT trial, loss_c, min(loss_c) OVER (ORDER BY trial ROWS UNBOUNDED PRECEDING) AS best_so_far FROM trials", "trials")

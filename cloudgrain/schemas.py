@@ -30,6 +30,12 @@ NEIGHBOURS = 16
 PYRAMID_STAGES = 4
 PYRAMID_RATIO = 4
 SEED = 42
+# Defaults of the tree classifiers.
+N_ESTIMATORS = 300
+MAX_DEPTH = 8
+LEARNING_RATE = 0.1
+SUBSAMPLE = 0.8
+COLSAMPLE = 0.8
 # --------------------------------------------------------------------------
 
 KNOWN_CLASSES = [code for code, _, _ in CLASSES]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, WriterCommitMessage,
 )
 
 from ..operators.ranking import join_on, rank_within
@@ -159,7 +159,7 @@ def decode_files(
     return spread.mapInArrow(decode, _schema(mode, record_no))
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", "*.las").option("recursiveFileLookup", "true")
             .load(path).select("path", "length"))
 
@@ -231,22 +231,57 @@ class _Reader(DataSourceReader):
             yield f  # rows are still checked by Spark
 
     def partitions(self) -> list[_Range]:
-        fs, root = _filesystem(self.path)
-        out = []
-        for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
-            if not info.is_file or not info.size or not info.path.endswith(".las"):
-                continue
-            parent, name = info.path.split("/")[-2:]
-            tile = parent if parent.endswith(".las") else name
-            if self.tile in (None, tile):
-                most = max((info.size - HEADER_BYTES) // RECORD_BYTES, 1)
-                out += [_Range(info.path, info.size, tile, a, self.step) for a in range(0, most, self.step)]
-        return out
+        return [r for info, tile in _scan_files(self.path) if self.tile in (None, tile) for r in _ranges(info, tile, self.step)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         yield from decode_range(partition.path, partition.length, partition.tile, partition.first, partition.n, self.mode, self.record_no)
 
 
+def _scan_files(path: str) -> Iterator[tuple]:
+    """(file, tile) of every scan file that has bytes; files still being written lie in folders of another name."""
+    fs, root = _filesystem(path)
+    for info in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
+        if info.is_file and info.size and info.path.endswith(".las"):
+            parent, name = info.path.split("/")[-2:]
+            yield info, parent if parent.endswith(".las") else name
+
+
+def _ranges(info, tile: str, step: int) -> list[_Range]:
+    most = max((info.size - HEADER_BYTES) // RECORD_BYTES, 1)
+    return [_Range(info.path, info.size, tile, a, step) for a in range(0, most, step)]
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Scan files as a stream: an offset is the (modification time, path) up to which files were read.
+
+    A file counts as new when it sorts after the offset; a file that shows up with an earlier modification time than
+    one already read is passed over, so files should get their final names by a move or an upload, which set the time.
+    """
+
+    def __init__(self, options: dict):
+        self.batch = _Reader(options)
+
+    def initialOffset(self) -> dict:
+        return {"time": 0, "path": ""}
+
+    def _new(self, after: dict) -> list:
+        found = sorted(((int(info.mtime_ns or 0), info.path, info, tile) for info, tile in _scan_files(self.batch.path)), key=lambda f: f[:2])
+        return [f for f in found if f[:2] > (after["time"], after["path"])]
+
+    def latestOffset(self) -> dict:
+        every = self._new(self.initialOffset())
+        return {"time": every[-1][0], "path": every[-1][1]} if every else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        return [r for at, path, info, tile in self._new(start) if (at, path) <= (end["time"], end["path"]) for r in _ranges(info, tile, self.batch.step)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        yield from self.batch.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass  # the checkpoint holds the offset
+
+
 def _filesystem(path: str):
     url = urlparse(path)
     if url.scheme in ("", "file"):
@@ -327,6 +362,16 @@ class _Writer(DataSourceArrowWriter):
             fs.delete_dir(f"{root}/{self.job}")
 
 
+def spoil(path: str, name: str, n_bytes: int) -> None:
+    """Put a damaged file beside the scan files: the first bytes of one of them, or of none, and then something else. For checks."""
+    fs, root = _filesystem(path)
+    info = next(i for i, _ in _scan_files(path))
+    with fs.open_input_file(info.path) as f:
+        head = f.read(n_bytes)
+    with fs.open_output_stream(f"{root}/{name}") as out:
+        out.write(head + b"damaged")
+
+
 def encode_tile(table: pa.Table, scale: float = COORD_SCALE, offset: tuple[float, float] | None = None) -> bytes:
     """One scan file in the standard layout: ``offset`` of x and y (else their means in whole metres), height offset 0."""
     n = table.num_rows
@@ -360,7 +405,7 @@ def _within(name: str, values: np.ndarray, lo: int, hi: int) -> np.ndarray:
 
 
 class LasDataSource(DataSource):
-    """``spark.read.format("las")`` / ``df.write.format("las")``.
+    """``spark.read.format("las")`` / ``spark.readStream.format("las")`` / ``df.write.format("las")``.
 
     Options: ``path``, ``mode``, ``recordsPerPartition``, ``recordNo``; when
     writing ``scale``. Rows to write must be grouped by ``tile_name`` (and
@@ -377,5 +422,8 @@ class LasDataSource(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> _StreamReader:
+        return _StreamReader({k.lower(): v for k, v in self.options.items()})
+
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)

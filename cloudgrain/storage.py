@@ -91,5 +91,18 @@ def save_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tile_name").parquet(path)
 
 
+def save_colocated(df: DataFrame, name: str, buckets: int, keys: list[str], sort: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Overwrite a table dealt to ``buckets`` by ``keys``, and read it back.
+
+    Tables with equal keys and buckets lie side by side: grouping them by the keys and joining or co-grouping them on the keys needs no shuffle.
+    One task writes one bucket, so choose buckets for some 100 to 200 MB each.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, *(sort or []))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

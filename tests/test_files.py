@@ -186,3 +186,101 @@ def test_running_accuracy_in_update_mode_equals_batch(spark, tmp_path):
     last = spark.table("running_acc").groupBy("tile_name").agg(F.max_by(F.struct("n_points", "n_correct"), "n_points").alias("r")).select("tile_name", "r.*")
     want = tiles.running_accuracy(df, ["tile_name"]).drop("accuracy")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_format_survives_restart(spark, tmp_path):
+    """Files of the second run are read once, those of the first not again; a run without new files writes nothing."""
+    las.register(spark)
+    df, src = some_points(spark), str(tmp_path / "src")
+
+    def run():
+        feed = spark.readStream.format("las").load(src)
+        tiles.ingest(feed, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    las.save_las(df.where("tile_name = 'tile_0.las'"), src)
+    assert rows(run()) == rows(df.where("tile_name = 'tile_0.las'"))
+    las.save_las(df.where("tile_name <> 'tile_0.las'"), src, points_per_file=100, mode="append")
+    assert rows(run()) == rows(df)
+    assert rows(run()) == rows(df)
+
+
+def test_stream_offsets_of_the_format(tmp_path):
+    reader = las._StreamReader({"path": str(tmp_path)})
+    assert reader.latestOffset() == reader.initialOffset() and reader.partitions(reader.initialOffset(), reader.latestOffset()) == []
+    for k, name in enumerate(("b.las", "a.las", "c.las")):
+        (tmp_path / name).write_bytes(one_tile())
+        os.utime(tmp_path / name, ns=(10**18 + (k > 1), 10**18 + (k > 1)))
+    first = {"time": 10**18, "path": str(tmp_path / "a.las")}
+    names = lambda a, b: [os.path.basename(r.path) for r in reader.partitions(a, b)]
+    end = reader.latestOffset()
+    assert os.path.basename(end["path"]) == "c.las"
+    assert names(reader.initialOffset(), end) == ["a.las", "b.las", "c.las"] and names(first, end) == ["b.las", "c.las"] and names(end, end) == []
+
+
+def test_scoring_lists_touched_tiles_only(spark, tmp_path, monkeypatch):
+    df, src = some_points(spark, 300, 3), str(tmp_path / "src")
+    las.save_las(df, src, points_per_file=40)
+    asked, real = [], tiles.list_files
+    monkeypatch.setattr(tiles, "list_files", lambda s, paths: asked.append(sorted(os.path.basename(p) for p in paths)) or real(s, paths))
+    scorer = lambda p: p.withColumn("predicted_class", F.lit(2))
+    run = lambda: tiles.score_new_tiles(spark, src, scorer, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    las.save_las(some_points(spark, 30, 1).withColumn("tile_name", F.lit("tile_9.las")), src, mode="append")
+    run()
+    assert asked == [["tile_0.las", "tile_1.las", "tile_2.las"], ["tile_9.las"]]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 330
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cell_states_add_up_in_any_order(spark, tmp_path, seed):
+    from cloudgrain.operators import grid
+
+    df = some_points(spark, 2000).withColumn("z_mm", F.when(F.col("classification") > 2, (F.col("z") * 1000).cast("long")))
+    df.orderBy(F.rand(seed)).repartition(6).write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    tiles.update_cells(feed, str(tmp_path / "cells"), str(tmp_path / "cp"), "z_mm").awaitTermination()
+    tiles.update_cells(feed, str(tmp_path / "cells"), str(tmp_path / "replay"), "z_mm").awaitTermination()  # every batch once more
+    got = tiles.read_cells(spark, str(tmp_path / "cells"), 1000)
+    want = grid.cell_stats(grid.with_cell(df), "z_mm", 1000)
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_changes_are_written_per_touched_group(spark, tmp_path):
+    df = some_points(spark, 900).withColumn("correct", F.col("classification") % 2 == 0).select("tile_name", "correct")
+    for k, part in enumerate(("tile_0.las", "tile_1.las", "tile_0.las")):
+        df.where(F.col("tile_name") == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    tiles.keep_changes(tiles.running_accuracy(feed, ["tile_name"]), out, str(tmp_path / "cp")).awaitTermination()
+    written = spark.read.parquet(out).groupBy("batch").count().collect()
+    assert len(written) >= 3 and all(r["count"] <= 1 for r in written)  # one tile a batch
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    got, want = tiles.read_changes(spark, out, ["tile_name"]), tiles.running_accuracy(whole, ["tile_name"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_run_log_replaces_repeated_rows(spark, tmp_path):
+    from cloudgrain.operators import runs
+
+    path = str(tmp_path / "log")
+    schema = "run_id long, run_name string, key string, step int, value double"
+    some = spark.createDataFrame([(1, "a", "loss", 0, 0.5), (1, "a", "loss", 1, 0.4), (2, "a", "loss", 0, 0.9), (2, "b", "acc", None, 0.1)], schema)
+    runs.log_metrics(some, path)
+    once = sorted(map(tuple, runs.read_log(spark, path).collect()), key=str)
+    runs.log_metrics(some, path)
+    assert sorted(map(tuple, runs.read_log(spark, path).collect()), key=str) == once == sorted(map(tuple, some.collect()), key=str)
+    runs.log_metrics(spark.createDataFrame([(1, "a", "loss", 1, 0.3), (1, "a", "loss", 2, 0.2)], schema), path)
+    log = {(r.run_id, r.key, r.step): r.value for r in runs.read_log(spark, path).collect()}
+    assert log[1, "loss", 1] == 0.3 and log[1, "loss", 2] == 0.2 and len(log) == 5
+    runs.compact_log(spark, path, str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == 5
+
+
+def test_declared_schema_fails_on_a_null(spark):
+    from cloudgrain.schemas import conform
+
+    df = some_points(spark, 20)
+    assert conform(df.withColumn("extra", F.lit(1))).columns == POINT.fieldNames()
+    with pytest.raises(Exception, match="null in NOT NULL column z"):
+        conform(df.withColumn("z", F.when(F.col("x") > 0, F.col("z")))).collect()

@@ -11,8 +11,8 @@ from cloudgrain.schemas import KNOWN_CLASSES
 
 SF = "/root/testdata/sf0.001"
 PYTHON_QUERIES = {"knn_chunk", "knn_pyramid", "knn_grid", "nearest_upsample", "gather_neighbours", "relative_encoding", "softmax_pool",
-                  "multiscale_features", "las_roundtrip", "external_scoring", "stream_ingest", "stream_scoring"}
-MODEL_QUERIES = {"predictions_table", "model_reload", "weighted_rf_counts", "importance_total"}  # building them fits a forest
+                  "multiscale_features", "las_roundtrip", "external_scoring", "stream_ingest", "stream_scoring", "stream_format", "bad_files", "colocated_upsample"}
+MODEL_QUERIES = {"predictions_table", "model_reload", "weighted_rf_counts", "importance_total", "boosted_predictions", "adaptive_trials", "refit_best"}  # building them fits a forest
 
 
 def plan(df):
@@ -66,3 +66,70 @@ def test_hot_cell_is_split(spark):
 def test_small_join_sides_do_not_move_points(spark):
     for name in ("density_grid", "coords_encode", "stratified_split", "sample_n_per_group"):
         assert "SortMergeJoin" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_ranks_write_counts_only(spark, monkeypatch):
+    """Ranking reads the rows again instead of writing them: what is written has one row per (group, range)."""
+    from cloudgrain.operators import chunks, ranking, runs
+
+    written, real = [], ranking.settle
+    monkeypatch.setattr(ranking, "settle", lambda df: written.append((df.columns, df.count())) or real(df))
+    pts = points(spark, SF)
+    cut = chunks.assign_chunks(pts, 64, 8)
+    assert cut.count() > 5000 and "x_mm" in cut.columns
+    sharded = chunks.assign_shard(chunks.chunk_list(cut), 4)
+    chunks.assign_batches(sharded, 4).count()
+    runs.running_best(pts.withColumnRenamed("point_id", "trial"), loss="z_mm").count()
+    assert written and all(set(c) <= {"tile_name", "shard", "_p", "_n", "_base", "_in_group", "_m", "_prev"} for c, _ in written)
+    assert max(n for _, n in written) < 500
+    plan_text = plan(cut)
+    assert plan_text.count("Exchange hashpartitioning") == 1, plan_text
+
+
+def test_range_bounds_are_literals(spark):
+    """The same ranges on every attempt: equal rows get equal numbers whatever the partitioning, nulls first."""
+    from cloudgrain.operators.ranking import with_range
+
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("g"), F.concat(F.lit("k"), F.col("id")).alias("o"))
+    one, two = (with_range(df.repartition(n), ["g"], ["o"], 16) for n in (1, 9))
+    assert one.exceptAll(two).count() == 0
+    sizes = one.groupBy("_p").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 3 * 5000 / 16 and 12 <= sizes[1] <= 16
+    ordered = one.orderBy("g", "o").select("_p").collect()
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+
+
+def test_colocated_chunks_are_not_shuffled(spark):
+    from cloudgrain.operators import neighbors
+
+    store = QUERIES["colocated_upsample"](spark, "/root/testdata/sf0.01")
+    text = plan(store)
+    assert "FlatMapCoGroupsInArrow" in text and "Exchange" not in text
+    assert store.count() > 0 and neighbors.knn is not None
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_fit_rows_are_a_sample_of_the_train_part(spark, sf):
+    """Every class gives its share of the bounded rows, however large the table; none of them is a test row."""
+    from cloudgrain.operators import learning, sampling
+    from cloudgrain.plans import learned
+
+    split = sampling.stratified_split(encode_known_classes(points(spark, f"/root/testdata/{sf}"))).select("point_id", "classification", "split").cache()
+    train = split.where("split = 'train'")
+    n = train.count()
+    fitted = learning.bounded_rows(train, learned.MAX_FIT_ROWS, n)
+    share = min(1.0, learned.MAX_FIT_ROWS / n)
+    want = {r.classification: r["count"] * share for r in train.groupBy("classification").count().collect()}
+    got = {r.classification: r["count"] for r in fitted.groupBy("classification").count().collect()}
+    assert all(abs(got[c] - w) <= 4 * (w * (1 - share)) ** 0.5 + 1e-9 for c, w in want.items())
+    assert sum(got.values()) >= 0.9 * min(n, learned.MAX_FIT_ROWS)
+    split.unpersist()
+
+
+def test_samples_of_samples_keep_their_share(spark):
+    from cloudgrain.operators import sampling
+
+    df = spark.range(40_000).withColumnRenamed("id", "point_id")
+    few = sampling.hash_sample(df, 0.2)
+    split = sampling.random_split(few).groupBy("split").count().collect()
+    assert abs({r.split: r["count"] for r in split}["test"] / few.count() - 0.2) < 0.03

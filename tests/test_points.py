@@ -185,3 +185,11 @@ def test_report_counts_unknown_predictions_as_misses(spark):
     wide = metrics.confusion_matrix(df, shape="wide", other=-1)
     assert "pred_other" in wide.columns and wide.where("actual = 2").first().pred_other == 4
     assert sum(r.n for r in metrics.confusion_matrix(df).collect()) == 11
+
+
+def test_cells_of_points_without_a_tile(spark):
+    """A null tile is a tile like others: its points keep their statistics and offsets."""
+    df = spark.createDataFrame([(None, 0.5, 0.5, 1.0), (None, 0.6, 0.4, 3.0), ("t", 0.5, 0.5, 9.0)], "tile_name string, x double, y double, z double")
+    got = {(r.tile_name, r.z): (r.z_cell_mean, r.z_above_cell_mean) for r in grid.cell_features(df).collect()}
+    assert got == {(None, 1.0): (2.0, -1.0), (None, 3.0): (2.0, 1.0), ("t", 9.0): (9.0, 0.0)}
+    assert grid.encode_coords(df).where("xi IS NULL").count() == 0
