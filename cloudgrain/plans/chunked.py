@@ -110,25 +110,27 @@ _MEM = f"(SELECT *, CAST(unnest(range(0, least(top_stage, {PYRAMID_STAGES})+1))
 _STAGED = edges_sql("mem", f"{_KEY}, stage")
 
 
-@query("knn_pyramid", f"WITH mem AS {_MEM} SELECT {_KEY}, stage, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM ({_STAGED}) e", "points chunked pyramid")
+@query("knn_pyramid", f"SELECT {_KEY}, stage, point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM (WITH mem AS {_MEM} {_STAGED}) e", "points chunked pyramid")
 def knn_pyramid(spark, sf):
     members = ch.pyramid_members(ch.downsample_pyramid(chunks(spark, sf)))
     return neighbors.knn(members, K, ["tile_name", "chunk_idx", "stage"])
 
 
-# Exact neighbours without a size limit: any 256 points give an upper bound of the
-# 16th distance, and no neighbour lies further away than the largest such bound.
-_GRID = f"""SELECT point_id, CAST(rank AS INT) AS rank, neighbour_id, d2 FROM (
-WITH kp AS (SELECT point_id, x_mm, y_mm, z_mm FROM points),
+# Exact neighbours without a size limit: any 256 points give an upper bound of the 16th distance, and cells at least as wide
+# as a point's bound (a doubling width per level) hold its neighbours among their own and the eight around them.
+_GRID = f"""SELECT a.point_id, CAST(e.rank AS INT) AS rank, n.point_id AS neighbour_id, e.k // {1 << 20} AS d2 FROM (
+WITH kp AS (SELECT point_id, x_mm, y_mm, z_mm, row_number() OVER (ORDER BY point_id) AS no FROM points),
 g AS (SELECT *, least(o//256, greatest(n//256-1, 0)) AS grp FROM (
   SELECT *, row_number() OVER (ORDER BY floor(x_mm/4000.0E0), y_mm, point_id)-1 AS o, count(*) OVER () AS n FROM kp) q),
-ub AS (SELECT point_id, max(d2) AS ub FROM (SELECT a.point_id, {D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {D2}) AS r
-  FROM g a JOIN g b USING (grp)) w WHERE r <= {K} GROUP BY 1),
-lim AS (SELECT CAST(ceil(sqrt(max(ub))) AS BIGINT)+1 AS side FROM ub),
-cells AS (SELECT kp.*, ub, CAST(floor(x_mm/CAST(side AS DOUBLE)) AS BIGINT) AS cx, CAST(floor(y_mm/CAST(side AS DOUBLE)) AS BIGINT) AS cy FROM kp JOIN ub USING (point_id), lim),
-want AS (SELECT c.*, cx+dx AS gx, cy+dy AS gy FROM cells c, (VALUES (-1),(0),(1)) vx(dx), (VALUES (-1),(0),(1)) vy(dy))
-SELECT a.point_id, b.point_id AS neighbour_id, {D2} AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY {D2}, b.point_id) AS rank
-FROM want a JOIN cells b ON a.gx = b.cx AND a.gy = b.cy AND {D2} <= a.ub) z WHERE rank <= {K}"""
+ub AS (SELECT no, list_max(l) AS ub FROM (SELECT a.no, min({D2}, {K}) AS l FROM g a JOIN g b USING (grp) GROUP BY a.no) w),
+own AS (SELECT kp.*, ub, greatest(0, CAST(ceil(log2((sqrt(ub)+1)/250.0E0)) AS INT)) AS lvl FROM kp JOIN ub USING (no)),
+cells AS (SELECT kp.*, lvl, CAST(floor(x_mm/(250.0E0*power(2, lvl))) AS BIGINT) AS cx, CAST(floor(y_mm/(250.0E0*power(2, lvl))) AS BIGINT) AS cy FROM kp, (SELECT DISTINCT lvl FROM own) v),
+want AS (SELECT c.*, CAST(floor(x_mm/(250.0E0*power(2, lvl))) AS BIGINT)+dx AS gx, CAST(floor(y_mm/(250.0E0*power(2, lvl))) AS BIGINT)+dy AS gy
+  FROM own c, (VALUES (-1),(0),(1)) vx(dx), (VALUES (-1),(0),(1)) vy(dy))
+SELECT no, unnest(l) AS k, generate_subscripts(l, 1) AS rank FROM (
+  SELECT a.no, min({D2}*{1 << 20}+b.no, {K}) AS l FROM want a JOIN cells b ON a.lvl = b.lvl AND a.gx = b.cx AND a.gy = b.cy AND {D2} <= a.ub GROUP BY a.no) z) e
+JOIN (SELECT point_id, row_number() OVER (ORDER BY point_id) AS no FROM points) a ON a.no = e.no
+JOIN (SELECT point_id, row_number() OVER (ORDER BY point_id) AS no FROM points) n ON n.no = e.k % {1 << 20}"""
 
 
 @query("knn_grid", _GRID)
@@ -205,8 +207,8 @@ def _multi_sql(stages: int) -> str:
             at = f"u{s - 1}.source_id"
             joins.append(f"JOIN pooled f{s} ON f{s}.tile_name = f0.tile_name AND f{s}.chunk_idx = f0.chunk_idx AND f{s}.stage = {s} AND f{s}.point_id = {at}")
         cols += [f"round(f{s}.{c}, 6) AS s{s}_{n}" for c, n in (("rz", "rel_z"), ("ds", "distance"), ("it", "intensity"))]
-    return f"""WITH mem AS {_MEM}, staged AS ({_STAGED}), pooled AS ({pooled}), up AS ({up})
-    SELECT f0.tile_name, f0.chunk_idx, f0.point_id, {", ".join(cols)} FROM pooled f0 {" ".join(joins)} WHERE f0.stage = 0"""
+    return f"""SELECT * FROM (WITH mem AS {_MEM}, staged AS ({_STAGED}), pooled AS ({pooled}), up AS ({up})
+    SELECT f0.tile_name, f0.chunk_idx, f0.point_id, {", ".join(cols)} FROM pooled f0 {" ".join(joins)} WHERE f0.stage = 0) m"""
 
 
 @query("multiscale_features", _multi_sql(PYRAMID_STAGES + 1), "points chunked pyramid")
