@@ -8,25 +8,26 @@ cannot see. Documents that share one of ``SKETCHES`` sketches are candidates; a
 words decides: a link is an edit similarity of ``SIMILARITY`` or more.
 
 Equal word sequences form one node first. Within a bucket no pairs of all members are made: one
-member leads and meets all others, and what they link is joined to components. Only
-buckets whose remaining members still belong to different components go to another
-round, with more leaders (those whom the bucket's main component has not taken in) and for pairs of
-different components alone. So a group of thousands of
+member leads and meets all others, and what they link is joined to components. The first round takes a few bands only: they join
+most copies. A second one takes all bands, with more leaders (those whom the bucket's main component has not taken in) and for pairs of
+different components alone. What buckets then still hold of different components meets in one join. So a group of thousands of
 copies costs a few comparisons per member, and yet no pair of a bucket is left uncompared
-unless both are known to belong together. The first round takes a few bands only: they join most copies.
+unless both are known to belong together.
 
-A linked pair has at least two thirds of its labelled words in common (Jaccard). Every node carries ``BAG_BITS`` one-bit MinHash
-values of them, and a leader meets only those whose bits differ in at most ``BAG_DIFFER`` places: unlike documents around
+A linked pair has at least two thirds of its labelled words in common (Jaccard). Every node carries ``BAG_VALUES`` two-bit MinHash
+values of them, and only pairs meet of which at most ``BAG_DIFFER`` values differ: unlike documents around
 one passage are compared by 32 bytes inside the join and never aligned. Texts are read again for the pairs that are left.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,16 +46,16 @@ SIMILARITY = 0.8
 #: orders of them a Jaccard similarity j = k / (2 - k). ``SKETCHES`` of ``KEEP`` all differ with (1 - j**2)**64: 1e-7 at s = 0.8.
 #: Replaced words that never are neighbours leave k = 2 * s - 1: 2e-6. Short texts: j = s / (2 - s), 1e-14 or less.
 SKETCHES, KEEP = 64, 2
-#: A bit differs with (1 - J) / 2, at most 1/6 for a link: more than 77 of 256 do so with 4e-8. At J = 0.25 one pair in 150 is left, at 0.15 one in 20,000.
-BAG_BITS, BAG_DIFFER = 256, 77
+#: A value differs with 3/4 * (1 - J), at most 1/4 for a link: more than 59 of 128 do so with 1e-7. At J = 0.25 one pair in 100 is left, at 0.11 one in a million.
+BAG_VALUES, BAG_DIFFER = 128, 59
 EARLY = 8  # bands of the first round
 LEADERS, GROWTH = 1, 8
 MAX_LEADERS = 1000  # of a round: Spark's spark.sql.optimizer.windowGroupLimitThreshold, see ``_leaders``
 FILTER_BITS = 27  # of the filters that pick shared buckets and the texts to read again; a full one passes more, never less
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAG_SEEDS = np.random.default_rng(20240604).integers(0, 1 << 31, BAG_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BAG_SEEDS = np.random.default_rng(20240604).integers(0, 1 << 31, BAG_VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BAG = [f"bag{i}" for i in range(BAG_BITS // 64)]
+_BAG = [f"bag{i}" for i in range(BAG_VALUES // 32)]
 
 _SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()),
@@ -76,13 +77,13 @@ def labelled_by_occurrence(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def bag_bits(words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(texts, BAG_BITS / 64) one-bit MinHash values of the labelled words of runs of at least one word."""
+    """(texts, BAG_VALUES / 32) two-bit MinHash values, packed, of the labelled words of runs of at least one word."""
     small = (labelled_by_occurrence(words, np.repeat(np.arange(len(first)), lengths)) >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(first), BAG_BITS // 64), np.uint64)
-    for j in range(BAG_BITS):
+    out = np.zeros((len(first), BAG_VALUES // 32), np.uint64)
+    for j in range(BAG_VALUES):
         least = np.minimum.reduceat(small * _BAG_SEEDS[j], first)
-        bit = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-        out[:, j // 64] |= bit.astype(np.uint64) << np.uint64(j % 64)
+        value = (least * np.uint32(0x9E3779B1)) >> np.uint32(30)
+        out[:, j // 32] |= value.astype(np.uint64) << np.uint64(2 * (j % 32))
     return out.view(np.int64)
 
 
@@ -223,17 +224,28 @@ def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
     Up to ``MAX_LEADERS`` Spark applies the limit before the shuffle too, so a bucket sends a few rows per task.
     """
     order = W.partitionBy("bucket").orderBy(F.desc("component"), "node", "n")
-    lead = buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders)
-    own = [F.col(b).alias(f"_{b}") for b in _BAG if b in buckets.columns]
-    return lead.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *own)
+    return _as_leaders(buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders))
 
 
-def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float) -> DataFrame:
+def _as_leaders(rows: DataFrame) -> DataFrame:
+    own = [F.col(b).alias(f"_{b}") for b in _BAG if b in rows.columns]
+    return rows.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *own)
+
+
+def _differing(bag: str) -> Column:
+    """How many of the 32 two-bit values of two words of bits differ."""
+    x = F.col(bag).bitwiseXOR(F.col(f"_{bag}"))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_once: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
-    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in _BAG[1:]), F.bit_count(F.col(_BAG[0]).bitwiseXOR(F.col(f"_{_BAG[0]}"))))
+    differ = reduce(operator.add, map(_differing, _BAG))
     # The bound on the bags holds for a similarity of 0.8; a lower one allows more words to differ.
-    most = BAG_DIFFER if similarity >= SIMILARITY else BAG_BITS
+    most = BAG_DIFFER if similarity >= SIMILARITY else BAG_VALUES
     close = (F.col("component") != F.col("_own")) & (F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6) & (differ <= most)
+    if each_once:
+        close = (F.col("_lead") < F.col("node")) & close
     met = buckets.withColumnRenamed("bucket", "_bucket").join(lead, (F.col("_bucket") == F.col("bucket")) & close)
     return met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct()
 
@@ -253,12 +265,12 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
     # Nodes of one doc_id with several texts are one document from the start.
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi")
     links = settle(members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    words, read_now, component, early, n = None, [], None, True, leaders
+    words, read_now, component = None, [], None
     buckets = buckets.withColumn("component", F.col("node"))
-    while True:
-        some = buckets.where("early") if early else buckets
-        lead = _leaders(some, n)
-        pairs = settle(_candidates(some, lead, similarity))
+    for turn in ("early", "leaders", "rest"):
+        some = buckets.where("early") if turn == "early" else buckets
+        lead = _as_leaders(some) if turn == "rest" else _leaders(some, leaders if turn == "early" else min(leaders * GROWTH, MAX_LEADERS))
+        pairs = settle(_candidates(some, lead, similarity, turn == "rest"))
         met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         fresh = met if words is None else met.join(words.select("node"), "node", "left_anti")
         wanted = settle(named.join(fresh, "node"))
@@ -273,8 +285,10 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
         component = settle(components(added))
         discard(added)
         links = component.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        if turn == "rest":
+            break
         rest = buckets.drop("component")
-        if not early:
+        if turn == "leaders":
             rest = rest.join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")
         rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_buckets = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -283,8 +297,6 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
         buckets = left
         if buckets.isEmpty():
             break
-        # What a large bucket still has open is left to further rounds.
-        n, early = min(n * GROWTH, MAX_LEADERS), False
     for table in (*read_now, named, buckets):
         discard(table)
     classed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
