@@ -55,6 +55,7 @@ FILTER_BITS = 27  # of the filters that pick shared buckets and the texts to rea
 _SEEDS = np.random.default_rng(20240603).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAG_SEEDS = np.random.default_rng(20240604).integers(0, 1 << 31, BAG_VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PLACE_BITS = 24
 _BAG = [f"bag{i}" for i in range(BAG_VALUES // 32)]
 
 _SIGNED = pa.schema([
@@ -91,21 +92,28 @@ def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray)
     """(texts, SKETCHES) sketches of runs of shingles, all of at least one shingle."""
     owner = np.repeat(np.arange(len(first)), lengths)
     labelled = labelled_by_occurrence(shingles, owner)
+    # The low bits of a value say where in its text it stands, so a least value brings its place along.
+    low = np.uint64((1 << max(_PLACE_BITS, int(lengths.max()).bit_length())) - 1)
+    place = (np.arange(len(labelled)) - np.repeat(first, lengths)).astype(np.uint64)
+    padded = np.append(labelled, np.uint64(0))
+    value = np.empty(len(labelled), np.uint64)
     out = np.empty((len(first), SKETCHES), np.uint64)
     for j in range(SKETCHES):
-        value = (labelled ^ _SEEDS[0, j]) * _SEEDS[1, j]
-        place = np.full((len(first), KEEP), len(value), np.int64)
+        np.multiply(labelled ^ _SEEDS[0, j], _SEEDS[1, j], out=value)
+        np.bitwise_and(value, ~low, out=value)
+        np.bitwise_or(value, place, out=value)
+        least = np.empty((len(first), KEEP), np.int64)
         for r in range(KEEP):
-            least = np.minimum.reduceat(value, first)
-            at = np.flatnonzero(value == np.repeat(least, lengths))
-            at = at[value[at] != _LAST]
-            place[owner[at], r] = at
-            value[at] = _LAST
-        place.sort(axis=1)
+            found = np.minimum.reduceat(value, first)
+            at = first + (found & low).astype(np.int64)
+            some = found != _LAST
+            least[:, r] = np.where(some, at, len(labelled))
+            value[at[some]] = _LAST
+        least.sort(axis=1)
+        padded[-1] = np.uint64(j + 1)
         joined = np.zeros(len(first), np.uint64)
-        padded = np.append(labelled, np.uint64(j + 1))
         for r in range(KEEP):
-            joined = mix(joined * np.uint64(3) + padded[place[:, r]])
+            joined = mix(joined * np.uint64(3) + padded[least[:, r]])
         out[:, j] = joined
     return out
 
