@@ -176,7 +176,7 @@ def relative_encoding(spark, sf):
     return neighbors.relative_encoding(edges, None, ch.CHUNK, neighbors.MM, 1000.0)
 
 
-_POOL = """SELECT tile_name, chunk_idx, point_id, round(sum(w*z)/sum(w), 6) AS pooled_n_z, round(sum(w*i)/sum(w), 6) AS pooled_n_intensity FROM (
+_POOL = """SELECT tile_name, chunk_idx, point_id, round(sum(w*z)/sum(w), 4) AS pooled_n_z, round(sum(w*i)/sum(w), 4) AS pooled_n_intensity FROM (
   SELECT e.tile_name, e.chunk_idx, e.point_id, n.z, CAST(n.intensity AS DOUBLE) AS i,
     exp(-sqrt(CAST(d2 AS DOUBLE))/1000.0E0 + min(sqrt(CAST(d2 AS DOUBLE))/1000.0E0) OVER (PARTITION BY e.tile_name, e.chunk_idx, e.point_id)) AS w
   FROM edges e JOIN points n ON e.neighbour_id = n.point_id) t GROUP BY 1, 2, 3"""
@@ -186,7 +186,8 @@ _POOL = """SELECT tile_name, chunk_idx, point_id, round(sum(w*z)/sum(w), 6) AS p
 def softmax_pool(spark, sf):
     edges = neighbors.knn(chunks(spark, sf), K, carry=["z", "intensity"])
     pooled = neighbors.softmax_pool(edges, -F.sqrt(F.col("d2").cast("double")) / 1000.0, ["n_z", "n_intensity"], ch.CHUNK)
-    return pooled.withColumns({c: F.round(c, 6) for c in ("pooled_n_z", "pooled_n_intensity")})
+    # Intensities reach 65,535: a sixth decimal is within reach of what another order of adding changes.
+    return pooled.withColumns({c: F.round(c, 4) for c in ("pooled_n_z", "pooled_n_intensity")})
 
 
 def _multi_sql(stages: int) -> str:
