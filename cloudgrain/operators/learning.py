@@ -42,6 +42,7 @@ SEARCH_SPACE = {
 }
 _MAX_CLASSES = 256  # a class code is one byte
 _FILLED = "_filled_"
+_FEW_ROWS, _FEW_PARTS = 1_000_000, 64  # training rows that are spread by cores, and over how many at most
 
 
 def assemble(df: DataFrame, cols: list[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -78,8 +79,11 @@ def _fit(
     # Nulls become 0 inside the pipeline, so scoring does the same.
     fill = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(CAST(`{f}` AS double), 0D) AS `{_FILLED}{f}`" for f in features) + " FROM __THIS__")
     # Training passes over its rows many times and each pass lasts as long as its
-    # fullest task, so one even spread beforehand pays. AQE picks the number of partitions.
-    indexed = StringIndexerModel.from_labels(codes, label, "label").transform(df).select(*keep).hint("rebalance")
+    # fullest task, so one even spread beforehand pays: few rows over all cores, as their work counts and not
+    # their size; of many AQE picks the number of partitions by size.
+    indexed = StringIndexerModel.from_labels(codes, label, "label").transform(df).select(*keep)
+    cores = min(_FEW_PARTS, df.sparkSession.sparkContext.defaultParallelism)
+    indexed = indexed.repartition(cores) if indexed.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS else indexed.hint("rebalance")
     decode = IndexToString(inputCol="prediction", outputCol=decoded, labels=codes)
     return Pipeline(stages=[fill, VectorAssembler(inputCols=[_FILLED + f for f in features], outputCol="features"), *stages, decode]).fit(indexed)
 
