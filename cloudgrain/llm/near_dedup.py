@@ -35,7 +35,7 @@ from ..storage import discard, settle
 from .alignment import similarity_at_least
 from .components import components
 from .filters import id_filter, passes
-from .text import FOLDED, Words, blocks, documents, gram_hashes, inside_text, mix, read, record, run_hashes
+from .text import FOLDED, Words, blocks, documents, give_back, gram_hashes, inside_text, mix, read, record, run_hashes
 
 SHINGLE = 2
 #: Texts of up to ``WORDS_TO`` words are sketched by words, those from ``GRAMS_FROM`` on by shingles. Texts
@@ -160,6 +160,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 "sketches": pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), values),
                 **{b: bag[:, i].copy() for i, b in enumerate(_BAG)},
             }, _SIGNED)
+        give_back()
 
     return rows.mapInArrow(emit, "doc_id long, h1 long, h2 long, n int, sketches array<long>, " + ", ".join(f"{b} long" for b in _BAG))
 
@@ -221,6 +222,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = [similarity_at_least(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist())]
             yield record({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}, schema)
+        give_back()
 
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long")
