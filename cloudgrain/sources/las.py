@@ -303,7 +303,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = _filesystem(self.path)
         fs.create_dir(f"{root}/{self.job}", recursive=True)
-        done, held, key = [], [], None
+        done, held, key, offset = [], [], None, None
 
         def flush():
             if not held:
@@ -311,14 +311,19 @@ class _Writer(DataSourceArrowWriter):
             name = key[0] if key[1] < 0 else f"{key[0]}/part-{key[1]:05d}.las"
             draft = f"{root}/{self.job}/{uuid.uuid4().hex}"
             with fs.open_output_stream(draft) as out:
-                table = pa.Table.from_batches(held)
-                given = {"off_x", "off_y"} <= set(table.column_names)
-                out.write(encode_tile(table, self.scale, (table.column("off_x")[0].as_py(), table.column("off_y")[0].as_py()) if given else None))
+                if isinstance(held[0], pa.RecordBatch):
+                    out.write(encode_tile(pa.Table.from_batches(held), self.scale))
+                else:
+                    boxes = [box for _, box in held]
+                    out.write(_head(sum(map(len, (rec for rec, _ in held))), self.scale, offset, [(max if i % 2 == 0 else min)(b[i] for b in boxes) for i in range(6)]))
+                    for rec, _ in held:
+                        out.write(rec.tobytes())
             done.append((draft, name))
             held.clear()
 
         for batch in iterator:
             tiles = batch.column("tile_name")
+            given = {"off_x", "off_y"} <= set(batch.schema.names)
             parts = batch.column("part") if "part" in batch.schema.names else pa.array([-1] * batch.num_rows, pa.int32())
             codes = np.asarray(tiles.dictionary_encode().indices).astype("i8") * (1 << 32) + np.asarray(parts).astype("i8")
             edges = np.flatnonzero(np.diff(codes)) + 1
@@ -329,7 +334,10 @@ class _Writer(DataSourceArrowWriter):
                 if here != key:
                     flush()
                     key = here
-                held.append(batch.slice(int(a), int(b - a)))
+                    offset = (batch.column("off_x")[int(a)].as_py(), batch.column("off_y")[int(a)].as_py(), 0.0) if given else None
+                part = batch.slice(int(a), int(b - a))
+                # With a given offset, what is held of a file is its 20 bytes a record.
+                held.append(_records(pa.Table.from_batches([part]), self.scale, offset) if given else part)
         flush()
         return _Written(done)
 
@@ -374,18 +382,30 @@ def spoil(path: str, name: str, n_bytes: int) -> None:
 
 def encode_tile(table: pa.Table, scale: float = COORD_SCALE, offset: tuple[float, float] | None = None) -> bytes:
     """One scan file in the standard layout: ``offset`` of x and y (else their means in whole metres), height offset 0."""
+    xyz = {c: table.column(c).to_numpy() for c in "xy" if not table.column(c).null_count}
+    if offset is None and len(xyz) == 2:
+        offset = (float(np.floor(xyz["x"].mean())), float(np.floor(xyz["y"].mean())))
+    rec, box = _records(table, scale, (*(offset or (0.0, 0.0)), 0.0))
+    return _head(len(rec), scale, (*offset, 0.0), box) + rec.tobytes()
+
+
+def _records(table: pa.Table, scale: float, offset: tuple) -> tuple[np.ndarray, list[float]]:
+    """Records of points as they lie in a file, and the greatest and least x, y and z."""
     n = table.num_rows
     for c in ("x", "y", "z", "intensity", "classification"):
         if table.column(c).null_count:
             raise ValueError(f"{c} is null in {table.column(c).null_count} of {n} points; a scan file has no nulls")
     xyz = {c: table.column(c).to_numpy() for c in "xyz"}
-    offset = (*(offset or (float(np.floor(xyz["x"].mean())), float(np.floor(xyz["y"].mean())))), 0.0)
     rec = np.zeros(n, np.dtype(RECORD))
     for c, o in zip("xyz", offset):
         rec[c] = _within(c, np.rint((xyz[c] - o) / scale), -(2**31), 2**31 - 1)
     rec["intensity"] = _within("intensity", table.column("intensity").to_numpy(), 0, 65535)
     rec["cls"] = _within("classification", table.column("classification").to_numpy(), 0, 255)
     rec["bits"], rec["source"] = 0x11, 1  # return 1 of 1
+    return rec, [float(f(xyz[c])) for c in "xyz" for f in (np.max, np.min)]
+
+
+def _head(n: int, scale: float, offset: tuple, box: list[float]) -> bytes:
     head = bytearray(HEADER_BYTES)
     head[:4] = MAGIC
     head[24:26] = bytes((1, 2))  # version
@@ -393,9 +413,8 @@ def encode_tile(table: pa.Table, scale: float = COORD_SCALE, offset: tuple[float
     struct.pack_into("<HI", head, AT_HEADER_SIZE, HEADER_BYTES, HEADER_BYTES)
     struct.pack_into("<BHI5I", head, AT_FORMAT, 0, RECORD_BYTES, n, n, 0, 0, 0, 0)
     struct.pack_into("<3d", head, AT_SCALE, scale, scale, scale)
-    box = [f(xyz[c]) for c in "xyz" for f in (np.max, np.min)]
-    struct.pack_into("<9d", head, AT_OFFSET, *offset, *[float(v) for v in box])
-    return bytes(head) + rec.tobytes()
+    struct.pack_into("<9d", head, AT_OFFSET, *offset, *box)
+    return bytes(head)
 
 
 def _within(name: str, values: np.ndarray, lo: int, hi: int) -> np.ndarray:
