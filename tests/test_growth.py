@@ -4,11 +4,13 @@ import contextlib
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cloudgrain import functions as fx
-from cloudgrain.operators import chunks, neighbors, ranking
+from cloudgrain.operators import chunks, learning, neighbors, ranking
+from cloudgrain.sources import las
 
 
 def test_curve_codes_name_their_input_a_few_times(spark):
@@ -79,3 +81,32 @@ def test_a_block_meets_many_leaves_at_once():
     order = np.argsort(ids)
     r, j, d2 = neighbors._rank_block(m[:100], m[order], 8)
     assert (block.site[0] == r).all() and (block.near[0] == ids[order][j]).all() and (block.d2[0] == d2).all()
+
+
+def test_a_file_in_writing_is_held_as_its_records(monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    n = 5000
+    cols = {"x": rng.integers(0, 9000, n) / 1000, "y": rng.integers(0, 9000, n) / 1000, "z": rng.integers(-50, 50, n) / 1000,
+            "intensity": rng.integers(0, 60000, n).astype("i4"), "classification": rng.integers(0, 9, n).astype("i4")}
+    table = pa.table(cols | {"tile_name": ["a.las"] * 3000 + ["b.las"] * 2000, "off_x": [4.0] * n, "off_y": [5.0] * n})
+
+    def whole(*_):
+        raise AssertionError("a file's points were held as a table")
+
+    want = [las.encode_tile(table.slice(0, 3000), offset=(4.0, 5.0)), las.encode_tile(table.slice(3000), offset=(4.0, 5.0))]
+    monkeypatch.setattr(las, "encode_tile", whole)
+    written = las._Writer({"path": str(tmp_path)}, True).write(iter(table.to_batches(max_chunksize=700)))
+    assert [open(draft, "rb").read() for draft, _ in written.files] == want
+
+
+def test_trees_vote_like_spark(spark):
+    rows = spark.range(600).selectExpr("id", "cast(id * 7919 % 101 as double) AS u", "cast(id * 31 % 17 as double) AS v",
+                                       "cast(CASE WHEN id * 7919 % 101 > 50 THEN 2 WHEN id * 31 % 17 > 8 THEN 6 ELSE 9 END as int) AS classification")
+    model = learning.fit_trees(rows, ["u", "v"], n_estimators=7, max_depth=4)
+    scored = learning.score(model, rows)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        scored.explain()
+    assert "ArrowEvalPython" in text.getvalue()
+    want = {r.id: int(r.predicted_label) for r in model.transform(rows).collect()}
+    assert {r.id: r.predicted_class for r in scored.collect()} == want
