@@ -110,3 +110,71 @@ def test_trees_vote_like_spark(spark):
     assert "ArrowEvalPython" in text.getvalue()
     want = {r.id: int(r.predicted_label) for r in model.transform(rows).collect()}
     assert {r.id: r.predicted_class for r in scored.collect()} == want
+
+
+def _odd_chunks(spark):
+    """Two chunks and one without a name; repeated ids with values of their own, null ids and null intensities."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for tile, n in (("a", 700), ("b", 90), (None, 40)):
+        at = rng.integers(-4000, 4000, (n, 3)).tolist()
+        for pos, (x, y, z) in enumerate(at):
+            rows.append((tile, 0, pos, 10_000 * n + pos, x, y, z, None if pos % 5 == 0 else pos * 37 % 65_536, pos % 6))
+        rows += [(tile, 0, n + i, None if i < 3 else 10_000 * n + i, *at[i], 100 + i, 1) for i in range(9)]
+    return spark.createDataFrame(rows, "tile_name string, chunk_idx int, pos int, point_id long, x_mm long, y_mm long, z_mm long, intensity int, classification int")
+
+
+def test_features_at_all_scales_move_a_chunk_once(spark):
+    cut, stages, k = _odd_chunks(spark), 3, 16
+    got = learning.multiscale_features(cut, stages, k)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert text.getvalue().count("Exchange") == 1 and "Join" not in text.getvalue()
+    # The same out of the operators on tables.
+    by, key, pooled = [*chunks.CHUNK, "stage"], [*chunks.CHUNK, "point_id"], learning.POOLED
+    members = chunks.pyramid_members(chunks.downsample_pyramid(cut, stages - 1))
+    edges = neighbors.knn(members, k, by, carry=[*neighbors.MM, "intensity"])
+    near = neighbors.relative_encoding(edges, None, by, neighbors.MM, 1000.0, keep=["n_intensity"]).withColumn("intensity", fx.normalize_intensity("n_intensity"))
+    near = neighbors.softmax_pool(near, -F.col("distance"), pooled, by)
+
+    def of(s):
+        own = near.where(F.col("stage") == s).select(*key, *[F.col(f"pooled_{c}").alias(f"s{s}_{c}") for c in pooled])
+        return members.where(F.col("stage") == s).select(*key, *neighbors.MM), own
+
+    want = of(stages - 1)[0].join(of(stages - 1)[1], key)
+    for s in range(stages - 2, -1, -1):
+        points, own = of(s)
+        carried = [c for c in want.columns if c not in {*key, *neighbors.MM}]
+        up = neighbors.nearest_upsample(points, want, carried, chunks.CHUNK).drop("source_id", "d2")
+        want = points.join(own, key).join(up, key)
+    want = want.drop(*neighbors.MM)
+    assert got.columns == want.columns
+
+    def rows(df):
+        return sorted([tuple("null" if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()], key=str)
+
+    have, want = rows(got), rows(want)
+    assert len(have) == len(want) > 790
+    for a, b in zip(have, want):
+        assert a[:3] == b[:3] and all(x == y or abs(x - y) < 2e-6 for x, y in zip(a[3:], b[3:]))
+
+
+def test_neighbours_bring_their_values_without_a_join(spark):
+    cut, cols = _odd_chunks(spark), ["intensity", "classification"]
+    edges = neighbors.knn(cut, 8, gather=cols).drop("d2")
+    got = neighbors.gather_neighbours(edges, None, chunks.CHUNK, cols)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert "Join" not in text.getvalue()
+    want = neighbors.gather_neighbours(neighbors.knn(cut, 8).drop("d2"), cut, chunks.CHUNK, cols)
+    assert got.columns == want.columns and got.count() > 8 * cut.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_the_gather_query_joins_no_edges(spark):
+    from cloudgrain.plans import QUERIES
+
+    text = QUERIES["gather_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "neighbour_id" in text and not [line for line in text.splitlines() if "Join" in line and "neighbour_id" in line]
