@@ -99,8 +99,11 @@ def _node_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.groupBy("node", "parent").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "every")])
 
 
-def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
-    """Columns of (bucket, ...) as arrays of 2**bits; they arrive packed, part after part."""
+def _dense(table: DataFrame, columns: list[str]) -> list[list[tuple[int, bytes]]]:
+    """Columns of (bucket, ...) as parts (number, packed floats) of tables of 2**NODE_BITS; parts without rows are left out.
+
+    Tasks pack them, as most buckets of a small corpus are empty, and the driver passes them on as they are.
+    """
     width = 1 << _PART
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -109,19 +112,16 @@ def _dense(table: DataFrame, bits: int, columns: list[str]) -> list[np.ndarray]:
         for c in columns:
             values = np.zeros(width, np.float32)
             values[bucket & (width - 1)] = rows.column(c).to_numpy()
-            out[c] = [values.tobytes()]
+            out[c] = [zstandard.ZstdCompressor(1).compress(values.tobytes())]
         return pa.table(out)
 
     packed = table.withColumn("part", F.shiftright("bucket", _PART).cast("int")).groupBy("part").applyInArrow(pack, "part int, " + ", ".join(f"{c} binary" for c in columns))
-    arrays = [np.zeros((1 << (bits - _PART), width), np.float32) for _ in columns]
-    for r in packed.collect():  # 2**bits numbers per column, whatever the corpus
-        for a, c in zip(arrays, columns):
-            a[r["part"]] = np.frombuffer(r[c], np.float32)
-    return [a.ravel() for a in arrays]
+    rows = packed.collect()  # 2**NODE_BITS numbers per column at most, whatever the corpus
+    return [[(r["part"], bytes(r[c])) for r in rows] for c in columns]
 
 
-def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """Hashed count tables of both classes from rows labelled 1 (toxic) or 0, and of all documents.
+def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, list[tuple[int, bytes]]]:
+    """Hashed count tables, in packed parts, of both classes from rows labelled 1 (toxic) or 0, and of all documents.
 
     Both classes discount the same rate: ``DISCOUNT`` occurrences in the smaller class and
     in proportion more in the larger one. So a step that is rare in both backs off in
@@ -134,12 +134,12 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     discount = {c: DISCOUNT * max(1.0, float(n or 0) / least) for c, n in total.items()}
     left = {c: F.greatest(F.col(c) - discount[c], F.lit(0.0)) for c in classes}
     bucket = F.shiftrightunsigned("node", 64 - NODE_BITS).alias("bucket")
-    out: dict[str, np.ndarray] = {}
+    out: dict[str, list[tuple[int, bytes]]] = {}
     own = nodes.groupBy(bucket).agg(*[F.sum(left[c]).alias(c) for c in classes], F.sum("every").alias("shared"))
-    out["left_toxic"], out["left_ordinary"], out["shared"] = _dense(own, NODE_BITS, [*classes, "shared"])
+    out["left_toxic"], out["left_ordinary"], out["shared"] = _dense(own, [*classes, "shared"])
     below = nodes.groupBy(F.col("parent").cast("long").alias("bucket")).agg(*[F.sum(c).alias(c) for c in classes], *[F.sum(F.col(c) - left[c]).alias(f"{c}_taken") for c in classes], F.sum("every").alias("every"))
     names = [*classes, "toxic_taken", "ordinary_taken", "every"]
-    for name, values in zip(names, _dense(below, NODE_BITS, names)):
+    for name, values in zip(names, _dense(below, names)):
         out[f"below_{name}"] = values
     discard(nodes)
     return out
@@ -195,21 +195,25 @@ def _inputs(f: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Fitted tables, sent to the executors once (packed, as most buckets of a small corpus are empty), and the curve.
+    """Fitted tables, sent to the executors once in the packed parts that tasks made of them, and the curve.
 
     ``fitted`` tells whether labelled rows of both classes reached the curve. Without, scores mean nothing.
     """
 
-    def __init__(self, spark, counts: dict[str, np.ndarray]):
-        pack = zstandard.ZstdCompressor(1).compress
-        self.tables = spark.sparkContext.broadcast({name: (table.dtype.str, pack(table.tobytes())) for name, table in counts.items()})
+    def __init__(self, spark, counts: dict[str, list[tuple[int, bytes]]]):
+        self.tables = spark.sparkContext.broadcast(counts)
         self.beta = np.zeros(6)
         self.fitted = False
 
     def load(self) -> Models:
         """The tables, unpacked one by one for one task: a worker that is used again keeps nothing."""
         unpack = zstandard.ZstdDecompressor().decompress
-        return Models({name: np.frombuffer(unpack(packed), kind) for name, (kind, packed) in self.tables.value.items()})
+        out = {}
+        for name, parts in self.tables.value.items():
+            table = out[name] = np.zeros((1 << (NODE_BITS - _PART), 1 << _PART), np.float32)
+            for part, packed in parts:
+                table[part] = np.frombuffer(unpack(packed), np.float32)
+        return Models({name: table.ravel() for name, table in out.items()})
 
     def scores(self, models: Models, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_inputs(models.compare(texts)) @ self.beta, -30, 30)))

@@ -57,6 +57,16 @@ def test_what_the_counts_of_toxicity_hold(spark):
         assert c["below_every"][root] == 8000 and least < (c["below_toxic"][root] + c["below_ordinary"][root]) / 2 < top
 
 
+def test_the_driver_holds_count_tables_packed(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 5}") for i in range(100)], "doc_id long, text string")
+    counts = toxicity.fit_counts(docs, spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, label int"))
+    # Unpacked, each of the tables has 8 MB.
+    assert len(counts) == 8 and all(sum(len(packed) for _, packed in parts) < 1 << 17 for parts in counts.values())
+    tables = toxicity.Model(spark, counts).load().counts
+    root = toxicity._bucket(toxicity._ROOT)
+    assert all(t.shape == (1 << toxicity.NODE_BITS,) for t in tables.values()) and tables["below_every"][root] == 200 and tables["below_toxic"][root] == 100
+
+
 def test_probabilities_of_steps_sum_to_one():
     """The steps after a prefix share all of its probability, up to the shared backoff's smoothing."""
     texts = [b"idiot idiots idiotic idea ideas ideal"] * 9 + [b"plain words of other kinds idea"] * 9
