@@ -185,6 +185,7 @@ def _shared_buckets(nodes: DataFrame, filter_bits: int) -> DataFrame:
             keep = passes(some.value, flat, filter_bits)
             row = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(band[keep] < EARLY), *[batch.column(c).take(row) for c in ("node", "n", *_BAG)]], schema=schema)
+        give_back()
 
     passed = nodes.select("node", "n", *_BAG, "sketches").mapInArrow(emit, "bucket long, early boolean, node long, n int, " + ", ".join(f"{b} long" for b in _BAG))
     buckets = settle(passed.join(shared, "bucket", "left_semi"))
@@ -207,6 +208,7 @@ def _words_of(rows: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame
                     "doc_id": part.column("doc_id"), "h1": h1, "h2": h2,
                     "words": [bytes(small[4 * a:4 * b]) for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())],
                 }, _WORDS)
+        give_back()
 
     some = rows.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id long, h1 long, h2 long, words binary")
     # Rows that repeat a document are dropped where the join has brought them together.
