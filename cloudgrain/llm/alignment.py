@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 _FAR = -(1 << 40)
-_NARROW = 64  # edits up to which single steps are faster than whole diagonals
+_NARROW = 8  # edits up to which single steps are fastest
+_SHORT = 4096  # words up to which columns of bits are faster than whole diagonals
+_BINS = 2048  # of the first, coarse count of common words
 
 
 def similarity_at_least(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -27,14 +29,43 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     a, b = a[:len(a) - back], b[:len(b) - back]
     if max(len(a), len(b)) <= limit:
         return True
-    # Every word that the other bag lacks costs an edit.
+    # Every word that the other bag lacks costs an edit. Counted by bins first, without a sort: words of one bin
+    # seem equal, so the coarse count is never too low.
+    bins = np.minimum(np.bincount(a & (_BINS - 1), minlength=_BINS), np.bincount(b & (_BINS - 1), minlength=_BINS))
+    if max(len(a), len(b)) - bins.sum() > limit:
+        return False
     _, ids = np.unique(np.concatenate((a, b)), return_inverse=True)
     kinds = int(ids.max()) + 1
     common = np.minimum(np.bincount(ids[:len(a)], minlength=kinds), np.bincount(ids[len(a):], minlength=kinds)).sum()
     if max(len(a), len(b)) - common > limit:
         return False
-    near = _walk(a.tolist(), b.tolist(), min(limit, _NARROW))
-    return near or limit > _NARROW and _walk_wide(a, b, limit)
+    x, y = a.tolist(), b.tolist()
+    if _walk(x, y, min(limit, _NARROW)):
+        return True
+    if limit <= _NARROW:
+        return False
+    return _columns(x, y, limit) if max(len(a), len(b)) <= _SHORT else _walk_wide(a, b, limit)
+
+
+def _columns(a: list, b: list, limit: int) -> bool:
+    """Whether at most ``limit`` edits turn ``a`` into ``b``: a column of the edit table per word of ``b``, its steps up and down as bits (Myers, 1999)."""
+    if not a:
+        return len(b) <= limit
+    at: dict[int, int] = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) >> 1
+    up, down, edits = every, 0, len(a)
+    for left, word in enumerate(b, 1 - len(b)):
+        same = at.get(word, 0)
+        across = ((same & up) + up ^ up) | same
+        more, fewer = down | every & ~(across | up), up & across
+        edits += bool(more & last) - bool(fewer & last)
+        if edits + left > limit:  # a column changes the last row by one at most
+            return False
+        more, fewer = (more << 1 | 1) & every, fewer << 1 & every
+        up, down = fewer | every & ~(same | down | more), more & (same | down)
+    return edits <= limit
 
 
 def _walk(a: list, b: list, limit: int) -> bool:

@@ -21,6 +21,7 @@ one passage are compared by 32 bytes inside the join and never aligned. Texts ar
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from functools import reduce
@@ -48,6 +49,7 @@ SIMILARITY = 0.8
 SKETCHES, KEEP = 64, 2
 #: A value differs with 3/4 * (1 - J), at most 1/4 for a link: more than 59 of 128 do so with 1e-7. At J = 0.25 one pair in 100 is left, at 0.11 one in a million.
 BAG_VALUES, BAG_DIFFER = 128, 59
+BAG_MISS = 1e-7  # of the bound for texts of unlike lengths, see ``bag_bounds``
 EARLY = 8  # bands of the first round
 LEADERS, GROWTH = 1, 8
 MAX_LEADERS = 1000  # of a round: Spark's spark.sql.optimizer.windowGroupLimitThreshold, see ``_leaders``
@@ -88,6 +90,20 @@ def bag_bits(words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
+def bag_bounds(steps: int = 20) -> list[int]:
+    """How many of the bag's values may differ for a link, by hundredths of the share that the shorter text lacks of the longer one's length.
+
+    A link of lengths in the ratio r has ``SIMILARITY`` of the longer text's words in common, a Jaccard similarity of
+    ``SIMILARITY / (r + 1 - SIMILARITY)`` or more: the more the lengths differ, the less the bags may.
+    """
+    bounds = []
+    for step in range(steps + 1):
+        p = 0.75 * max(0.0, 1 - SIMILARITY / (1 - step / 100 + 1 - SIMILARITY))
+        more = np.cumsum([math.comb(BAG_VALUES, k) * p**k * (1 - p) ** (BAG_VALUES - k) for k in range(BAG_VALUES, 0, -1)])  # P(k or more differ)
+        bounds.append(min(BAG_DIFFER, BAG_VALUES - int((more <= BAG_MISS).sum())))
+    return bounds
+
+
 def order_sketches(shingles: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(texts, SKETCHES) sketches of runs of shingles, all of at least one shingle."""
     owner = np.repeat(np.arange(len(first)), lengths)
@@ -239,6 +255,12 @@ def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
     return _as_leaders(buckets.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= leaders))
 
 
+def _open(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold members of different components."""
+    some = buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return buckets.join(some, "bucket", "left_semi")
+
+
 def _as_leaders(rows: DataFrame) -> DataFrame:
     own = [F.col(b).alias(f"_{b}") for b in _BAG if b in rows.columns]
     return rows.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *own)
@@ -253,9 +275,12 @@ def _differing(bag: str) -> Column:
 def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_once: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
     differ = reduce(operator.add, map(_differing, _BAG))
-    # The bound on the bags holds for a similarity of 0.8; a lower one allows more words to differ.
-    most = BAG_DIFFER if similarity >= SIMILARITY else BAG_VALUES
-    close = (F.col("component") != F.col("_own")) & (F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6) & (differ <= most)
+    close = (F.col("component") != F.col("_own")) & (F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6)
+    # The bounds on the bags hold for a similarity of 0.8; a lower one allows more words to differ.
+    if similarity >= SIMILARITY:
+        bounds = bag_bounds()
+        lacking = F.floor((F.lit(1.0) - F.least("n", "_n") / F.greatest("n", "_n")) * 100 - 1e-6).cast("int")
+        close = close & (differ <= F.get(F.array(*map(F.lit, bounds)), F.least(F.greatest(lacking, F.lit(0)), F.lit(len(bounds) - 1))))
     if each_once:
         close = (F.col("_lead") < F.col("node")) & close
     met = buckets.withColumnRenamed("bucket", "_bucket").join(lead, (F.col("_bucket") == F.col("bucket")) & close)
@@ -299,12 +324,12 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
         links = component.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         if turn == "rest":
             break
-        rest = buckets.drop("component")
+        rest = buckets.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        left = settle(_open(rest))
         if turn == "leaders":
-            rest = rest.join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_buckets = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        left = settle(rest.join(open_buckets, "bucket", "left_semi"))
+            # Those that led have met all others. Only open buckets are looked through for them.
+            every, left = left, settle(_open(left.join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")))
+            discard(every)
         discard(buckets)
         buckets = left
         if buckets.isEmpty():

@@ -60,6 +60,33 @@ def test_alignment_against_table():
                 assert alignment._walk_wide(a, b, limit) == alignment._walk(a.tolist(), b.tolist(), limit) == (want <= limit)
 
 
+def test_columns_of_bits_agree_with_single_steps():
+    """Many edits: the columns decide as the walk does; bins that words share exclude no pair."""
+    rng = np.random.default_rng(21)
+    for n, kinds in ((0, 3), (1, 2), (40, 3), (90, 40), (200, 5000)):
+        for _ in range(12):
+            a = rng.integers(0, kinds, n, dtype=np.uint32) * np.uint32(alignment._BINS)
+            b = np.delete(a, rng.integers(0, n, n // 8)) if n else a
+            b = np.insert(b, rng.integers(0, len(b) + 1, n // 6), rng.integers(0, kinds, n // 6, dtype=np.uint32))
+            for limit in (0, n // 8, n // 5, n // 4, n // 3):
+                want = alignment._walk(a.tolist(), b.tolist(), limit)
+                assert alignment._columns(a.tolist(), b.tolist(), limit) == want == alignment.within(a, b, limit)
+
+
+def test_bag_bounds_follow_the_lengths():
+    """Texts of unlike lengths may differ less; a longer text that has all words of the shorter one keeps within its bound."""
+    bounds = nd.bag_bounds()
+    assert bounds[0] == nd.BAG_DIFFER and bounds == sorted(bounds, reverse=True) and bounds[-1] <= 45
+    rng = np.random.default_rng(22)
+    for step in (0, 5, 10, 15, 20):
+        for _ in range(40):
+            a = rng.integers(1, 1 << 63, 200, dtype=np.uint64)
+            b = a[:200 - 2 * step].copy()
+            b[160:] = rng.integers(1, 1 << 63, len(b) - 160, dtype=np.uint64)  # 160 of 200 words in common: a similarity of 0.8
+            x = nd.bag_bits(np.concatenate((a, b)), np.array([0, 200]), np.array([200, len(b)])).view(np.uint64)
+            assert sum(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555)).bit_count() for v in x[0] ^ x[1]) <= bounds[step]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 50), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
