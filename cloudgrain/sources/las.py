@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, WriterCommitMessage,
 )
 
-from ..operators.ranking import join_on, rank_within
+from ..operators.ranking import join_on, with_range
 from ..schemas import COORD_SCALE, POINT
 from ..storage import settle
 
@@ -37,6 +38,7 @@ from ..storage import settle
 MAGIC = b"LASF"
 HEADER_BYTES = 227
 RECORD_BYTES = 20
+RUN = 1000  # records that move together into a file: 20 kB
 AT_HEADER_SIZE, AT_FIRST_POINT, AT_FORMAT, AT_RECORD_SIZE, AT_COUNT = 94, 96, 104, 105, 107
 AT_SCALE, AT_OFFSET = 131, 155
 RECORD = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("bits", "u1"), ("cls", "u1"),
@@ -181,6 +183,33 @@ def read_las(
     return decode_files(files, mode, records_per_range, record_no, partitions)
 
 
+_RUNS = pa.schema([
+    ("tile_name", pa.string()), ("_p", pa.int32()), ("run", pa.int32()), ("n", pa.int64()),
+    ("off_x", pa.float64()), ("off_y", pa.float64()), ("records", pa.binary()), ("box", pa.list_(pa.float64())),
+])
+
+
+def _runs(laid: DataFrame, order: list[str], scale: float) -> DataFrame:
+    """The records of each (range ``_p``, tile) in order, in runs of at most ``RUN`` as they will lie in a file, with their bounding boxes."""
+    by = [c for c in order if c != "tile_name"]
+
+    def encode(table: pa.Table) -> pa.Table:
+        if by:
+            table = table.take(pa.array(np.lexsort([table.column(c).to_numpy() for c in reversed(by)])))
+        off_x, off_y = (table.column(c)[0].as_py() for c in ("off_x", "off_y"))
+        rows = []
+        for k, at in enumerate(range(0, table.num_rows, RUN)):
+            rec, box = _records(table.slice(at, RUN), scale, (off_x, off_y, 0.0))
+            rows.append((k, len(rec), rec.tobytes(), box))
+        run, n, records, boxes = zip(*rows)
+        same = pa.array(np.zeros(len(rows), "i4"))
+        columns = {"run": run, "n": n, "records": records, "box": boxes}
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else table.column(f.name).take(same) for f in _RUNS], schema=_RUNS)
+
+    kinds = "tile_name string, _p int, run int, n long, off_x double, off_y double, records binary, box array<double>"
+    return laid.groupBy("_p", "tile_name").applyInArrow(encode, kinds)
+
+
 def save_las(
     df: DataFrame, path: str, points_per_file: int = 5_000_000, scale: float = COORD_SCALE, mode: str = "overwrite",
     order: tuple[str, ...] = ("x", "y", "z", "intensity", "classification"),
@@ -194,9 +223,19 @@ def save_las(
     """
     df = df.select(*POINT.fieldNames())
     offsets = settle(df.groupBy("tile_name").agg(F.floor(F.avg("x")).cast("double").alias("off_x"), F.floor(F.avg("y")).cast("double").alias("off_y")))
-    ranked = rank_within(df, ["tile_name"], list(order), "_rn").select(*POINT.fieldNames(), "_rn")
-    parts = join_on(ranked, offsets, ["tile_name"]).withColumn("part", F.floor((F.col("_rn") - 1) / points_per_file).cast("int"))
-    df = parts.repartition("tile_name", "part").sortWithinPartitions("tile_name", "part", "_rn").drop("_rn")
+    # Points move once, to their range of the order, and become runs of records there; only runs are written, ranked and moved again.
+    runs = settle(_runs(join_on(with_range(df, ["tile_name"], list(order)), offsets, ["tile_name"]), list(order), scale))
+    before = W.partitionBy("tile_name").orderBy("_p", "run").rowsBetween(W.unboundedPreceding, -1)
+    placed = settle(runs.select("tile_name", "_p", "run", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    # A run over the end of a file is cut there.
+    part = F.explode(F.sequence(F.floor(F.col("first") / points_per_file), F.floor((F.col("first") + F.col("n") - 1) / points_per_file))).alias("part")
+    pieces = join_on(runs.drop("n"), placed, ["tile_name", "_p", "run"]).select("*", part)
+    skip = F.greatest(F.col("part") * points_per_file - F.col("first"), F.lit(0))
+    size = F.least((F.col("part") + 1) * points_per_file - F.col("first"), F.col("n")) - skip
+    pieces = pieces.select(
+        "tile_name", F.col("part").cast("int"), (F.col("first") + skip).alias("first"), "off_x", "off_y",
+        F.substring("records", (skip * RECORD_BYTES + 1).cast("int"), (size * RECORD_BYTES).cast("int")).alias("records"), F.when(size == F.col("n"), F.col("box")).alias("box"))
+    df = pieces.repartition("tile_name", "part").sortWithinPartitions("tile_name", "part", "first").drop("first")
     register(df.sparkSession)
     df.write.format("las").option("path", path).option("scale", str(scale)).mode(mode).save()
 
@@ -336,6 +375,9 @@ class _Writer(DataSourceArrowWriter):
                     key = here
                     offset = (batch.column("off_x")[int(a)].as_py(), batch.column("off_y")[int(a)].as_py(), 0.0) if given else None
                 part = batch.slice(int(a), int(b - a))
+                if "records" in batch.schema.names:
+                    held.extend(_held(*run, self.scale, offset) for run in zip(part.column("records").to_pylist(), part.column("box").to_pylist()))
+                    continue
                 # With a given offset, what is held of a file is its 20 bytes a record.
                 held.append(_records(pa.Table.from_batches([part]), self.scale, offset) if given else part)
         flush()
@@ -405,6 +447,12 @@ def _records(table: pa.Table, scale: float, offset: tuple) -> tuple[np.ndarray,
     return rec, [float(f(xyz[c])) for c in "xyz" for f in (np.max, np.min)]
 
 
+def _held(records: bytes, box: list[float] | None, scale: float, offset: tuple) -> tuple[np.ndarray, list[float]]:
+    """A run of records and its bounding box, for a cut one that of its stored coordinates."""
+    rec = np.frombuffer(records, np.dtype(RECORD))
+    return rec, box or [float(f(rec[c]) * scale + o) for c, o in zip("xyz", offset) for f in (np.max, np.min)]
+
+
 def _head(n: int, scale: float, offset: tuple, box: list[float]) -> bytes:
     head = bytearray(HEADER_BYTES)
     head[:4] = MAGIC
