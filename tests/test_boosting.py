@@ -148,3 +148,29 @@ def test_densities_add_up():
         assert np.trapezoid(values, xs) == pytest.approx(1, abs=1e-3)
     draw, density = lr._parzen(("choice", ["p", "q"]), ["p", "p"])
     assert math.exp(density("p")) == pytest.approx(0.75) and draw(random.Random(1)) in ("p", "q")
+
+
+def test_margins_are_the_sums_of_the_leaves():
+    """Leaves at any depth, blocks of rows, trees of a root alone: the same sums as walking each tree, and no test for leaves on the way."""
+    rng = np.random.default_rng(8)
+
+    def tree(depth, share):
+        made = bo.Tree.root(depth)
+        made.value[0] = rng.normal()
+        for node in range((1 << depth) - 1):
+            if (not node or made.feature[(node - 1) // 2] >= 0) and rng.random() < share:
+                made.feature[node], made.cut[node] = rng.integers(5), rng.integers(0, 255)
+                made.value[[2 * node + 1, 2 * node + 2]] = rng.normal(size=2)
+        return made
+
+    for depth, share in ((1, 0.0), (3, 0.6), (6, 0.9), (8, 1.0)):
+        model = bo.Booster(list("abcde"), [2, 3], [], np.zeros(2), [[tree(depth, share) for _ in range(2)] for _ in range(3)])
+        for n in (0, 1, bo.BLOCK + 3):
+            bins = rng.integers(0, 256, (n, 5)).astype(np.uint8)
+            want = np.zeros((n, 2))
+            for trees in model.rounds:
+                for k, one in enumerate(trees):
+                    want[:, k] += one.value[one.leaf_of(bins)]
+            assert np.array_equal(model.margins(bins), want)
+    filled = [t.filled() for trees in model.rounds for t in trees]
+    assert all(depth == 8 and len(value) == 511 for depth, _, _, value in filled)

@@ -149,6 +149,27 @@ def test_one_layout_at_every_size(spark, tmp_path):
     assert [(r.x, r.y) for r in first] == sorted((r.x, r.y) for r in first)
 
 
+def test_runs_are_cut_at_the_ends_of_files(spark, tmp_path, monkeypatch):
+    """Points are sorted and encoded where they lie in runs; files take them whole or in part, in order, and their headers say what they hold."""
+    monkeypatch.setattr(las, "RUN", 64)
+    moved, real = [], las._runs
+    monkeypatch.setattr(las, "_runs", lambda *a: moved.append(settle(real(*a))) or moved[-1])
+    df, path = some_points(spark, 1000, 2), str(tmp_path / "t")
+    las.save_las(df, path, points_per_file=150)
+    sizes = [r.n for r in moved[0].select("n").collect()]
+    assert sum(sizes) == 1000 and 1 < max(sizes) <= 64 and len(os.listdir(f"{path}/tile_0.las")) == 4
+    back = las.read_las(spark, path, record_no=True)
+    assert rows(back.drop("record_no")) == rows(df)
+    for tile in ("tile_0.las", "tile_1.las"):
+        order = [(round(r.x, 3), round(r.y, 3)) for part in sorted(os.listdir(f"{path}/{tile}")) for r in las.read_las(spark, f"{path}/{tile}/{part}", record_no=True).orderBy("record_no").collect()]
+        assert order == sorted(order) and len(order) == 500
+        for part in os.listdir(f"{path}/{tile}"):
+            with open(f"{path}/{tile}/{part}", "rb") as f:
+                box = struct.unpack_from("<6d", f.read(227), las.AT_OFFSET + 24)
+            held = las.read_las(spark, f"{path}/{tile}/{part}").agg(*[g(c) for c in "xyz" for g in (F.max, F.min)]).first()
+            assert box == pytest.approx(tuple(held), abs=1e-9)
+
+
 def test_stream_reads_each_file_once_and_survives_restart(spark, tmp_path):
     df, src = some_points(spark), str(tmp_path / "src")
     las.save_las(df.where("tile_name <> 'tile_2.las'"), src)
