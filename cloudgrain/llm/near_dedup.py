@@ -9,10 +9,12 @@ words decides: a link is an edit similarity of ``SIMILARITY`` or more.
 
 Equal word sequences form one node first. Within a bucket no pairs of all members are made: one
 member leads and meets all others, and what they link is joined to components. The first round takes a few bands only: they join
-most copies. A second one takes all bands, with more leaders (those whom the bucket's main component has not taken in) and for pairs of
-different components alone. What buckets then still hold of different components meets in one join. So a group of thousands of
-copies costs a few comparisons per member, and yet no pair of a bucket is left uncompared
-unless both are known to belong together.
+most copies. A second one takes more leaders (those whom the bucket's main component has not taken in) and, of buckets of up to ``MEET``
+members, all bands, for pairs of different components alone. So a group of thousands of copies costs a few comparisons per member.
+Of what buckets then still hold of different components, those of up to ``MEET`` members meet in one join. Members of larger ones,
+mostly unlike documents around one passage, meet where they share one of their rarest words (``_rare_candidates``): a text of n words can only have a
+link to texts that share one of the rarest ``n / 5 + 1`` of its labelled words, so this loses no link, and what all of them share brings none of them together.
+No pair of a bucket is left uncompared unless both are known to belong together or their words exclude a link.
 
 A linked pair has at least two thirds of its labelled words in common (Jaccard). Every node carries ``BAG_VALUES`` two-bit MinHash
 values of them, and only pairs meet of which at most ``BAG_DIFFER`` values differ: unlike documents around
@@ -36,7 +38,7 @@ from ..storage import discard, settle
 from .alignment import similarity_at_least
 from .components import components
 from .filters import id_filter, passes
-from .text import FOLDED, Words, blocks, documents, give_back, gram_hashes, inside_text, mix, read, record, run_hashes
+from .text import BATCH_ROWS, FOLDED, Words, blocks, documents, give_back, gram_hashes, inside_text, mix, read, record, run_hashes
 
 SHINGLE = 2
 #: Texts of up to ``WORDS_TO`` words are sketched by words, those from ``GRAMS_FROM`` on by shingles. Texts
@@ -51,6 +53,9 @@ SKETCHES, KEEP = 64, 2
 BAG_VALUES, BAG_DIFFER = 128, 59
 BAG_MISS = 1e-7  # of the bound for texts of unlike lengths, see ``bag_bounds``
 EARLY = 8  # bands of the first round
+MEET = 64  # members of a bucket up to which all of them may meet each other
+RARITY_BITS = 20  # of the places in which words are counted; places that words share make them seem more frequent, see ``_rare_candidates``
+BEFORE = 16  # rarer words that a rare word brings along, so that a pair with many in common comes out once or few times
 LEADERS, GROWTH = 1, 8
 MAX_LEADERS = 1000  # of a round: Spark's spark.sql.optimizer.windowGroupLimitThreshold, see ``_leaders``
 FILTER_BITS = 27  # of the filters that pick shared buckets and the texts to read again; a full one passes more, never less
@@ -205,12 +210,14 @@ def _shared_buckets(nodes: DataFrame, filter_bits: int) -> DataFrame:
 
     passed = nodes.select("node", "n", *_BAG, "sketches").mapInArrow(emit, "bucket long, early boolean, node long, n int, " + ", ".join(f"{b} long" for b in _BAG))
     buckets = settle(passed.join(shared, "bucket", "left_semi"))
+    some.destroy()
+    give_back()  # of the driver: every bit map passes through it
     discard(shared)
     return buckets
 
 
 def _words_of(rows: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame:
-    """(node, words) of wanted nodes (doc, h1, h2, node): texts are read again and passed where they lie, so only wanted ones are sent, once."""
+    """(node, words) of wanted nodes (doc, h1, h2, node), written: texts are read again and passed where they lie, so only wanted ones are sent, once."""
     shared = rows.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc").distinct(), filter_bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +236,10 @@ def _words_of(rows: DataFrame, wanted: DataFrame, filter_bits: int) -> DataFrame
     some = rows.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id long, h1 long, h2 long, words binary")
     # Rows that repeat a document are dropped where the join has brought them together.
     exact = some.join(wanted.withColumnRenamed("doc", "doc_id"), ["doc_id", "h1", "h2"])
-    return exact.dropDuplicates(["doc_id", "h1", "h2"]).select("node", "words")
+    found = settle(exact.dropDuplicates(["doc_id", "h1", "h2"]).select("node", "words"))
+    shared.destroy()
+    give_back()
+    return found
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -246,6 +256,89 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long")
 
 
+def _tokens(words: bytes) -> np.ndarray:
+    """The labelled words of a text, all different."""
+    values = np.frombuffer(words, np.uint32).astype(np.uint64)
+    return labelled_by_occurrence(values, np.zeros(len(values), np.int64))
+
+
+def _place(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _word_counts(words: DataFrame) -> np.ndarray:
+    """How many texts have a labelled word, by place: 2**RARITY_BITS counts, whatever the number of texts."""
+    schema = pa.schema([("place", pa.int32()), ("texts", pa.int64())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("words"):
+                np.add.at(counts, _place(_tokens(text.as_py())), 1)
+        some = np.flatnonzero(counts)
+        for lo in range(0, len(some), 1 << 16):
+            part = some[lo:lo + (1 << 16)]
+            yield record({"place": part, "texts": counts[part]}, schema)
+        give_back()
+
+    found = words.select("words").mapInArrow(emit, "place int, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).toArrow()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found.column("place").to_numpy()] = found.column("texts").to_numpy()
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+
+
+def rarest(tokens: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest tokens of a text, of which a link shares one at least, and their ranks in it; tokens of one text alone are left out.
+
+    A link of texts of up to L words has ``L - edits`` of them in common, with at most ``(1 - least) * L`` edits. Take all texts' tokens in one
+    order, whichever: were none of a text's first ``edits + 1`` common to such a pair's first ones, too few would be.
+    """
+    order = np.lexsort((tokens, counts[_place(tokens)]))[:int((1 - least) * len(tokens) + 1e-9) + 1]
+    rank = np.flatnonzero(counts[_place(tokens[order])] > 1)
+    return tokens[order[rank]], rank
+
+
+def _rare_candidates(crowd: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``crowd`` (node, n, component, bag...) that share a rare word and whose lengths, bags and rarer words allow a link; few come out more than once.
+
+    What stands before the first common word of a pair is in one text alone, so what follows must suffice. A pair is passed over at a word if one
+    of the ``BEFORE`` rarer ones just before it is common too: it came out there, or before. These are told apart by 32 bits, which loses a link with less than 10^-7.
+    """
+    mine = settle(crowd.join(words, "node"))
+    shared = crowd.sparkSession.sparkContext.broadcast(_word_counts(mine))
+    plain = ("node", "n", "component", *_BAG)
+    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("before", pa.list_(pa.int32())), *((c, pa.int32() if c == "n" else pa.int64()) for c in plain)])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("words")):
+                tokens, rank = rarest(_tokens(text.as_py()), shared.value, similarity)
+                short, tokens = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32), tokens.view(np.int64)
+                for lo in range(0, len(tokens), BATCH_ROWS):
+                    k = np.arange(lo, min(lo + BATCH_ROWS, len(tokens)))
+                    sizes = np.minimum(k, BEFORE)
+                    ends = np.cumsum(sizes)
+                    inner = np.arange(int(ends[-1])) + np.repeat(k - ends, sizes)
+                    yield record({
+                        "token": tokens[k], "at": rank[k].astype(np.int32),
+                        "before": pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), short[inner]),
+                        **{c: pa.repeat(batch.column(c)[i], len(k)) for c in plain},
+                    }, schema)
+        give_back()
+
+    rare = settle(mine.select(*plain, "words").mapInArrow(emit, "token long, at int, before array<int>, node long, n int, component long, " + ", ".join(f"{b} long" for b in _BAG)))
+    shared.destroy()
+    give_back()
+    discard(mine)
+    other = rare.select("token", F.col("at").alias("_at"), F.col("before").alias("_before"), F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *[F.col(b).alias(f"_{b}") for b in _BAG])
+    room = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= F.greatest("n", "_n") * similarity - 1e-6
+    close = (F.col("_lead") < F.col("node")) & room & _close(similarity) & ~F.arrays_overlap("before", "_before")
+    met = rare.withColumnRenamed("token", "_token").join(other, (F.col("_token") == F.col("token")) & close)
+    pairs = settle(met.select(F.col("_lead").alias("a"), F.col("node").alias("b")).distinct())
+    discard(rare)
+    return pairs
+
+
 def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
     """The first ``leaders`` members of each bucket: members of the latest components, those that its main group has not taken in.
 
@@ -256,9 +349,9 @@ def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
 
 
 def _open(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets that hold members of different components."""
-    some = buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return buckets.join(some, "bucket", "left_semi")
+    """The rows of buckets that hold members of different components, with their number as ``size``."""
+    some = buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
+    return buckets.drop("size").join(some, "bucket")
 
 
 def _as_leaders(rows: DataFrame) -> DataFrame:
@@ -272,8 +365,8 @@ def _differing(bag: str) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
-def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_once: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
+def _close(similarity: float) -> Column:
+    """Whether a member and a leader are of different components and their lengths and bags allow a link."""
     differ = reduce(operator.add, map(_differing, _BAG))
     close = (F.col("component") != F.col("_own")) & (F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-6)
     # The bounds on the bags hold for a similarity of 0.8; a lower one allows more words to differ.
@@ -281,6 +374,12 @@ def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_onc
         bounds = bag_bounds()
         lacking = F.floor((F.lit(1.0) - F.least("n", "_n") / F.greatest("n", "_n")) * 100 - 1e-6).cast("int")
         close = close & (differ <= F.get(F.array(*map(F.lit, bounds)), F.least(F.greatest(lacking, F.lit(0)), F.lit(len(bounds) - 1))))
+    return close
+
+
+def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_once: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
+    close = _close(similarity)
     if each_once:
         close = (F.col("_lead") < F.col("node")) & close
     met = buckets.withColumnRenamed("bucket", "_bucket").join(lead, (F.col("_bucket") == F.col("bucket")) & close)
@@ -303,18 +402,32 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi")
     links = settle(members.join(several, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct())
     words, read_now, component = None, [], None
-    buckets = buckets.withColumn("component", F.col("node"))
-    for turn in ("early", "leaders", "rest"):
-        some = buckets.where("early") if turn == "early" else buckets
-        lead = _as_leaders(some) if turn == "rest" else _leaders(some, leaders if turn == "early" else min(leaders * GROWTH, MAX_LEADERS))
-        pairs = settle(_candidates(some, lead, similarity, turn == "rest"))
-        met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        fresh = met if words is None else met.join(words.select("node"), "node", "left_anti")
+
+    def know(some: DataFrame) -> DataFrame:
+        """Words of all nodes asked for so far."""
+        nonlocal words
+        fresh = some if words is None else some.join(words.select("node"), "node", "left_anti")
         wanted = settle(named.join(fresh, "node"))
         if words is None or not wanted.isEmpty():
-            read_now.append(settle(_words_of(rows, wanted, filter_bits)))
+            read_now.append(_words_of(rows, wanted, filter_bits))
             words = read_now[0] if words is None else words.unionByName(read_now[-1])
         discard(wanted)
+        return words
+
+    buckets = buckets.withColumn("component", F.col("node"))
+    for turn in ("early", "leaders", "rest"):
+        some = buckets.where("early" if turn == "early" else f"size <= {MEET}" if turn == "rest" else f"early OR size <= {MEET}")
+        lead = _as_leaders(some) if turn == "rest" else _leaders(some, leaders if turn == "early" else min(leaders * GROWTH, MAX_LEADERS))
+        pairs = settle(_candidates(some, lead, similarity, turn == "rest"))
+        if turn == "rest":
+            crowd = settle(buckets.where(f"size > {MEET}").select("node", "n", "component", *_BAG).distinct())
+            if not crowd.isEmpty():
+                few, rare = pairs, _rare_candidates(crowd, know(crowd.select("node")), similarity)
+                pairs = settle(few.union(rare).distinct())
+                discard(few)
+                discard(rare)
+            discard(crowd)
+        know(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         added = settle(links.union(_verified(pairs, words, similarity)))
         discard(pairs)
         discard(links)
@@ -324,7 +437,7 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
         links = component.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         if turn == "rest":
             break
-        rest = buckets.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = buckets.drop("component", "size").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         left = settle(_open(rest))
         if turn == "leaders":
             # Those that led have met all others. Only open buckets are looked through for them.

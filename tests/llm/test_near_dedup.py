@@ -201,6 +201,71 @@ def test_unlike_documents_around_a_passage_are_not_aligned(spark, monkeypatch):
         assert sum(aligned) <= n
 
 
+def around(rng, n, passage, own):
+    """n texts of one passage between own words; of every twentieth a near copy, and of every thirtieth one whose link is as weak as links may be."""
+    rows = [(i, [f"q{x}" for x in rng.integers(0, 10**7, own)] + passage + [f"q{x}" for x in rng.integers(0, 10**7, own)]) for i in range(n)]
+    size = 2 * own + len(passage)
+    for i in range(0, n, 20):
+        rows.append((len(rows), [w if w != passage[3] else "other" for w in rows[i][1]]))
+    for i in range(0, n, 30):
+        edited = list(rows[i][1])
+        for at in rng.permutation([*range(own), *range(size - own, size)])[:size // 5]:
+            edited[at] = f"z{rng.integers(10**7)}"
+        rows.append((len(rows), edited))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_texts_that_are_mostly_one_passage_meet_by_their_rare_words(spark, monkeypatch):
+    """120 of 180 words in common: bags cannot tell such texts apart, their rarest words can. Every link is found, the aligned pairs grow with the texts."""
+    aligned, real = [], nd._verified
+
+    def verified(pairs, words, least):
+        aligned.append(pairs.count())
+        return real(pairs, words, least)
+
+    monkeypatch.setattr(nd, "_verified", verified)
+    monkeypatch.setattr(nd, "MEET", 8)
+    for n in (120, 360):
+        rows = around(np.random.default_rng(31), n, [f"p{i}" for i in range(120)], 30)
+        aligned.clear()
+        classes = got(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))[0]
+        assert classes == brute(rows) and sum(i != c for i, c in classes.items()) >= n // 20 + n // 30 - 1
+        assert aligned[-1] <= n and sum(aligned) <= 20 * n  # the last round had some n * n / 2 pairs; the others are bound by their leaders
+
+
+def test_links_share_a_rare_word():
+    """Whatever the counts, two texts with enough words in common share one of their rarest; words of one text alone are left out."""
+    rng = np.random.default_rng(32)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 40, n, dtype=np.uint32)
+        b = a.copy()
+        b[rng.permutation(n)[:int(0.2 * n + 1e-9)]] = rng.integers(0, 1000, int(0.2 * n + 1e-9), dtype=np.uint32)
+        x, y = nd._tokens(a.tobytes()), nd._tokens(b.tobytes())
+        counts = rng.integers(2, 5, 1 << nd.RARITY_BITS).astype(np.uint32)
+        (p, at), (q, _) = nd.rarest(x, counts, 0.8), nd.rarest(y, counts, 0.8)
+        assert np.intersect1d(p, q).size and len(p) == int(0.2 * n + 1e-9) + 1 and at.tolist() == list(range(len(p)))
+        assert nd.rarest(x, np.ones_like(counts), 0.8)[0].size == 0
+
+
+@pytest.mark.parametrize("before", [0, 2, 16])
+def test_rare_candidates_hold_every_link(spark, monkeypatch, before):
+    """Of texts with words in common the pairs hold each with enough of them, however many rarer words a row brings along; the more, the fewer rows repeat."""
+    monkeypatch.setattr(nd, "BEFORE", before)
+    monkeypatch.setattr(nd, "BAG_DIFFER", nd.BAG_VALUES)
+    rng = np.random.default_rng(33)
+    texts = [rng.integers(0, 50, int(n), dtype=np.uint32) for n in rng.integers(1, 40, 150)]
+    for t in texts[:50]:
+        u = t.copy()
+        u[rng.permutation(len(t))[:len(t) // 6]] = 99
+        texts.append(np.delete(u, 0) if len(u) > 12 else u)
+    w = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "node long, words binary")
+    crowd = spark.createDataFrame([(i, len(t), i, 0, 0, 0, 0) for i, t in enumerate(texts)], "node long, n int, component long, " + ", ".join(f"{b} long" for b in nd._BAG))
+    pairs = {(r.a, r.b) for r in nd._rare_candidates(crowd, w, 0.8).collect()}
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[i + 1:], i + 1) if sum((Counter(a.tolist()) & Counter(b.tolist())).values()) >= 0.8 * max(len(a), len(b)) - 1e-6}
+    assert len(want) > 30 and want <= pairs
+
+
 def test_bag_bits_estimate_common_words():
     """A link's bits differ within the bound, with room; those of strangers far beyond it."""
     rng = np.random.default_rng(15)
