@@ -11,8 +11,8 @@ Equal word sequences form one node first. Within a bucket no pairs of all member
 member leads and meets all others, and what they link is joined to components. The first round takes a few bands only: they join
 most copies. A second one takes more leaders (those whom the bucket's main component has not taken in) and, of buckets of up to ``MEET``
 members, all bands, for pairs of different components alone. So a group of thousands of copies costs a few comparisons per member.
-Of what buckets then still hold of different components, those of up to ``MEET`` members meet in one join. Members of larger ones,
-mostly unlike documents around one passage, meet where they share one of their rarest words (``_rare_candidates``): a text of n words can only have a
+What buckets then still hold of different components meets in one join, but for the crowd: members of larger buckets whose bag was
+alike a leader's, mostly unlike documents around one long passage. Two of the crowd meet where they share one of their rarest words (``_rare_candidates``): a text of n words can only have a
 link to texts that share one of the rarest ``n / 5 + 1`` of its labelled words, so this loses no link, and what all of them share brings none of them together.
 No pair of a bucket is left uncompared unless both are known to belong together or their words exclude a link.
 
@@ -53,7 +53,7 @@ SKETCHES, KEEP = 64, 2
 BAG_VALUES, BAG_DIFFER = 128, 59
 BAG_MISS = 1e-7  # of the bound for texts of unlike lengths, see ``bag_bounds``
 EARLY = 8  # bands of the first round
-MEET = 64  # members of a bucket up to which all of them may meet each other
+MEET = 64  # members of a bucket up to which the second round takes all bands; of larger ones the crowd is picked
 RARITY_BITS = 20  # of the places in which words are counted; places that words share make them seem more frequent, see ``_rare_candidates``
 BEFORE = 16  # rarer words that a rare word brings along, so that a pair with many in common comes out once or few times
 LEADERS, GROWTH = 1, 8
@@ -355,7 +355,7 @@ def _open(buckets: DataFrame) -> DataFrame:
 
 
 def _as_leaders(rows: DataFrame) -> DataFrame:
-    own = [F.col(b).alias(f"_{b}") for b in _BAG if b in rows.columns]
+    own = [F.col(b).alias(f"_{b}") for b in (*_BAG, "crowd") if b in rows.columns]
     return rows.select("bucket", F.col("node").alias("_lead"), F.col("n").alias("_n"), F.col("component").alias("_own"), *own)
 
 
@@ -378,10 +378,10 @@ def _close(similarity: float) -> Column:
 
 
 def _candidates(buckets: DataFrame, lead: DataFrame, similarity: float, each_once: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link."""
+    """Distinct pairs (a, b) of leaders and members of other components whose lengths and bags allow a link; ``each_once``: all members lead, two of the crowd do not meet."""
     close = _close(similarity)
     if each_once:
-        close = (F.col("_lead") < F.col("node")) & close
+        close = (F.col("_lead") < F.col("node")) & ~(F.col("crowd") & F.col("_crowd")) & close
     met = buckets.withColumnRenamed("bucket", "_bucket").join(lead, (F.col("_bucket") == F.col("bucket")) & close)
     return met.select(F.least("_lead", "node").alias("a"), F.greatest("_lead", "node").alias("b")).distinct()
 
@@ -416,18 +416,19 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
 
     buckets = buckets.withColumn("component", F.col("node"))
     for turn in ("early", "leaders", "rest"):
-        some = buckets.where("early" if turn == "early" else f"size <= {MEET}" if turn == "rest" else f"early OR size <= {MEET}")
+        some = buckets.where({"early": "early", "leaders": f"early OR size <= {MEET}", "rest": "true"}[turn])
         lead = _as_leaders(some) if turn == "rest" else _leaders(some, leaders if turn == "early" else min(leaders * GROWTH, MAX_LEADERS))
         pairs = settle(_candidates(some, lead, similarity, turn == "rest"))
         if turn == "rest":
-            crowd = settle(buckets.where(f"size > {MEET}").select("node", "n", "component", *_BAG).distinct())
+            crowd = settle(buckets.where("crowd").select("node", "n", "component", *_BAG).distinct())
             if not crowd.isEmpty():
                 few, rare = pairs, _rare_candidates(crowd, know(crowd.select("node")), similarity)
                 pairs = settle(few.union(rare).distinct())
                 discard(few)
                 discard(rare)
             discard(crowd)
-        know(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        alike = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        know(alike)
         added = settle(links.union(_verified(pairs, words, similarity)))
         discard(pairs)
         discard(links)
@@ -436,13 +437,18 @@ def _classes(docs: DataFrame, similarity: float, leaders: int, filter_bits: int)
         discard(added)
         links = component.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         if turn == "rest":
+            discard(alike)
             break
         rest = buckets.drop("component", "size").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         left = settle(_open(rest))
         if turn == "leaders":
-            # Those that led have met all others. Only open buckets are looked through for them.
-            every, left = left, settle(_open(left.join(lead.select("bucket", F.col("_lead").alias("node")), ["bucket", "node"], "left_anti")))
+            # Those that led have met all others. Only small open buckets are looked through for them, in large ones they are few.
+            led = lead.select("bucket", F.col("_lead").alias("node"))
+            small = _open(left.where(f"size <= {MEET}").join(led, ["bucket", "node"], "left_anti")).withColumn("crowd", F.lit(False))
+            large = left.where(f"size > {MEET}").join(alike.withColumn("crowd", F.lit(True)), "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+            every, left = left, settle(small.unionByName(large))
             discard(every)
+        discard(alike)
         discard(buckets)
         buckets = left
         if buckets.isEmpty():
