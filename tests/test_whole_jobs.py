@@ -2,9 +2,12 @@
 
 import time
 
+import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
-from cloudgrain.operators import chunks
+from cloudgrain.operators import chunks, learning
+from cloudgrain.plans import learned
 
 
 def test_ranges_of_curve_codes_are_planned_quickly(spark):
@@ -18,3 +21,23 @@ def test_ranges_of_curve_codes_are_planned_quickly(spark):
     assert time.time() - began < 5
     by = {(r.tile_name, r.chunk_idx): r.n for r in cut.groupBy("tile_name", "chunk_idx").agg(F.count("*").alias("n")).collect()}
     assert by == {(f"t{t}", i): 256 if i < 3 else 232 for t in range(3) for i in range(4)}
+
+
+def test_models_are_fitted_on_all_train_rows(spark):
+    rows = spark.range(30_000).selectExpr("id AS point_id", "CASE WHEN id % 5 > 0 THEN 'train' WHEN id % 10 > 0 THEN 'test' END AS split")
+    assert learned._train(rows).count() == 24_000
+
+
+def test_a_forest_grown_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(learning, "TREES_AT_ONCE", 3)
+    rows = spark.range(600).selectExpr("id", "cast(id * 7919 % 101 as double) AS u", "cast(id * 31 % 17 as double) AS v",
+                                       "cast(CASE WHEN id * 7919 % 101 > 50 THEN 2 WHEN id * 31 % 17 > 8 THEN 6 ELSE 9 END as int) AS classification")
+    model = learning.fit_trees(rows, ["u", "v"], n_estimators=8, max_depth=4)
+    forest = next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
+    assert len(forest.trees) == forest.getNumTrees == 8 and forest.numClasses == 3
+    assert len({t.toDebugString.partition("\n")[2] for t in forest.trees}) > 3  # the parts draw anew
+    assert sum(r.importance for r in learning.feature_importance(model, ["u", "v"]).collect()) == pytest.approx(1)
+    learning.save_model(model, str(tmp_path / "m"), rows, ["u", "v"])
+    loaded, _ = learning.load_model(spark, str(tmp_path / "m"))
+    want = {r.id: int(r.predicted_label) for r in model.transform(rows).collect()}
+    assert all({r.id: r.predicted_class for r in learning.score(m, rows).collect()} == want for m in (model, loaded))
