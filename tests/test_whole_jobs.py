@@ -2,11 +2,13 @@
 
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
-from cloudgrain.operators import chunks, learning
+from cloudgrain.operators import boosting, chunks, learning
 from cloudgrain.plans import learned
 
 
@@ -41,3 +43,14 @@ def test_a_forest_grown_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
     loaded, _ = learning.load_model(spark, str(tmp_path / "m"))
     want = {r.id: int(r.predicted_label) for r in model.transform(rows).collect()}
     assert all({r.id: r.predicted_class for r in learning.score(m, rows).collect()} == want for m in (model, loaded))
+
+
+@pytest.mark.parametrize("bins", [2, 64, 256])
+def test_bins_are_cut_at_exact_quantiles(spark, bins):
+    rng = np.random.default_rng(8)
+    n = 120_000  # more than a sample once had
+    wide, few = rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n), rng.integers(-3, 4, n) / 10
+    rows = spark.createDataFrame(pd.DataFrame({"wide": wide, "few": few, "gaps": np.where(few > 0.2, np.nan, wide)}))
+    for name, got in zip(rows.columns, boosting.bin_edges(rows, rows.columns, bins)):
+        values = rows.select(name).toArrow().column(0).to_numpy()
+        assert np.array_equal(got, np.unique(np.quantile(np.nan_to_num(values), np.arange(1, bins) / bins, method="inverted_cdf")))
