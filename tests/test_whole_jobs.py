@@ -1,14 +1,16 @@
 """Work that is whole at any size: all rows train, and what plans and tasks hold does not grow with them."""
 
+import math
 import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
-from cloudgrain.operators import boosting, chunks, learning
+from cloudgrain.operators import boosting, chunks, learning, neighbors
 from cloudgrain.plans import learned
 
 
@@ -54,3 +56,31 @@ def test_bins_are_cut_at_exact_quantiles(spark, bins):
     for name, got in zip(rows.columns, boosting.bin_edges(rows, rows.columns, bins)):
         values = rows.select(name).toArrow().column(0).to_numpy()
         assert np.array_equal(got, np.unique(np.quantile(np.nan_to_num(values), np.arange(1, bins) / bins, method="inverted_cdf")))
+
+
+def test_pooling_sums_the_edges_of_a_point_where_they_are(spark):
+    rng = np.random.default_rng(9)
+    rows = [(tile, i if i % 9 else None, None if rng.random() < 0.2 else float(rng.normal()) * 300, None if rng.random() < 0.3 else int(rng.integers(0, 50)), float(rng.normal()))
+            for tile in ("a", None) for i in range(60) for _ in range(16)]
+    rows += [rows[7], rows[901]] * 3 + [("b", 1, None, 3, 1.0), ("b", 2, 5.0, None, 1.0), ("b", 3, float("-inf"), 4, 2.0), ("b", 1000, 0.0, 1, 1.0), ("b", 3, 1.0, 6, 3.0)]
+    edges = spark.createDataFrame(rows, "tile_name string, point_id long, s double, n int, v double").coalesce(1)
+    got = neighbors.softmax_pool(edges, F.col("s"), ["n", "v"], ["tile_name"])
+    spread = neighbors.softmax_pool(edges.repartition(7), F.col("s"), ["n", "v"], ["tile_name"])  # runs of one edge
+    want: dict = {}
+    for tile, i, s, *values in rows:
+        want.setdefault((tile, i), []).append((s, values))
+
+    def pooled(of, c):
+        own = [(s, v[c]) for s, v in of if s is not None]
+        if not any(v is not None for _, v in own):
+            return None
+        top = max(s for s, _ in own)
+        return sum(math.exp(s - top) * v for s, v in own if v is not None) / sum(math.exp(s - top) for s, _ in own)
+
+    for out in (got, spread):
+        seen = {(r.tile_name, r.point_id): (r.pooled_n, r.pooled_v) for r in out.collect()}
+        assert seen.keys() == want.keys()
+        assert all(x is y is None or x == pytest.approx(y, rel=1e-9) for key, of in want.items() for x, y in zip(seen[key], (pooled(of, 0), pooled(of, 1))))
+    sent = neighbors._pooled_runs(pa.RecordBatch.from_pylist([{"k": i // 16, "s": 0.0, "v": 1.0} for i in range(320)]), 1,
+                                  pa.schema([("k", pa.int64()), ("s", pa.float64()), ("w", pa.float64()), ("v", pa.float64())]))
+    assert len(sent) == 20 and sent.column("w").to_pylist() == [16.0] * 20
