@@ -34,6 +34,7 @@ def test_models_are_fitted_on_all_train_rows(spark):
 
 def test_a_forest_grown_in_parts_is_one_forest(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(learning, "TREES_AT_ONCE", 3)
+    monkeypatch.setattr(learning, "DRAWS_AT_ONCE", 600)
     rows = spark.range(600).selectExpr("id", "cast(id * 7919 % 101 as double) AS u", "cast(id * 31 % 17 as double) AS v",
                                        "cast(CASE WHEN id * 7919 % 101 > 50 THEN 2 WHEN id * 31 % 17 > 8 THEN 6 ELSE 9 END as int) AS classification")
     model = learning.fit_trees(rows, ["u", "v"], n_estimators=8, max_depth=4)
